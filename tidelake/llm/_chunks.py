@@ -8,20 +8,21 @@ certain blanks; so the ids of a text are its chunks' ids in order, where a text
   belongs to the word after it; a run of blanks up to the last one is a word of its own).
 
 Texts that hold a special token's string are encoded as a whole.  ``tests/llm`` compares chunks with
-whole texts.  A worker keeps its chunks over tasks, up to a fixed number, then starts anew.
+whole texts.  A worker keeps its latest chunks over tasks, up to a fixed number.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Callable
 
-#: Chunks that a worker remembers.
+#: Chunks that a worker remembers, twice.
 REMEMBERED = 400_000
 
 _tokenizers: dict[str, object] = {}
-_memos: dict[tuple[str, str], dict] = {}
+_memos: dict[tuple[str, str], _Memo] = {}
 _CUT = re.compile(r" (?=\S)")
 _RUN = re.compile(r" \s")
 
@@ -40,65 +41,96 @@ def _specials(tokenizer) -> list[str]:
     return [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
 
-class _Memo(dict):
-    """Chunk to value; what is missing is encoded in batches by ``fill``."""
-
-    def fill(self, chunks: set, encode: Callable[[list], list]) -> None:
-        if len(self) + len(chunks) > REMEMBERED:
-            self.clear()
-        todo = list(chunks)
-        self.update(zip(todo, encode(todo), strict=True))
+class _Memo:
+    """Values of chunks.  ``young`` answers; what it lacks is taken from ``old`` or computed.  Once
+    young is full it becomes old, so chunks that keep coming are kept."""
+
+    def __init__(self, values: Callable[[list], list]):
+        self.young: dict = {}
+        self.old: dict = {}
+        self.values = values
+
+    def of(self, chunks: list) -> list:
+        """The chunks' values in order."""
+        out = list(map(self.young.get, chunks))
+        if None not in out:
+            return out
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        at = [i for i, v in enumerate(out) if v is None]
+        missing = {chunks[i] for i in at}
+        young.update((c, old[c]) for c in missing if c in old)
+        missing = [c for c in missing if c not in young]
+        young.update(zip(missing, self.values(missing), strict=True))
+        for i in at:
+            c = chunks[i]
+            out[i] = young[c] if c in young else old[c]
+        return out
 
 
 def counter(path: str) -> Callable[[bytes], int]:
-    """A function from a UTF-8 text to its number of ids; for tokenizers that drop white space."""
-    tokenizer, memo = load(path), _memos.setdefault((path, "counts"), _Memo())
+    """A function from a UTF-8 text to its number of ids; for tokenizers that drop white
+    space, lower the case and split into words, digits and signs."""
+    tokenizer = load(path)
+    model, words = tokenizer.model, re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+").findall
+    plain = re.compile(rb"[!-~]+").fullmatch
+    special = re.compile("|".join(map(re.escape, _specials(tokenizer))).encode() or rb"(?!)").search
+
+    def counts(chunks: list[bytes]) -> list[int]:
+        out = []
+        for c in chunks:
+            if plain(c) and not special(c):
+                out.append(sum([len(model.tokenize(w.decode())) for w in words(c.lower())]))
+            else:
+                out.append(len(tokenizer.encode(c.decode("utf-8", "replace"), add_special_tokens=False).ids))
+        return out
 
-    def encode(chunks: list[bytes]) -> list[int]:
-        return [len(e.ids) for e in tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)]
+    memo = _memos.setdefault((path, "counts"), _Memo(counts))
+    return lambda text: sum(memo.of(text.split()))
 
-    def count(text: bytes) -> int:
-        chunks = text.split()
-        try:
-            return sum(map(memo.__getitem__, chunks))
-        except KeyError:
-            missing = set(chunks).difference(memo)
-            memo.fill(missing, encode)
-        if len(missing) == len(memo):  # it was cleared
-            memo.fill(set(chunks).difference(memo), encode)
-        return sum(map(memo.__getitem__, chunks))
 
-    return count
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def encoder(path: str) -> Callable[[bytes], bytes]:
     """A function from a UTF-8 text to its ids as little-endian unsigned 32-bit integers; for
-    byte-level tokenizers."""
-    tokenizer, memo = load(path), _memos.setdefault((path, "ids"), _Memo())
+    byte-level tokenizers with the usual pattern of words."""
+    import public_tokenizers
+    import regex
+
+    tokenizer = load(path)
     special = re.compile("|".join(map(re.escape, _specials(tokenizer))) or r"(?!)")
+    words, model, table = regex.compile(public_tokenizers.PATTERN).findall, tokenizer.model, _byte_letters()
+    plain = re.compile("[\0-\u024f]*").fullmatch  # where any version of Unicode has the same letters
 
-    def packed(ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+    def ids_of_chunks(chunks: list[str]) -> list[bytes]:
+        out = []
+        for c in chunks:
+            if plain(c):
+                out.append(_packed([t.id for w in words(c) for t in model.tokenize(w.encode().decode("latin-1").translate(table))]))
+            else:
+                out.append(_packed(tokenizer.encode(c, add_special_tokens=False).ids))
+        return out
 
-    def encode(chunks: list[str]) -> list[bytes]:
-        return [packed(e.ids) for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    memo = _memos.setdefault((path, "ids"), _Memo(ids_of_chunks))
 
     def ids(data: bytes) -> bytes:
         text = data.decode("utf-8", "replace")
         if special.search(text):
-            return packed(tokenizer.encode(text, add_special_tokens=False).ids)
-        if _RUN.search(text) or text.endswith(" "):
+            return _packed(tokenizer.encode(text, add_special_tokens=False).ids)
+        if "\0" in text or text.endswith(" ") or _RUN.search(text):
             cuts = _CUT.split(text)
-            chunks = [cuts[0], *(" " + c for c in cuts[1:])] if cuts[0] else [" " + c for c in cuts[1:]]
-        else:  # every blank is single and a word follows
-            chunks = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-        try:
-            return b"".join(map(memo.__getitem__, chunks))
-        except KeyError:
-            missing = set(chunks).difference(memo)
-            memo.fill(missing, encode)
-        if len(missing) == len(memo):
-            memo.fill(set(chunks).difference(memo), encode)
-        return b"".join(map(memo.__getitem__, chunks))
+            return b"".join(memo.of([c for c in (cuts[0], *(" " + c for c in cuts[1:])) if c]))
+        return b"".join(memo.of(text.replace(" ", "\0 ").split("\0")))  # every blank is single and a word follows
 
     return ids
+
+
+def _byte_letters() -> dict[int, str]:
+    """A byte-level vocabulary's letter of each byte: printable bytes stand for themselves, the
+    others follow from 256 on, in order."""
+    own = [*range(ord("!"), ord("~") + 1), *range(ord("\xa1"), ord("\xac") + 1), *range(ord("\xae"), ord("\xff") + 1)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}

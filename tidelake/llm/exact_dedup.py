@@ -85,6 +85,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of equal texts the row with the largest id stays; of rows with that id too, one."""
     named = written(name_texts(docs, id_col, text_col, block_bytes), "text-names")
     groups = named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count("*").alias("group_size"))
+    groups = written(groups, "text-groups")  # so that the join can split a group with very many copies
     return named.join(groups, ["level", "name"]).select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), "text_sha256"
     )

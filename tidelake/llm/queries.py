@@ -5,9 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelake.llm import exact_dedup
+from tidelake.llm import exact_dedup, packing, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +35,21 @@ g as (select text, max(doc_id) as keep_id, count(*) as group_size from t group b
 select t.doc_id, g.keep_id, cast(g.group_size as bigint) as group_size, t.doc_id = g.keep_id as kept, sha256(t.text) as text_sha256
 from t join g on t.text = g.text
 """
+
+
+@_query
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text by the word tokenizer; see ``token_counts``.  The cache begins empty."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids in sequences of at most 2048; see ``packing``."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash components of all documents; see ``simhash``."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
