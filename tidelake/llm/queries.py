@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelake.llm import exact_dedup, packing, simhash, token_counts
+from tidelake.llm import exact_dedup, packing, pii, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,9 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents; see ``simhash``."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text; see ``pii``."""
+    return pii.summary(pii.find_pii(table(spark, sf_dir, "documents")))
