@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidelake.llm import exact_dedup, packing, pii, simhash, token_counts
+from tidelake.llm import ann, exact_dedup, language_id, packing, pii, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +60,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every text; see ``pii``."""
     return pii.summary(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
+@_query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text; learned from two folds of three; see ``language_id``."""
+    return language_id.held_out_languages(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth; see ``ann``."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
