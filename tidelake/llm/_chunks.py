@@ -19,7 +19,7 @@ import struct
 from collections.abc import Callable
 
 #: Chunks that a worker remembers, twice.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 _tokenizers: dict[str, object] = {}
 _memos: dict[tuple[str, str], _Memo] = {}
@@ -60,12 +60,14 @@ class _Memo:
         young, old = self.young, self.old
         at = [i for i, v in enumerate(out) if v is None]
         missing = {chunks[i] for i in at}
-        young.update((c, old[c]) for c in missing if c in old)
-        missing = [c for c in missing if c not in young]
+        if old:
+            young.update([(c, old[c]) for c in missing if c in old])
+            missing = [c for c in missing if c not in young]
+        else:
+            missing = list(missing)
         young.update(zip(missing, self.values(missing), strict=True))
         for i in at:
-            c = chunks[i]
-            out[i] = young[c] if c in young else old[c]
+            out[i] = young[chunks[i]]
         return out
 
 
@@ -90,8 +92,11 @@ def counter(path: str) -> Callable[[bytes], int]:
     return lambda text: sum(memo.of(text.split()))
 
 
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _PACKERS[len(ids)](*ids) if len(ids) < 32 else struct.pack(f"<{len(ids)}I", *ids)
 
 
 def encoder(path: str) -> Callable[[bytes], bytes]:
@@ -103,12 +108,14 @@ def encoder(path: str) -> Callable[[bytes], bytes]:
     tokenizer = load(path)
     special = re.compile("|".join(map(re.escape, _specials(tokenizer))) or r"(?!)")
     words, model, table = regex.compile(public_tokenizers.PATTERN).findall, tokenizer.model, _byte_letters()
-    plain = re.compile("[\0-\u024f]*").fullmatch  # where any version of Unicode has the same letters
+    blank, plain = table[32], re.compile("[\0-\u024f]*").fullmatch  # where any version of Unicode has the same letters
 
     def ids_of_chunks(chunks: list[str]) -> list[bytes]:
         out = []
         for c in chunks:
-            if plain(c):
+            if (w := c[1:] if c[:1] == " " else c).isalpha() and w.isascii():  # one word
+                out.append(_packed([t.id for t in model.tokenize(c.replace(" ", blank))]))
+            elif plain(c):
                 out.append(_packed([t.id for w in words(c) for t in model.tokenize(w.encode().decode("latin-1").translate(table))]))
             else:
                 out.append(_packed(tokenizer.encode(c, add_special_tokens=False).ids))
