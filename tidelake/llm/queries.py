@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import ann, exact_dedup, language_id, packing, pii, simhash, token_counts
+from tidelake.llm import ann, exact_dedup, language_id, packing, pii, simhash, suffix_tree, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every twentieth; see ``ann``."""
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@_query
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every text, learned from all folds but one of seven; see ``suffix_tree``."""
+    return suffix_tree.score_texts(table(spark, sf_dir, "documents"), suffix_tree.fold() != 2)
