@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import ann, exact_dedup, language_id, packing, pii, simhash, suffix_tree, token_counts
+import corpus_pipeline
+from tidelake.llm import ann, exact_dedup, language_id, mixing, packing, pii, quality, simhash, suffix_tree, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +79,28 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every text, learned from all folds but one of seven; see ``suffix_tree``."""
     return suffix_tree.score_texts(table(spark, sf_dir, "documents"), suffix_tree.fold() != 2)
+
+
+#: Target weights of the languages and of one large source, for ``op2_mixing``.
+MIX = {"lang": {"en": 0.4, "de": 0.25, "fr": 0.2, "es": 0.15}, "source": {"src0": 2.0}}
+
+
+@_query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document in a mix of 80 % of the tokens, two epochs at most; domains by the
+    source's number; see ``mixing``."""
+    number = F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int"), F.lit(0))
+    domain = F.concat(F.lit("domain"), (number % 4).cast("string"))
+    return mixing.mix(table(spark, sf_dir, "documents"), MIX, 0.8, domain, F.regexp_count(F.col("text"), F.lit(r"\S+")))
+
+
+@_query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; sources are its hosts, their languages the paths; see ``quality``."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of ``corpus_pipeline``."""
+    return corpus_pipeline.run(spark, sf_dir)

@@ -2,8 +2,9 @@
 
 A text's fingerprint has a bit set where more than half of its shingles' 64-bit hashes have it.
 Fingerprints link where at most ``radius`` bits differ.  Candidates meet in tables: the 64 bits are
-cut into ``radius + 2`` blocks, and two linked fingerprints agree in at least two of them, so each
-fingerprint is filed under every pair of blocks; no link is missed.  Within a group of one key the
+cut into ``radius + agree`` blocks, and two linked fingerprints agree in at least ``agree`` of them,
+so each fingerprint is filed under every choice of so many blocks; no link is missed.  ``agree`` is
+2 or as many as it takes for an even table's groups to stay below ``CROWD`` fingerprints.  Within a group of one key the
 fingerprints are compared bit-sliced: plane b holds bit b of 64 fingerprints to a word, a query's
 planes are xor-ed with all of them at once, carry-save counters add up the differing bits of all
 lanes, and the block is abandoned once every lane has passed the radius.
@@ -32,6 +33,8 @@ from tidelake.llm._shared import ship, written
 
 #: Members of a group that are compared without cutting it into tiles.
 TILE = 1024
+#: Members of a group that an even table has at most.
+CROWD = 512
 #: Shingles hashed at a time, so that a very long text needs bounded memory.
 SHINGLES = 1 << 17
 #: Rows of groups gathered before they are compared.
@@ -74,11 +77,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def masks(radius: int) -> list[int]:
-    """The bits of each table: two of radius + 2 blocks."""
-    cuts = np.linspace(0, 64, radius + 3).round().astype(int)
+def masks(radius: int, agree: int = 2) -> list[int]:
+    """The bits of each table: so many of radius + agree blocks."""
+    cuts = np.linspace(0, 64, radius + agree + 1).round().astype(int)
     blocks = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(cuts, cuts[1:], strict=False)]
-    return [a | b for a, b in combinations(blocks, 2)]
+    return [sum(some) for some in combinations(blocks, agree)]
+
+
+def blocks_to_agree(fingerprints: int, radius: int) -> int:
+    """How many blocks a table's key holds for so many distinct fingerprints."""
+    return next((c for c in range(2, 64 - radius) if fingerprints / 2 ** (64 * c / (radius + c)) <= CROWD), 64 - radius)
 
 
 def _planes(fps: np.ndarray, starts: np.ndarray, lanes: np.ndarray, bits: list[int]) -> np.ndarray:
@@ -169,7 +177,7 @@ def links(fps: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
     """``a``, ``b``: links between different fingerprints of column ``fp`` that hold every component
     together.  fps: distinct fingerprints."""
     ship(fps.sparkSession)
-    tables = masks(radius)
+    tables = masks(radius, blocks_to_agree(fps.count(), radius))
     signed = [m - (1 << 64) if m >> 63 else m for m in tables]
     other = [[b for b in range(64) if not m >> b & 1] for m in tables]
     filed = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("t", "key"))
