@@ -94,11 +94,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The input's rows that stay, with all their columns."""
     named = written(exact_dedup(docs, id_col, text_col, block_bytes), "kept-texts")
-    stay = named.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(F.coalesce(F.col(f"d.`{text_col}`"), F.lit("")).cast("binary"), 256)
-    joined = docs.alias("d").join(stay, F.col(f"d.`{id_col}`").eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_semi")
+    stay = named.filter("kept").select(F.col("doc_id").alias("__tl_id"), F.col("text_sha256").alias("__tl_sha"))
+    sha = F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"), 256)
+    joined = docs.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("__tl_id")) & (sha == F.col("__tl_sha")), "left_semi")
     if named.groupBy("doc_id", "text_sha256").count().filter("count > 1").isEmpty():
         return joined
-    key = [F.col(id_col), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)]
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))  # rows that repeat with their id
-    return joined.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
+    nth = F.row_number().over(Window.partitionBy(F.col(f"`{id_col}`"), sha).orderBy(F.lit(0)))  # rows that repeat with their id
+    return joined.withColumn("__tl_nth", nth).filter("__tl_nth = 1").drop("__tl_nth")

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelake.llm._shared import ship
 
@@ -112,20 +113,21 @@ def classify(text: str | None, langs: list[str], compress: list[list], min_margi
 
 
 def identify(docs: DataFrame, made: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", level: int = LEVEL, min_margin: float = MIN_MARGIN, keep: list[str] | None = None) -> DataFrame:
-    """One row for each input row: ``doc_id`` (or the columns named by ``keep``), ``lang_pred``,
-    ``score``, ``rejected``."""
+    """One row for each input row: ``doc_id``, ``lang_pred``, ``score``, ``rejected``; or the columns
+    named by ``keep``, and these with names of their own."""
     ship(docs.sparkSession)
     langs = sorted(made)
     columns = [F.col(id_col).alias("doc_id")] if keep is None else [F.col(f"`{c}`") for c in keep]
-    src = docs.select(*columns, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", lang_pred string, score double, rejected boolean"
+    src = docs.select(*columns, F.col(f"`{text_col}`").alias("__tl_text"))
+    names = ["lang_pred", "score", "rejected"] if keep is None else ["__tl_pred", "__tl_score", "__tl_rejected"]
+    schema = T.StructType([*src.schema.fields[:-1], *(T.StructField(n, k) for n, k in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = _compressed_with(made, level)
         for b in batches:
             found = [classify(t.as_py(), langs, compress, min_margin) for t in b.column(b.num_columns - 1)]
             new = [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64()), pa.array([x == "und" or s < min_margin for x, s in found], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=[*b.schema.names[:-1], "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=[*b.schema.names[:-1], *names])
 
     return src.mapInArrow(run, schema)
 
@@ -145,4 +147,4 @@ def held_out_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def in_known_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_margin: float = MIN_MARGIN) -> DataFrame:
     """The documents whose language isn't rejected, with all their columns."""
     made = dictionaries(docs, id_col, text_col, lang_col)
-    return identify(docs, made, id_col, text_col, min_margin=min_margin, keep=docs.columns).filter("not rejected").select(*(f"`{c}`" for c in docs.columns))
+    return identify(docs, made, id_col, text_col, min_margin=min_margin, keep=docs.columns).filter("not __tl_rejected").select(*(f"`{c}`" for c in docs.columns))

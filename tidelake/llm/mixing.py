@@ -46,7 +46,8 @@ def share(children: DataFrame, parent: list[str]) -> DataFrame:
     order = Window.partitionBy(*parent).orderBy(F.col("fill").asc_nulls_last(), "node")
     before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     x = children.withColumn("fill", fill)
-    x = x.withColumn("level", (F.col("budget") - F.coalesce(F.sum(F.when(F.col("weight") > 0, F.col("cap"))).over(before), F.lit(0.0))) / F.sum("weight").over(rest))
+    taken = F.coalesce(F.sum(F.when(F.col("weight") > 0, F.col("cap"))).over(before), F.lit(0.0))
+    x = x.withColumn("level", F.try_divide(F.col("budget") - taken, F.sum("weight").over(rest)))
     reached = F.max(F.when((F.col("weight") > 0) & (F.col("level") <= F.col("fill")), F.col("level"))).over(Window.partitionBy(*parent))
     given = F.when(F.col("weight") <= 0, 0.0).otherwise(F.least(F.col("cap"), F.coalesce(F.col("reached") * F.col("weight"), F.col("cap"))))
     return x.withColumn("reached", reached).withColumn("given", F.greatest(given, F.lit(0.0))).drop("fill", "level", "reached")
@@ -105,9 +106,9 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]], fraction: float,
 def mixed_documents(docs: DataFrame, weights: dict[str, dict[str, float]], fraction: float, domain: Column, tokens: Column, max_epochs: int = 1, seed: int = 11, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The documents that are taken, with all their columns, once for each epoch."""
     taken = mix(docs, weights, fraction, domain, tokens, max_epochs, seed, id_col, lang_col, source_col)
-    taken = taken.filter("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    on = F.col(f"`{id_col}`").eqNullSafe(F.col("_id"))
+    taken = taken.filter("copies > 0").groupBy(F.col("doc_id").alias("__tl_id")).agg(F.max("copies").alias("__tl_copies"))
+    on = F.col(f"`{id_col}`").eqNullSafe(F.col("__tl_id"))
     if max_epochs == 1:
         return docs.join(taken, on, "left_semi")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(taken, on).withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+    return docs.join(taken, on).withColumn("__tl_epoch", F.explode(F.sequence(F.lit(1), F.col("__tl_copies").cast("int")))).select(*columns)

@@ -243,5 +243,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that stay, with all their columns: of each component the one with the smallest id."""
     found = near_duplicates(docs, id_col, text_col, **options)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__tl_id")).distinct()
+    return docs.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("__tl_id")), "left_semi")
