@@ -111,11 +111,14 @@ def encoder(path: str) -> Callable[[bytes], bytes]:
     blank, plain = table[32], re.compile("[\0-\u024f]*").fullmatch  # where any version of Unicode has the same letters
 
     def ids_of_chunks(chunks: list[str]) -> list[bytes]:
+        """Ids of chunks without their blank; a first chunk, that has none, is marked by a zero."""
         out = []
         for c in chunks:
-            if (w := c[1:] if c[:1] == " " else c).isalpha() and w.isascii():  # one word
-                out.append(_packed([t.id for t in model.tokenize(c.replace(" ", blank))]))
-            elif plain(c):
+            if c.isalpha() and c.isascii():  # one word
+                out.append(_packed([t.id for t in model.tokenize(blank + c)]))
+                continue
+            c = c[1:] if c[:1] == "\0" else " " + c
+            if plain(c):
                 out.append(_packed([t.id for w in words(c) for t in model.tokenize(w.encode().decode("latin-1").translate(table))]))
             else:
                 out.append(_packed(tokenizer.encode(c, add_special_tokens=False).ids))
@@ -125,12 +128,12 @@ def encoder(path: str) -> Callable[[bytes], bytes]:
 
     def ids(data: bytes) -> bytes:
         text = data.decode("utf-8", "replace")
-        if special.search(text):
+        if "\0" in text or special.search(text):
             return _packed(tokenizer.encode(text, add_special_tokens=False).ids)
-        if "\0" in text or text.endswith(" ") or _RUN.search(text):
-            cuts = _CUT.split(text)
-            return b"".join(memo.of([c for c in (cuts[0], *(" " + c for c in cuts[1:])) if c]))
-        return b"".join(memo.of(text.replace(" ", "\0 ").split("\0")))  # every blank is single and a word follows
+        # where every blank is single and a word follows, the quicker way to cut
+        chunks = _CUT.split(text) if text.endswith(" ") or _RUN.search(text) else text.split(" ")
+        chunks[0] = "\0" + chunks[0]
+        return b"".join(memo.of(chunks))
 
     return ids
 

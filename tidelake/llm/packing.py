@@ -44,19 +44,19 @@ def karmarkar_karp(sizes: np.ndarray, windows: int) -> np.ndarray:
     heap = []
     for i, s in enumerate(sizes):
         load = np.zeros(windows, dtype=np.int64)
-        load[0] = s
+        load[-1] = s
         loads.append(load)
         heap.append((-int(s), i))
     heapq.heapify(heap)
     merges = []
     while len(heap) > 1:
         (_, a), (_, b) = heapq.heappop(heap), heapq.heappop(heap)
-        load = loads[a] + loads[b][::-1]  # both fall: the heaviest meets the lightest
+        load = loads[a] + loads[b][::-1]  # both rise: the lightest meets the heaviest
         loads[a] = loads[b] = None
-        order = np.argsort(-load, kind="stable")
+        order = np.argsort(load, kind="stable")
         load = load[order]
         merges.append((a, b, order))
-        heapq.heappush(heap, (int(load[-1] - load[0]), len(loads)))
+        heapq.heappush(heap, (int(load[0] - load[-1]), len(loads)))
         loads.append(load)
     places: dict[int, np.ndarray] = {n + len(merges) - 1: np.arange(windows)}
     out = np.zeros(n, dtype=np.int64)
@@ -66,7 +66,7 @@ def karmarkar_karp(sizes: np.ndarray, windows: int) -> np.ndarray:
         at[order] = places.pop(n + k)
         for child, own in ((a, at), (b, at[::-1])):
             if child < n:
-                out[child] = own[0]
+                out[child] = own[-1]
             else:
                 places[child] = own
     if not merges:
@@ -75,13 +75,17 @@ def karmarkar_karp(sizes: np.ndarray, windows: int) -> np.ndarray:
 
 
 def windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The window of each item, with no window above the capacity (no item may be)."""
-    k = max(1, -(-int(sizes.sum()) // capacity))
+    """The window of each item, with no window above the capacity (no item may be).  Where one is,
+    there are more windows: as many as leave room for what the fullest was above the mean."""
+    total = int(sizes.sum())
+    k = max(1, -(-total // capacity))
     while True:
         found = karmarkar_karp(sizes, k)
-        if not len(found) or np.bincount(found, weights=sizes).max() <= capacity:
+        most = np.bincount(found, weights=sizes).max() if len(found) else 0
+        if most <= capacity:
             return found
-        k += 1
+        above = most - total / k
+        k = max(k + 1, min(int(total / (capacity - above)) if above < capacity else k + 1, k + 1 + k // 64))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, piece: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
