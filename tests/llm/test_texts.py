@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -26,11 +27,9 @@ def test_chunks_are_as_whole_texts(text):
     assert np.frombuffer(_chunks.encoder(BYTE)(text.encode()), "<u4").tolist() == Tokenizer_of(BYTE).encode(text, add_special_tokens=False).ids
 
 
-_made = {}
-
-
+@cache
 def Tokenizer_of(path):
-    return _made.setdefault(path, Tokenizer.from_file(path))
+    return Tokenizer.from_file(path)
 
 
 def test_memo_forgets_and_still_answers(monkeypatch):
