@@ -11,16 +11,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import exact_dedup, language_id, mixing, packing, simhash
+from tidelake.llm import exact_dedup, language_id, mixing, packing, similar
 from tidelake.llm._shared import written
 
 #: Target weights of languages, and the tokens to keep in shares of what there is.
 WEIGHTS = {"lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}}
 FRACTION = 0.95
-#: Differing bits of 64 at which documents count as near copies, over shingles of five words: the
-#: bits that texts of similarity 0.85 to 0.9 differ in, and few enough that among hundreds of
-#: millions of pairs of unrelated texts none is linked by chance.
-RADIUS = 7
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +30,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates, that with the smallest id."""
-    return simhash.representatives(docs, words=5, radius=RADIUS)
+    """One document of each component of near-duplicates, that with the smallest id; links are pairs
+    with a Jaccard similarity of 0.8 or more over shingles of five words."""
+    return similar.representatives(docs, words=5)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

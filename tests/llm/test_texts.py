@@ -14,7 +14,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidelake.llm import _chunks, _components, exact_dedup, packing, pii, simhash, token_counts
+import corpus_pipeline
+from tidelake.llm import _chunks, _components, exact_dedup, packing, pii, similar, simhash, token_counts
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 PIECES = ["a", "b ", " ", "  ", "\n", "\t", "<|endoftext|>", "<|startoftext|>", "'s", "don't", "é", "é", "İ", "Σ", "ß", " ", "\x1c", "\x85", "1", "23", "!!", "…", "中", "🙂", " the", "x" * 50, "\r\n", "\0", "́"]
@@ -143,6 +144,53 @@ def test_bit_sliced_pairs(sizes, radius, seed):
     assert len(i) == len(set(zip(i.tolist(), j.tolist(), strict=True))) and set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*map(np.ndarray.tolist, np.nonzero(np.triu(near, 1))), strict=True))
 
 
+def brute_representatives(rows, words=5):
+    """Ids that stay, by the similarity of all pairs of (id, text)."""
+
+    def cut(text):
+        w = (text or "").encode().lower().split()
+        return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+
+    sets, root = [cut(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4:
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    least = {}
+    for (i, _), r in zip(rows, root, strict=True):
+        least[r] = i if least.get(r) is None else least[r] if i is None else min(i, least[r])
+    return {i for (i, _), r in zip(rows, root, strict=True) if i == least[r]}
+
+
+def test_near_stage_by_brute_force(spark):
+    """Pairs planted around a similarity of 0.8, a passage that many texts have, copies of copies."""
+    rng, rows = random.Random(5), []
+    word = lambda: f"w{rng.randrange(4000)}"
+    common = [word() for _ in range(20)]
+    for i in range(120):
+        words = [word() for _ in range(rng.randint(30, 250))] + common * (i % 3 == 0)
+        rows.append((i, " ".join(words)))
+        for k in range(rng.randint(1, 2)):  # words in a row changed: a similarity above or below 0.8
+            at, n = rng.randrange(len(words)), rng.randint(0, len(words) // 7)
+            words = words[:at] + [word() for _ in range(n)] + words[at + n :]
+            rows.append((1000 + 10 * i + k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_representatives(rows)
+    assert 120 < len(want) < len(rows) - 50
+    assert {r.doc_id for r in corpus_pipeline.near(spark, df, "").collect()} == want
+
+
+@pytest.mark.parametrize("table", ["docs", "edge", "nothing"])
+def test_similar_representatives(table, request):
+    df = request.getfixturevalue(table)
+    got = similar.representatives(df)
+    assert got.columns == df.columns
+    want = brute_representatives([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])
+    ids = lambda rows: sorted(r.doc_id if r.doc_id is not None else -1 for r in rows)
+    assert ids(got.collect()) == ids(r for r in df.collect() if r.doc_id in want)
+
+
 @pytest.mark.parametrize("radius,agree", [(2, 2), (3, 2), (7, 2), (7, 3), (1, 4)])
 def test_tables_miss_no_link(radius, agree):
     tables, rng = simhash.masks(radius, agree), random.Random(1)
