@@ -1,5 +1,8 @@
 """Every query against its SQL in DuckDB, over the smallest tables."""
 
+import zlib
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -36,3 +39,8 @@ def test_query(name, spark, duck):
 
 def test_every_oracle_has_a_query():
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES)
+
+
+def test_file_crc32_of_the_log(spark):
+    data = Path(DATA, "events.parquet").read_bytes()
+    assert [(r["name"], r["length"], r["crc32"]) for r in catalogue.QUERIES["file_crc32"](spark, DATA).collect()] == [("events.parquet", len(data), f"{zlib.crc32(data):08x}")]

@@ -477,8 +477,8 @@ def oneof_json(spark, sf):
 
 @query()
 def file_crc32(spark, sf):
-    """CRC-32 and size of the table's files."""
-    files = spark.read.format("binaryFile").load(f"{sf}/nation.parquet")
+    """CRC-32 and size of the files of the log's table."""
+    files = spark.read.format("binaryFile").load(f"{sf}/events.parquet")
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", exprs.file_crc32(F.col("content")).alias("crc32"))
 
 
