@@ -1,7 +1,6 @@
 """Mixing, language-model scores, language, quality, neighbours and the pipeline."""
 
 import collections
-import math
 import zlib
 
 import numpy as np
@@ -9,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidelake.llm import ann, language_id, mixing, quality, queries, suffix_tree
+from tidelake.llm import ann, language_id, mixing, quality, queries
 
 
 
@@ -87,73 +86,6 @@ def test_mixing_edges(edge, nothing):
     assert twice.columns == edge.columns and twice.filter("doc_id = 7").count() == 2
 
 
-def brute_scores(rows, min_count, divergence):
-    low = lambda t: (t or "").encode().lower().split()
-    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7
-    end, c = object(), collections.Counter()
-    for i, t in rows:
-        if fold(i) != 2:
-            c.update([*low(t), end])
-    n, v, ends, depth = sum(c.values()), len(c), c[end], suffix_tree.DEPTH
-    grams = collections.defaultdict(collections.Counter)
-    for w, k in c.items():
-        if w is not end:
-            q = b" " + w + b" "
-            for i in range(1, len(q)):
-                for d in range(min(depth, i) + 1):
-                    grams[q[i - d : i]][q[i]] += k
-    total = {s: sum(x.values()) for s, x in grams.items()}
-    keep = {b""} if grams else set()
-    for s, x in grams.items():
-        if s and total[s] >= min_count and sum(k * math.log(k / total[s] * total[s[1:]] / grams[s[1:]][y]) for y, k in x.items()) >= divergence:
-            keep |= {s[i:] for i in range(len(s))}
-
-    def p(s, y):
-        if s == b"":
-            return (grams[s][y] + len(grams[s]) / 256) / (total[s] + len(grams[s])) if keep else 1 / 256
-        return (grams[s][y] + len(grams[s]) * p(s[1:], y)) / (total[s] + len(grams[s])) if s in keep else p(s[1:], y)
-
-    def word(w):
-        q = b" " + w + b" "
-        return sum(math.log10(p(q[max(0, i - depth) : i], q[i])) for i in range(1, len(q)))
-
-    out = []
-    for i, t in rows:
-        tokens = [*low(t), end]
-        base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in tokens)
-        score = sum(word(x) for x in tokens[:-1]) + (len(tokens) - 1) * math.log10((n - ends + 1) / (n + 2)) + math.log10((ends + 1) / (n + 2))
-        out.append((-1 if i is None else i, fold(i) == 2, len(tokens), sum(c[x] > 0 for x in tokens), n, round(base, 6), round(score, 6)))
-    return sorted(out)
-
-
-@pytest.mark.parametrize("table,options", [("docs", {}), ("docs", {"head": 5, "shard_rows": 300, "min_count": 3, "divergence": 1.0}), ("edge", {"min_count": 2, "divergence": 0.5}), ("nothing", {})])
-def test_suffix_tree(table, options, request):
-    df = request.getfixturevalue(table)
-    if table == "edge":
-        df = df.filter("doc_id is null or doc_id not in (5, 6)")  # plain Python takes too long on these
-    got = suffix_tree.score_texts(df, suffix_tree.fold() != 2, **options).collect()
-    want = brute_scores([(r.doc_id, r.text) for r in df.collect()], options.get("min_count", suffix_tree.MIN_COUNT), options.get("divergence", suffix_tree.DIVERGENCE))
-    mine = sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got)
-    assert len(mine) == len(want)
-    for a, b in zip(mine, want, strict=True):
-        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=2e-5)
-
-
-def test_word_probabilities_sum_to_one(docs, spark):
-    """All bytes after a context, the blank among them, have probability one together."""
-    counts = suffix_tree.count_words(docs.select(F.col("text").cast("binary").alias("text"), F.lit(True).alias("trains")))
-    rows = suffix_tree.retained(suffix_tree.count_grams(counts), 5, 1.0).toArrow()
-    tree = suffix_tree.Tree(rows.column("g").to_numpy(), rows.column("n").to_numpy())
-    for before, place in ((b" ", 1), (b" th", 3), (b"ering", 6), (b"zzzzz", 6)):
-        packed = np.full(256, int.from_bytes(before, "big"))
-        assert (10 ** tree.log10(np.arange(256), np.full(256, place), packed)).sum() == pytest.approx(1)
-
-
-def test_long_words_and_edges(edge):
-    got = {r.doc_id: r for r in suffix_tree.score_texts(edge, F.lit(True)).collect()}
-    assert len(got) == edge.select("doc_id").distinct().count() and all(math.isfinite(r.score) for r in got.values())
-
-
 def test_languages(docs):
     got = language_id.held_out_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in got if r.held_out]

@@ -9,24 +9,38 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, local mode) a temporary folder of this machine is set.
+    Where that is unset a temporary folder of this machine is set, in local mode only; elsewhere
+    that is an error, since executors couldn't reach it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: the operators need a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidelake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def table_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path under this application's part of the shared folder, which goes when it ends."""
+    folder = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    sc = spark.sparkContext
+    if folder not in getattr(sc, "_tidelake_folders", ()):
+        fs, at = _file_system(spark, folder)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        sc._tidelake_folders = {*getattr(sc, "_tidelake_folders", ()), folder}
+    return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -35,12 +49,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = table_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidelake_path = path
+    return out
 
 
-def hash_fold(col_name: str, salt: str = ""):
-    """A seeded 64-bit hash of a column as text; null counts as the empty text."""
-    return F.xxhash64(F.lit(salt), F.coalesce(F.col(col_name).cast("string"), F.lit("")))
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing reads any more."""
+    for t in tables:
+        fs, at = _file_system(t.sparkSession, t._tidelake_path)
+        fs.delete(at, True)
 
 
 def ship(spark: SparkSession) -> None:

@@ -1,207 +1,277 @@
-"""Language-model scores by a probabilistic suffix tree (operator 6).
-
-A text is its words, lower case, then one end.  The model draws at each token an end or a word; a
-word is drawn byte by byte, with a blank before and after it, from a probabilistic suffix tree: each
-byte depends on the longest retained context of the bytes before it in its word.
-
-* Words are counted over all training texts, added up in each task first; the tree's counts come
-  from the distinct words and their counts.
-* A context of up to ``DEPTH`` bytes is retained if it was seen ``MIN_COUNT`` times and its next
-  bytes diverge from those after its own suffix: count times Kullback-Leibler divergence reaches
-  ``DIVERGENCE``.  The suffixes of a retained context are retained.  So the tree grows with the
-  corpus and has no cap.
-* A state's distribution is smoothed by its suffix's: (n + k p) / (N + k), where k is the number of
-  distinct next bytes; the root's by the uniform distribution over bytes.
-* Every distinct word is scored once.  The tree's states are sent to the tasks in shards of at most
-  ``SHARD_ROWS`` rows, by the last byte of the context: a byte of a word needs one shard only, so a
-  larger tree means more passes over the words, not more memory.
-* Texts meet their words' scores by a join on the word.  Before it, words so frequent that at most
-  ``HEAD`` words are as frequent are summed up in the text's own task from a table of at most
-  ``HEAD`` rows; no word after that is frequent enough to make a task uneven.
-
-Null texts count as empty: one end.  A null id counts as the empty text for its fold.  Repeated rows
-each get a row.  Without training texts counts are zero and the tree is uniform.  Other columns are
-ignored.  An empty table gives no rows.
+"""Language-model scores by a probabilistic suffix tree over words (operator 6).
+
+A text is its words, lower case, then one end.  The tree's root is the add-one unigram distribution
+over the training tokens and one unknown token.  Its other states are contexts: the last d words
+before a token, across the whole text, with no limit to d.
+
+* The tree grows level by level.  A context of d words is looked at where its suffix of d - 1 words
+  was retained; it is retained if it was seen ``MIN_COUNT`` times and its next tokens diverge from
+  those after its suffix: their log-likelihood under the context's smoothed distribution, each
+  occurrence left out in turn, is ``GAIN`` nats above that under the suffix's distribution.  Growth
+  ends at the first level that retains nothing, so a longer or more regular corpus has a deeper tree.
+* Smoothing: of a context's tokens those seen once go to the suffix's share.  With n >= 2 for the
+  others, p(x | c) = (n + share p(x | suffix)) / (sum of n + share), where share is the number of
+  different tokens after c.  A token is scored in the longest retained context before it.
+* So a text's score is a sum over keys: its tokens, its retained contexts, and its (context, token)
+  pairs seen twice or more.  The most frequent keys, ``HEAD`` at most, are sent to all tasks; the
+  text's rarer keys join the tree by key and are summed by text.  A key that isn't sent is too rare
+  to make a task uneven.
+
+Counting: each task adds up its own texts and passes on, for each context, one packed list of next
+tokens; contexts seen more than ``PART`` times are cut into parts by their next token.  What tasks
+are sent is bounded: ``HEAD`` keys, and a bitmap of at most ``BITS`` bits by which they leave out
+what isn't in the tree; a full bitmap costs more rows, never a wrong score.
+
+Words are compared by 64-bit hashes.  Null texts count as empty: one end.  A null id counts as the
+empty text for its fold.  Repeated rows each get a row.  Very long texts are hashed in pieces.
+Without training texts counts are zero and the tree is its root.  Other columns are ignored.  An
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm._shared import ship, written
+from tidelake.llm._shared import forget, ship, written
 
-DEPTH, MIN_COUNT, DIVERGENCE = 5, 32, 8.0
-#: Words that are summed up in the texts' own tasks, at most.
-HEAD = 65_536
-#: Rows of the tree in a task's memory at a time (16 bytes each).
-SHARD_ROWS = 2_000_000
-#: Distinct words that a task gathers before it hands them on.
-GATHER = 400_000
-BLANK = 0x20
-
-
-def count_words(texts: DataFrame) -> DataFrame:
-    """texts: ``text`` (binary), ``trains``.  ``word``, ``n``: occurrences in training texts, summed
-    up a task; words that only other texts have come with 0."""
+MIN_COUNT, GAIN = 32, 8.0
+#: Keys that every task holds, at most.
+HEAD = 1 << 20
+#: Bits of the filter that every task holds, at most.
+BITS = 1 << 28
+#: Occurrences of a context from which its next tokens are counted in parts.
+PART = 1 << 20
+#: Bytes hashed at a time, tokens scored at a time, and tokens gathered before their counts are passed on.
+PIECE, BLOCK, GATHER = 1 << 20, 1 << 19, 1 << 22
+
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+_ODD, _STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit numbers; one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_BYTES = np.arange(256, dtype=np.uint64)
+_IS_SPACE = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))
+_VALUES = mix((_BYTES + np.where((_BYTES >= 65) & (_BYTES <= 90), 32, 0).astype(np.uint64) + np.uint64(1)) * np.uint64(_ODD))  # of bytes in lower case
+END, ROOT = mix(np.array([1, 2], dtype=np.uint64))
+_powers: list[np.ndarray] = []
+
+
+def _powers_of(n: int) -> list[np.ndarray]:
+    """The first n powers of an odd number and of its inverse."""
+    if not _powers or len(_powers[0]) < n:
+        ones = lambda base: np.multiply.accumulate(np.r_[np.uint64(1), np.full(max(n, PIECE), base, dtype=np.uint64)])
+        _powers[:] = [ones(_STEP), ones(pow(_STEP, -1, 1 << 64))]
+    return _powers
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes and where they begin."""
+    hashes, begins, at = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], 0
+    while at < len(data):
+        space = _SPACE.search(data, at + PIECE)
+        end = space.start() if space else len(data)
+        buf = np.frombuffer(data, dtype=np.uint8, count=end - at, offset=at)
+        up, down = _powers_of(len(buf) + 1)
+        sums = np.zeros(len(buf) + 1, dtype=np.uint64)
+        np.cumsum(_VALUES[buf] * up[: len(buf)], out=sums[1:])
+        blank = np.ones(len(buf) + 2, dtype=bool)
+        blank[1:-1] = _IS_SPACE[buf]
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        lo, hi = edges[0::2], edges[1::2]
+        hashes.append(mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64) * np.uint64(_ODD)))
+        begins.append(lo + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(begins)
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' tokens, one text after the other: hash, the text's number, the place in the text."""
+    h, begin = word_hashes(b"\n".join(texts))
+    first = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+    of = np.searchsorted(first, begin, side="right") - 1
+    sizes = np.bincount(of, minlength=len(texts)) + 1
+    out = np.full(len(h) + len(texts), END, dtype=np.uint64)
+    out[np.arange(len(h)) + of] = h
+    return out, np.repeat(np.arange(len(texts)), sizes), np.arange(len(out)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of a context with one word more before it."""
+    return mix(context * np.uint64(_ODD) + word)
+
+
+def gram(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """The key of a token after a context."""
+    return mix(context + token * np.uint64(_STEP))
+
+
+def _holds(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def bitmap_of(keys: DataFrame, bits: int = BITS) -> np.ndarray:
+    """A bit is set for each of the column ``key``'s values; at most so many bits."""
+    bits = min(bits, max(1 << 15, 1 << (16 * keys.count()).bit_length()))
+    place = keys.select(F.col("key").bitwiseAND(F.lit(bits - 1)).alias("p"))
+    rows = place.groupBy(F.shiftright("p", 15).alias("at")).agg(F.expr("bitmap_construct_agg(p & 32767)").alias("bitmap")).collect()  # 4 kB each
+    whole = np.zeros((bits >> 15, 4096), dtype=np.uint8)
+    for r in rows:
+        whole[r["at"]] = np.frombuffer(r["bitmap"], dtype=np.uint8)
+    return whole.ravel()
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[tuple[list[pa.RecordBatch], list[bytes]]]:
+    """Rows, some at a time, and their texts."""
+    rows, texts, size = [], [], 0
+    for b in batches:
+        at = 0
+        for i, t in enumerate(b.column(column), 1):
+            texts.append(t.as_py())
+            size += len(texts[-1])
+            if size >= most:
+                yield [*rows, b.slice(at, i - at)], texts
+                rows, texts, size, at = [], [], 0, i
+        if at < b.num_rows:
+            rows.append(b.slice(at))
+    if texts:
+        yield rows, texts
+
+
+def count_tokens(texts: DataFrame) -> DataFrame:
+    """texts: ``text`` (binary).  ``key``, ``n``: the occurrences of each token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-            seen.clear()
-            return batch
-
-        for b in batches:
-            for text, trains in zip(b.column(0), b.column(1), strict=True):
-                words = (text.as_py() or b"").lower().split()
-                seen.update(words) if trains.as_py() else seen.update(dict.fromkeys(words, 0))
-                if len(seen) > GATHER:
-                    yield out()
-        if seen:
-            yield out()
+        for _, part in _gathered(batches, 0, 4 * GATHER):
+            key, n = np.unique(tokens(part)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([_signed(key), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-    return texts.select("text", "trains").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _positions(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All bytes to predict in the words, one after the other: the word's number, the byte, how many
-    bytes come before it in its word with the blank, and those bytes, the last in the low byte."""
-    flat = np.frombuffer(b"".join([b" " + w + b" " for w in words]), dtype=np.uint8).astype(np.int64)
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
-    word, place = np.repeat(np.arange(len(words)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    before = np.zeros(len(flat), dtype=np.int64)
-    for d in range(1, DEPTH + 1):
-        before[d:] |= np.where(place[d:] >= d, flat[:-d], 0) << 8 * (d - 1)
-    use = place > 0
-    return word[use], flat[use], place[use], before[use]
+def _next_tokens(texts: DataFrame, depth: int, filter_, hot) -> DataFrame:
+    """For each context of ``depth`` words whose shorter ones pass the filter, the tokens after it as
+    far as one task sees them: ``ctx``, ``part``, ``pctx`` (its suffix), ``xs`` and ``ns`` (packed)."""
+    names = ["ctx", "part", "pctx", "xs", "ns"]
 
-
-def gram(depth: int, before: np.ndarray, byte: np.ndarray) -> np.ndarray:
-    """The key of a byte after a context: depth, context, byte."""
-    return depth << 48 | (before & (1 << 8 * depth) - 1) << 8 | byte
-
-
-def count_grams(words: DataFrame) -> DataFrame:
-    """words: ``word``, ``c``.  ``g``, ``n``: how often a byte follows a context, of every depth."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap, (hot_words, hot_bits) = filter_.value, hot.value
+        for _, part in _gathered(batches, 0, 4 * GATHER):
+            h, _, place = tokens(part)
+            at = np.flatnonzero(place >= depth)
+            if depth == 1:
+                at = at[_holds(bitmap, h[at - 1])]
+            ctx = np.full(len(at), ROOT)
+            before = ctx
+            for d in range(1, depth + 1):
+                before, ctx = ctx, _longer(ctx, h[at - d])
+                if d < depth:
+                    live = _holds(bitmap, ctx)
+                    at, ctx = at[live], ctx[live]
+            if not len(at):
+                continue
+            last, x = h[at - 1], h[at]
+            cut = np.zeros(len(at), dtype=np.uint64)
+            if len(hot_words):
+                i = np.minimum(np.searchsorted(hot_words, last), len(hot_words) - 1)
+                bits = np.where(hot_words[i] == last, hot_bits[i], 0).astype(np.uint64)
+                cut = np.where(bits > 0, x >> (np.uint64(64) - np.maximum(bits, np.uint64(1))), np.uint64(0))
+            group = _longer(ctx, cut)  # of a context's part
+            _, first, g = np.unique(group, return_index=True, return_inverse=True)
+            x_kinds, xi = np.unique(x, return_inverse=True)
+            pairs, n = np.unique(g.astype(np.uint64) << np.uint64(32) | xi.astype(np.uint64), return_counts=True)
+            copies = -(-n // 255)  # a count is a byte
+            many = np.repeat(np.arange(len(pairs)), copies)
+            rest = n[many] - 255 * (np.arange(len(many)) - np.repeat(np.cumsum(copies) - copies, copies))
+            pairs, n = pairs[many], np.minimum(rest, 255).astype(np.uint8)
+            of, xs = (pairs >> np.uint64(32)).astype(np.int64), x_kinds[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+            ends = np.r_[0, np.cumsum(np.bincount(of, minlength=len(first)))].astype(np.int64)
+            for lo in range(0, len(first), 1 << 16):  # so that no packed column is too large
+                hi = min(lo + (1 << 16), len(first))
+                some, cuts = first[lo:hi], ends[lo : hi + 1]
+                packed = lambda data, size: pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((cuts - cuts[0]) * size), pa.py_buffer(data[cuts[0] : cuts[-1]].tobytes())]).cast(pa.binary())  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([_signed(ctx[some]), pa.array(cut[some].astype(np.int32)), _signed(before[some] if depth > 1 else np.full(len(some), ROOT)), packed(xs, 8), packed(n, 1)], names=names)
+
+    return texts.select("text").mapInArrow(run, "ctx long, part int, pctx long, xs binary, ns binary")
+
+
+def _merged(lists: DataFrame, head) -> DataFrame:
+    """Adds up the tasks' lists.  A row for each context's part, where ``x`` is null: ``once``, ``twice``
+    (numbers of tokens seen so often), ``kinds`` (tokens seen twice or more), ``sum`` (of their counts);
+    and a row for each token seen twice or more: ``x``, ``n``, its key ``key``, and ``xn``, the
+    token's own count where it is one of the head's, else null."""
+    names = ["ctx", "pctx", "once", "twice", "kinds", "sum", "x", "n", "key", "xn"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = [], 0
         for b in batches:
-            word, byte, place, before = _positions(b.column(0).to_pylist())
-            weight = b.column(1).to_numpy()[word]
-            for d in range(DEPTH + 1):
-                at = place >= d if d else slice(None)
-                g, which = np.unique(gram(d, before[at], byte[at]), return_inverse=True)
-                n = np.bincount(which, weights=weight[at], minlength=len(g))
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.rint(n).astype(np.int64))], names=["g", "n"])
-
-    return words.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-
-
-def retained(grams: DataFrame, min_count: int = MIN_COUNT, divergence: float = DIVERGENCE) -> DataFrame:
-    """The rows ``g``, ``n`` of the contexts that are retained, the root's too."""
-    grams = grams.withColumn("s", F.shiftright("g", 8))
-    totals = grams.groupBy("s").agg(F.sum("n").alias("total")).filter(F.col("total") >= min_count)
-    frequent = written(grams.join(totals, "s"), "contexts")
-    child = frequent.filter(F.shiftright("g", 48) > 0)
-    parent = frequent.select(F.col("g").alias("pg"), F.col("n").alias("pn"), F.col("total").alias("ptotal"))
-    keyed = child.select("s", "n", "total", _parent("g", 8).alias("pg"))
-    log_ratio = F.log(F.col("n") / F.col("total") * F.col("ptotal") / F.col("pn"))
-    found = keyed.join(parent, "pg").groupBy("s").agg(F.sum(F.col("n") * log_ratio).alias("d")).filter(F.col("d") >= divergence).select("s")
-    states, level = found, found
-    for _ in range(DEPTH - 1):
-        level = level.filter(F.shiftright("s", 40) > 1).select(_parent("s", 0).alias("s"))
-        states = states.unionByName(level)
-    states = states.distinct()
-    return frequent.join(states, "s", "left_semi").select("g", "n").unionByName(grams.filter(F.shiftright("g", 48) == 0).select("g", "n"))
-
-
-def _parent(col: str, shift: int) -> Column:
-    """The key after the context's suffix, its oldest byte dropped; shift: the bits of the byte."""
-    at = 40 + shift
-    return F.expr(f"shiftleft(shiftright({col}, {at}) - 1, {at}) | ({col} & (shiftleft(1L, cast(8 * (shiftright({col}, {at}) - 1) + {shift} as int)) - 1))")
-
-
-class Tree:
-    """The states of a shard, ready for scoring."""
-
-    def __init__(self, g: np.ndarray, n: np.ndarray):
-        order = np.argsort(g)
-        self.g, self.n = g[order], n[order].astype(np.float64)
-        states, first = np.unique(self.g >> 8, return_index=True)
-        self.states = states
-        self.total = np.add.reduceat(self.n, first) if len(first) else np.zeros(0)
-        self.kinds = np.diff(np.r_[first, len(self.g)]).astype(np.float64)
-
-    def _find(self, sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(sorted_keys, keys), max(0, len(sorted_keys) - 1))
-        return at, (sorted_keys[at] == keys) if len(sorted_keys) else np.zeros(len(keys), dtype=bool)
-
-    def log10(self, byte: np.ndarray, place: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """The log10 probability of each byte after what comes before it in its word."""
-        p = np.full(len(byte), 1 / 256)
-        live = np.arange(len(byte))
-        for d in range(DEPTH + 1):  # a state's suffixes are states, so what isn't found can be left
-            live = live[place[live] >= d]
-            g = gram(d, before[live], byte[live])
-            at, is_state = self._find(self.states, g >> 8)
-            live, at, g = live[is_state], at[is_state], g[is_state]
-            if not len(live):
-                break
-            where, seen = self._find(self.g, g)
-            n = np.where(seen, self.n[where], 0)
-            p[live] = (n + self.kinds[at] * p[live]) / (self.total[at] + self.kinds[at])
-        return np.log10(p)
-
-
-def _shards(tree: DataFrame, rows: int) -> list[list[int]]:
-    """Last bytes of contexts, dealt into shards of about so many rows; -1 stands for the root."""
-    per = tree.filter(F.shiftright("g", 48) > 0).groupBy(F.shiftright("g", 8).bitwiseAND(F.lit(255)).alias("last")).count().collect()
-    shards, size = [[]], 0
-    for r in sorted(per, key=lambda r: r["last"]):
-        if shards[-1] and size + r["count"] > rows:
-            shards.append([])
-            size = 0
-        shards[-1].append(int(r["last"]))
-        size += r["count"]
-    known = {b for s in shards for b in s}
-    shards[0] += [b for b in range(256) if b not in known]
-    return shards
-
-
-def score_words(spark: SparkSession, words: DataFrame, tree: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """words: ``word``, ``c``; adds ``logp``, the tree's log10 probability of the word."""
-    out = words.withColumn("logp", F.lit(0.0))
-    for last in _shards(tree, shard_rows):
-        part = tree.filter((F.shiftright("g", 48) == 0) | F.shiftright("g", 8).bitwiseAND(F.lit(255)).isin(last)).toArrow()  # so many rows
-        sent = spark.sparkContext.broadcast((part.column("g").to_numpy(), part.column("n").to_numpy(), np.isin(np.arange(256), last)))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            g, n, own = sent.value
-            tree = Tree(g, n)
-            for b in batches:
-                word, byte, place, before = _positions(b.column(0).to_pylist())
-                mine = own[before & 255]
-                logs = tree.log10(byte[mine], place[mine], before[mine])
-                total = b.column(2).to_numpy() + np.bincount(word[mine], weights=logs, minlength=b.num_rows)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total)], names=["word", "c", "logp"])
-
-        out = out.mapInArrow(run, "word binary, c long, logp double")
-    return out
-
-
-def _head_count(words: DataFrame, head: int) -> int:
-    """The smallest count that at most ``head`` words reach."""
-    step = F.greatest(F.floor(F.log2("c")).cast("int") - 6, F.lit(0))
-    low = F.expr("shiftleft(shiftright(c, step), step)")
-    sizes = words.filter("c > 0").withColumn("step", step).groupBy(low.alias("low")).count().orderBy(F.col("low").desc()).collect()  # 64 rows a power of two
+            kept.append(b)
+            size += pa.compute.sum(pa.compute.binary_length(b.column(4))).as_py() or 0
+            if size >= GATHER:
+                x = pa.Table.from_batches(kept).combine_chunks()
+                ctx, part = (x.column(c).to_numpy() for c in ("ctx", "part"))
+                whole = np.flatnonzero((ctx != ctx[-1]) | (part != part[-1]))  # the last group may go on
+                cut = int(whole[-1]) + 1 if len(whole) else 0
+                yield from added(x.slice(0, cut))
+                kept = x.slice(cut).to_batches()
+                size = sum(pa.compute.sum(pa.compute.binary_length(k.column(4))).as_py() for k in kept)
+        if kept:
+            yield from added(pa.Table.from_batches(kept))
+
+    def added(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not t.num_rows:
+            return
+        ctx, part, pctx = (t.column(c).to_numpy() for c in ("ctx", "part", "pctx"))
+        new = np.r_[True, (ctx[1:] != ctx[:-1]) | (part[1:] != part[:-1])]
+        first, g = np.flatnonzero(new), np.cumsum(new) - 1
+        blob = lambda c: b"".join(t.column(c).to_pylist())
+        x, n = np.frombuffer(blob("xs"), dtype=np.uint64), np.frombuffer(blob("ns"), dtype=np.uint8).astype(np.int64)
+        g = np.repeat(g, pa.compute.binary_length(t.column("ns")).to_numpy())
+        kinds, xi = np.unique(x, return_inverse=True)
+        pair = g.astype(np.uint64) << np.uint64(32) | xi.astype(np.uint64)
+        order = np.argsort(pair)
+        pair, n = pair[order], n[order]
+        starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        n = np.add.reduceat(n, starts)
+        g, x = (pair[starts] >> np.uint64(32)).astype(np.int64), kinds[(pair[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        count = lambda mask, w=None: pa.array(np.rint(np.bincount(g[mask], weights=None if w is None else w[mask], minlength=len(first))).astype(np.int64))
+        many = n >= 2
+        none = lambda k, kind=pa.int64(): pa.nulls(k, kind)
+        yield pa.RecordBatch.from_arrays([pa.array(ctx[first]), pa.array(pctx[first]), count(n == 1), count(n == 2), count(many), count(many, n), *(none(len(first)) for _ in range(4))], names=names)
+        g, x, n = g[many], x[many], n[many]
+        words, counts = head.value
+        at = np.minimum(np.searchsorted(words, x), max(0, len(words) - 1))
+        known = words[at] == x if len(words) else np.zeros(len(x), dtype=bool)
+        own = pa.array(counts[at] if len(words) else np.zeros(len(x), dtype=np.int64), mask=~known)
+        c = ctx[first][g]
+        yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(pctx[first][g]), *(none(len(g)) for _ in range(4)), _signed(x), pa.array(n), _signed(gram(c.view(np.uint64), x)), own], names=names)
+
+    dealt = lists.repartition("ctx", "part").sortWithinPartitions("ctx", "part")
+    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _head(keys: DataFrame, head: int) -> int:
+    """The smallest count ``n`` that at most ``head`` keys reach."""
+    step = F.greatest(F.floor(F.log2("n")).cast("int") - 6, F.lit(0))
+    low = F.expr("shiftleft(shiftright(n, step), step)")
+    sizes = keys.withColumn("step", step).groupBy(low.alias("low")).count().orderBy(F.col("low").desc()).collect()  # 64 rows a power of two
     least, n = (1 << 62), 0
     for r in sizes:
         n += r["count"]
@@ -211,57 +281,121 @@ def _head_count(words: DataFrame, head: int) -> int:
     return least
 
 
-def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, min_count: int = MIN_COUNT, divergence: float = DIVERGENCE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def _sorted(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """The columns, by the key as an unsigned number."""
+    key = table.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    return (key[order], *(table.column(c).to_numpy()[order] for c in table.column_names if c != "key"))
+
+
+def grow(texts: DataFrame, words: DataFrame, total: int, min_count: int = MIN_COUNT, gain: float = GAIN, head: int = HEAD) -> list[DataFrame]:
+    """The tree's keys of each level: ``key``, ``n`` (occurrences), ``delta`` (what it adds to a
+    score).  texts: the training texts; words: ``key``, ``n``; total: tokens, kinds and one."""
+    spark = texts.sparkSession
+    send = spark.sparkContext.broadcast
+    least = _head(words, head)
+    frequent = send(_sorted(words.filter(F.col("n") >= least).toArrow()))
+    hot = words.filter((F.col("n") >= least) & (F.col("n") > PART)).withColumn("bits", F.ceil(F.log2(F.col("n") / PART)).cast("int")).select("key", "bits")
+    hot = send(_sorted(hot.toArrow()))
+    rare = words.filter(F.col("n") < least).select(F.col("key").alias("x"), F.col("n").alias("xn"))
+    passing = send(bitmap_of(words.filter(F.col("n") >= min_count).select("key")))
+    tree: list[DataFrame] = []
+    contexts, parents, depth = None, None, 1
+    while True:
+        merged = written(_merged(_next_tokens(texts, depth, passing, hot), frequent), "next-tokens")
+        sizes = merged.filter("x is null").groupBy("ctx").agg(*(F.sum(c).alias(c) for c in ("once", "twice", "kinds", "sum"))).filter(F.col("once") + F.col("sum") >= min_count)
+        sizes = written(sizes.withColumn("share", F.col("once") + F.col("kinds")), "contexts")
+        pairs = merged.filter("x is not null").select("ctx", "pctx", "x", "n", "key", "xn")
+        if parents is None:
+            found = pairs.filter("xn is not null").unionByName(pairs.filter("xn is null").drop("xn").join(rare, "x"))
+            pairs = found.withColumn("ps", (F.col("xn") + 1) / F.lit(float(total))).drop("xn")
+        else:
+            pairs = pairs.drop("xn").join(parents, ["pctx", "x"])
+        # each occurrence left out: of two one is left, which goes to the share
+        left = F.when(F.col("n") > 2, F.col("n") * F.log((F.col("n") - 1 + F.col("share") * F.col("ps")) / (F.col("ps") * (F.col("sum") + F.col("share") - 1)))).otherwise(0.0)
+        pairs = seen = written(pairs.join(sizes, "ctx"), "tree-pairs")
+        forget(merged)
+        of_pairs = pairs.groupBy("ctx").agg(F.sum(left).alias("gained"))
+        z, some = F.col("sum") + F.col("share"), F.lit(0.5)
+        twice = 2 * F.col("twice") * F.log(F.col("share") / F.greatest(z - 2, some))
+        once = F.col("once") * F.log(F.greatest(F.col("share") - 1, some) / F.greatest(z - 1, some))
+        gained = F.coalesce("gained", F.lit(0.0)) + F.when(F.col("twice") > 0, twice).otherwise(0.0) + F.when(F.col("once") > 0, once).otherwise(0.0)
+        kept = written(sizes.join(of_pairs, "ctx", "left").filter(gained >= gain).select("ctx", (F.col("once") + F.col("sum")).alias("n"), F.log10(F.col("share") / z).alias("delta")), "retained")
+        if kept.isEmpty():
+            return tree
+        p = (F.col("n") + F.col("share") * F.col("ps")) / z
+        pairs = written(pairs.join(kept.select("ctx"), "ctx", "left_semi").select("ctx", "x", "n", "key", p.alias("p"), (F.log10(p / F.col("ps")) - F.log10(F.col("share") / z)).alias("delta")), "tree-level")
+        forget(seen, sizes)
+        tree += [kept.select(F.col("ctx").alias("key"), "n", "delta"), pairs.select("key", "n", "delta")]
+        parents = pairs.select(F.col("ctx").alias("pctx"), "x", F.col("p").alias("ps"))
+        contexts = kept.select(F.col("ctx").alias("key")) if contexts is None else contexts.unionByName(kept.select(F.col("ctx").alias("key")))
+        passing.unpersist()
+        passing = send(bitmap_of(contexts))
+        depth += 1
+
+
+def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, min_count: int = MIN_COUNT, gain: float = GAIN, bits: int = BITS) -> DataFrame:
     """One row for each input row: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``,
-    ``train_tokens``, ``base_score`` (add-one unigrams), ``score`` (the model's log10 probability).
+    ``train_tokens``, ``base_score`` (add-one unigrams), ``score`` (the tree's log10 probability).
 
     trains: which rows the model learns from."""
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"))
-    counts = written(count_words(src), "word-counts")
-    ends = src.filter("trains").count()
-    known = counts.filter("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n, v = (known["n"] or 0) + ends, known["v"] + (ends > 0)
-    tree = written(retained(count_grams(counts.filter("c > 0")), min_count, divergence), "suffix-tree")
-    words = written(score_words(spark, counts, tree, shard_rows), "word-scores")
-    least = _head_count(words, head)
-    top = words.filter(F.col("c") >= least).toArrow()  # at most ``head`` rows
-    sent = spark.sparkContext.broadcast((top.column("word").to_pylist(), np.log10(top.column("c").to_numpy() + 1.0), top.column("logp").to_numpy()))
-    stop, go = math.log10((ends + 1) / (n + 2)), math.log10((n - ends + 1) / (n + 2))
-    end_base, end_known = math.log10(ends + 1), int(ends > 0)
+    training = src.filter("trains").select("text")
+    words = written(count_tokens(training), "token-counts")
+    known = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    n, v = known["n"] or 0, known["v"]
+    keys = words.select("key", "n", F.log10(F.col("n") + 1).alias("base"), F.lit(0.0).alias("delta"), F.lit(1).alias("known"))
+    for level in grow(training, words, n + v + 1, min_count, gain, head):
+        keys = keys.unionByName(level.select("key", "n", F.lit(0.0).alias("base"), "delta", F.lit(0).alias("known")))
+    keys = written(keys, "suffix-tree")
+    least = _head(keys, head)
+    sent = spark.sparkContext.broadcast(_sorted(keys.filter(F.col("n") >= least).drop("n").toArrow()))
+    there = spark.sparkContext.broadcast(bitmap_of(keys.select("key"), bits))
+    names = ["rid", "key", "doc_id", "held_out", "n_tokens", "n_known", "base", "delta"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, base, logp = sent.value
-        place = {w: i for i, w in enumerate(names)}
-        for b in batches:
-            rid, of, tf, word, sums = b.column(0).to_pylist(), [], [], [], []
-            for r, t in zip(rid, b.column(1), strict=True):
-                tokens = t.as_py().lower().split()
-                bag = Counter(tokens)
-                at = [(place[w], m) for w, m in bag.items() if w in place]
-                rest = [(w, m) for w, m in bag.items() if w not in place]
-                i, m = np.array([a for a, _ in at], dtype=np.int64), np.array([a for _, a in at], dtype=np.int64)
-                sums.append((len(tokens) + 1, int(m.sum()) + end_known, float(base[i] @ m) + end_base, float(logp[i] @ m) + len(tokens) * go + stop))
-                of += [r] * len(rest)
-                word += [w for w, _ in rest]
-                tf += [a for _, a in rest]
-            none = len(rid) * [None]
-            own = [b" %d" % r for r in rid]  # no word: rows of texts are dealt out evenly
-            yield pa.RecordBatch.from_arrays([pa.array(rid + of, pa.int64()), pa.array(own + word, pa.binary()), pa.array(none + tf, pa.int64()), *(pa.array(list(x) + len(of) * [None], k) for x, k in zip(zip(*sums, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)), pa.concat_arrays([b.column(2), pa.nulls(len(of), b.column(2).type)]), pa.concat_arrays([b.column(3), pa.nulls(len(of), pa.bool_())])], names=["rid", "word", "tf", "n_tokens", "n_known", "base", "logp", "doc_id", "held_out"])
-
-    keyed = src.withColumn("rid", F.monotonically_increasing_id()).select("rid", "text", "doc_id", (~F.col("trains")).alias("held_out"))
-    rows = keyed.mapInArrow(run, f"rid long, word binary, tf long, n_tokens long, n_known long, base double, logp double, doc_id {kind}, held_out boolean")
-    rare = words.filter(F.col("c") < least).select("word", "c", F.col("logp").alias("wlogp"))
-    met = rows.join(rare, "word", "left").select(
-        "rid", "doc_id", "held_out", "n_tokens",
-        F.coalesce("n_known", F.when(F.col("c") > 0, F.col("tf"))).alias("n_known"),
-        F.coalesce("base", F.col("tf") * F.log10(F.col("c") + 1)).alias("base"), F.coalesce("logp", F.col("tf") * F.col("wlogp")).alias("logp"),
+        (sent_keys, base, delta, is_word), bitmap = sent.value, there.value
+        for rows, texts in _gathered(batches, 1, 4 * BLOCK):
+            h, of, place = tokens(texts)
+            key, doc = [h], [of]
+            at, ctx, d = np.arange(len(h)), np.full(len(h), ROOT), 1
+            while len(at):
+                far = place[at] >= d
+                at, ctx = at[far], _longer(ctx[far], h[at[far] - d])
+                live = _holds(bitmap, ctx)
+                at, ctx, d = at[live], ctx[live], d + 1
+                key += [ctx, gram(ctx, h[at])]
+                doc += [of[at], of[at]]
+            key, doc = np.concatenate(key), np.concatenate(doc)
+            use = _holds(bitmap, key)
+            key, doc = key[use], doc[use]
+            i = np.minimum(np.searchsorted(sent_keys, key), max(0, len(sent_keys) - 1))
+            mine = sent_keys[i] == key if len(sent_keys) else np.zeros(len(key), dtype=bool)
+            i, to = i[mine], doc[mine]
+            total = lambda w: np.bincount(to, weights=w[i], minlength=len(texts)) if len(i) else np.zeros(len(texts))  # noqa: E731, B023
+            t = pa.Table.from_batches(rows).combine_chunks()
+            column = lambda c: pa.concat_arrays(t.column(c).chunks)  # noqa: E731, B023
+            m = len(texts)
+            yield pa.RecordBatch.from_arrays([column("rid"), pa.nulls(m, pa.int64()), column("doc_id"), column("held_out"), pa.array(np.bincount(of, minlength=m).astype(np.int64)), pa.array(np.rint(total(is_word)).astype(np.int64)), pa.array(total(base)), pa.array(total(delta))], names=names)
+            rid, rest = column("rid").to_numpy()[doc[~mine]], key[~mine]
+            k = len(rest)
+            yield pa.RecordBatch.from_arrays([pa.array(rid), _signed(rest), pa.nulls(k, t.schema.field("doc_id").type), pa.nulls(k, pa.bool_()), *(pa.nulls(k, x) for x in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
+
+    keyed = src.select(F.monotonically_increasing_id().alias("rid"), "text", "doc_id", (~F.col("trains")).alias("held_out"))
+    out = keyed.mapInArrow(run, f"rid long, key long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, delta double")
+    out = written(out, "score-rows")
+    rare = keys.filter(F.col("n") < least).select("key", "base", "delta", "known")
+    more = out.filter("key is not null").select("rid", "key").join(rare, "key").groupBy("rid").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("delta").alias("more_delta"))
+    total = out.filter("key is null").drop("key").join(more, "rid", "left")
+    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
+    base = plus("base", "more_base") - F.col("n_tokens") * math.log10(n + v + 1)
+    return total.select(
+        "doc_id", "held_out", "n_tokens", plus("n_known", "more_known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"),
+        (base + plus("delta", "more_delta")).alias("score"),
     )
-    total = met.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("logp").alias("score"))
-    floor = math.log10(n + v + 1)
-    return total.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * floor).alias("base_score"), "score")
 
 
 def fold(id_col: str = "doc_id", folds: int = 7) -> Column:
