@@ -5,7 +5,7 @@ over the training tokens and one unknown token.  Its other states are contexts:
 before a token, across the whole text, with no limit to d.
 
 * The tree grows level by level.  A context of d words is looked at where its suffix of d - 1 words
-  was retained; it is retained if it was seen ``MIN_COUNT`` times and its next tokens diverge from
+  was retained and its first two words were seen together ``MIN_COUNT`` times; it is retained if it was seen ``MIN_COUNT`` times and its next tokens diverge from
   those after its suffix: their log-likelihood under the context's smoothed distribution, each
   occurrence left out in turn, is ``GAIN`` nats above that under the suffix's distribution.  Growth
   ends at the first level that retains nothing, so a longer or more regular corpus has a deeper tree.
@@ -48,8 +48,8 @@ HEAD = 1 << 20
 BITS = 1 << 28
 #: Occurrences of a context from which its next tokens are counted in parts.
 PART = 1 << 20
-#: Bytes hashed at a time, tokens scored at a time, and tokens gathered before their counts are passed on.
-PIECE, BLOCK, GATHER = 1 << 20, 1 << 19, 1 << 22
+#: Bytes hashed at a time, bytes of texts scored at a time and counted at a time, and next tokens added up at a time.
+PIECE, BLOCK, GATHER, ADD = 1 << 20, 1 << 21, 1 << 23, 1 << 20
 
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _ODD, _STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -65,7 +65,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTES = np.arange(256, dtype=np.uint64)
 _IS_SPACE = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))
 _VALUES = mix((_BYTES + np.where((_BYTES >= 65) & (_BYTES <= 90), 32, 0).astype(np.uint64) + np.uint64(1)) * np.uint64(_ODD))  # of bytes in lower case
-END, ROOT = mix(np.array([1, 2], dtype=np.uint64))
+END, ROOT = mix(np.array([[1], [2]], dtype=np.uint64))  # arrays of one
 _powers: list[np.ndarray] = []
 
 
@@ -105,7 +105,8 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.bincount(of, minlength=len(texts)) + 1
     out = np.full(len(h) + len(texts), END, dtype=np.uint64)
     out[np.arange(len(h)) + of] = h
-    return out, np.repeat(np.arange(len(texts)), sizes), np.arange(len(out)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    begin = np.cumsum(sizes) - sizes
+    return out, np.repeat(np.arange(len(texts), dtype=np.int32), sizes), (np.arange(len(out)) - np.repeat(begin, sizes)).astype(np.int32)
 
 
 def _longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -159,44 +160,64 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     """texts: ``text`` (binary).  ``key``, ``n``: the occurrences of each token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, part in _gathered(batches, 0, 4 * GATHER):
+        for _, part in _gathered(batches, 0, GATHER):
             key, n = np.unique(tokens(part)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([_signed(key), pa.array(n.astype(np.int64))], names=["key", "n"])
 
     return texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _next_tokens(texts: DataFrame, depth: int, filter_, hot) -> DataFrame:
+def _next_tokens(texts: DataFrame, depth: int, filter_, together, hot) -> DataFrame:
     """For each context of ``depth`` words whose shorter ones pass the filter, the tokens after it as
-    far as one task sees them: ``ctx``, ``part``, ``pctx`` (its suffix), ``xs`` and ``ns`` (packed)."""
+    far as one task sees them: ``ctx``, ``part``, ``pctx`` (its suffix), ``xs`` and ``ns`` (packed).
+    together: pairs of words that are frequent."""
     names = ["ctx", "part", "pctx", "xs", "ns"]
 
+    def contexts(h: np.ndarray, place: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The places to count at, their contexts and the contexts' suffixes."""
+        bitmap = filter_.value
+        at = at[place[at] >= depth]
+        if depth == 1:
+            at = at[_holds(bitmap, h[at - 1])]
+        ctx = before = np.full(len(at), ROOT)
+        for d in range(1, depth + 1):
+            if d > 1:
+                live = _holds(together.value, gram(_longer(ROOT, h[at - d]), h[at - d + 1]))
+                at, ctx = at[live], ctx[live]
+            before, ctx = ctx, _longer(ctx, h[at - d])
+            if d < depth:
+                live = _holds(bitmap, ctx)
+                at, ctx = at[live], ctx[live]
+        return at, ctx, before
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, (hot_words, hot_bits) = filter_.value, hot.value
-        for _, part in _gathered(batches, 0, 4 * GATHER):
+        hot_words, hot_bits = hot.value
+        for _, part in _gathered(batches, 0, GATHER):
             h, _, place = tokens(part)
-            at = np.flatnonzero(place >= depth)
-            if depth == 1:
-                at = at[_holds(bitmap, h[at - 1])]
-            ctx = np.full(len(at), ROOT)
-            before = ctx
-            for d in range(1, depth + 1):
-                before, ctx = ctx, _longer(ctx, h[at - d])
-                if d < depth:
-                    live = _holds(bitmap, ctx)
-                    at, ctx = at[live], ctx[live]
+            at, ctx, before = contexts(h, place, np.arange(len(h)))
             if not len(at):
                 continue
             last, x = h[at - 1], h[at]
-            cut = np.zeros(len(at), dtype=np.uint64)
+            x_kinds, ids = np.unique(h, return_inverse=True)
+            del h, place
+            cut = np.zeros(len(x), dtype=np.uint64)
             if len(hot_words):
                 i = np.minimum(np.searchsorted(hot_words, last), len(hot_words) - 1)
                 bits = np.where(hot_words[i] == last, hot_bits[i], 0).astype(np.uint64)
                 cut = np.where(bits > 0, x >> (np.uint64(64) - np.maximum(bits, np.uint64(1))), np.uint64(0))
-            group = _longer(ctx, cut)  # of a context's part
-            _, first, g = np.unique(group, return_index=True, return_inverse=True)
-            x_kinds, xi = np.unique(x, return_inverse=True)
+            if depth == 1 and not cut.any():  # a group is a word
+                g = ids[at - 1]
+                there = np.unique(g)
+                number = np.zeros(len(x_kinds), dtype=np.int64)
+                number[there] = np.arange(len(there))
+                g, first = number[g], np.zeros(len(there), dtype=np.int64)
+                first[g] = np.arange(len(g))
+            else:
+                _, first, g = np.unique(_longer(ctx, cut), return_index=True, return_inverse=True)  # parts of contexts
+            xi = ids[at]
+            ctx, before, cut = ctx[first], before[first], cut[first]
             pairs, n = np.unique(g.astype(np.uint64) << np.uint64(32) | xi.astype(np.uint64), return_counts=True)
+            del last, x, g, xi, ids, at
             copies = -(-n // 255)  # a count is a byte
             many = np.repeat(np.arange(len(pairs)), copies)
             rest = n[many] - 255 * (np.arange(len(many)) - np.repeat(np.cumsum(copies) - copies, copies))
@@ -205,9 +226,9 @@ def _next_tokens(texts: DataFrame, depth: int, filter_, hot) -> DataFrame:
             ends = np.r_[0, np.cumsum(np.bincount(of, minlength=len(first)))].astype(np.int64)
             for lo in range(0, len(first), 1 << 16):  # so that no packed column is too large
                 hi = min(lo + (1 << 16), len(first))
-                some, cuts = first[lo:hi], ends[lo : hi + 1]
+                some, cuts = slice(lo, hi), ends[lo : hi + 1]
                 packed = lambda data, size: pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((cuts - cuts[0]) * size), pa.py_buffer(data[cuts[0] : cuts[-1]].tobytes())]).cast(pa.binary())  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([_signed(ctx[some]), pa.array(cut[some].astype(np.int32)), _signed(before[some] if depth > 1 else np.full(len(some), ROOT)), packed(xs, 8), packed(n, 1)], names=names)
+                yield pa.RecordBatch.from_arrays([_signed(ctx[some]), pa.array(cut[some].astype(np.int32)), _signed(before[some]), packed(xs, 8), packed(n, 1)], names=names)
 
     return texts.select("text").mapInArrow(run, "ctx long, part int, pctx long, xs binary, ns binary")
 
@@ -224,7 +245,7 @@ def _merged(lists: DataFrame, head) -> DataFrame:
         for b in batches:
             kept.append(b)
             size += pa.compute.sum(pa.compute.binary_length(b.column(4))).as_py() or 0
-            if size >= GATHER:
+            if size >= ADD:
                 x = pa.Table.from_batches(kept).combine_chunks()
                 ctx, part = (x.column(c).to_numpy() for c in ("ctx", "part"))
                 whole = np.flatnonzero((ctx != ctx[-1]) | (part != part[-1]))  # the last group may go on
@@ -298,14 +319,16 @@ def grow(texts: DataFrame, words: DataFrame, total: int, min_count: int = MIN_CO
     hot = words.filter((F.col("n") >= least) & (F.col("n") > PART)).withColumn("bits", F.ceil(F.log2(F.col("n") / PART)).cast("int")).select("key", "bits")
     hot = send(_sorted(hot.toArrow()))
     rare = words.filter(F.col("n") < least).select(F.col("key").alias("x"), F.col("n").alias("xn"))
-    passing = send(bitmap_of(words.filter(F.col("n") >= min_count).select("key")))
+    passing = together = send(bitmap_of(words.filter(F.col("n") >= min_count).select("key")))
     tree: list[DataFrame] = []
     contexts, parents, depth = None, None, 1
     while True:
-        merged = written(_merged(_next_tokens(texts, depth, passing, hot), frequent), "next-tokens")
+        merged = written(_merged(_next_tokens(texts, depth, passing, together, hot), frequent), "next-tokens")
         sizes = merged.filter("x is null").groupBy("ctx").agg(*(F.sum(c).alias(c) for c in ("once", "twice", "kinds", "sum"))).filter(F.col("once") + F.col("sum") >= min_count)
         sizes = written(sizes.withColumn("share", F.col("once") + F.col("kinds")), "contexts")
         pairs = merged.filter("x is not null").select("ctx", "pctx", "x", "n", "key", "xn")
+        if depth == 1:
+            together = send(bitmap_of(pairs.filter(F.col("n") >= min_count).select("key")))
         if parents is None:
             found = pairs.filter("xn is not null").unionByName(pairs.filter("xn is null").drop("xn").join(rare, "x"))
             pairs = found.withColumn("ps", (F.col("xn") + 1) / F.lit(float(total))).drop("xn")
@@ -358,7 +381,7 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (sent_keys, base, delta, is_word), bitmap = sent.value, there.value
-        for rows, texts in _gathered(batches, 1, 4 * BLOCK):
+        for rows, texts in _gathered(batches, 1, BLOCK):
             h, of, place = tokens(texts)
             key, doc = [h], [of]
             at, ctx, d = np.arange(len(h)), np.full(len(h), ROOT), 1
@@ -372,8 +395,10 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
             key, doc = np.concatenate(key), np.concatenate(doc)
             use = _holds(bitmap, key)
             key, doc = key[use], doc[use]
-            i = np.minimum(np.searchsorted(sent_keys, key), max(0, len(sent_keys) - 1))
-            mine = sent_keys[i] == key if len(sent_keys) else np.zeros(len(key), dtype=bool)
+            kinds, of_kind = np.unique(key, return_inverse=True)
+            i = np.minimum(np.searchsorted(sent_keys, kinds), max(0, len(sent_keys) - 1))
+            mine = (sent_keys[i] == kinds if len(sent_keys) else np.zeros(len(kinds), dtype=bool))[of_kind]
+            i = i[of_kind]
             i, to = i[mine], doc[mine]
             total = lambda w: np.bincount(to, weights=w[i], minlength=len(texts)) if len(i) else np.zeros(len(texts))  # noqa: E731, B023
             t = pa.Table.from_batches(rows).combine_chunks()
