@@ -17,8 +17,9 @@ before a token, across the whole text, with no limit to d.
   text's rarer keys join the tree by key and are summed by text.  A key that isn't sent is too rare
   to make a task uneven.
 
-Counting: each task adds up its own texts and passes on, for each context, one packed list of next
-tokens; contexts seen more than ``PART`` times are cut into parts by their next token.  What tasks
+Counting: each task adds up its own texts and passes on packed lists of contexts and next tokens, one
+for each bucket of contexts; contexts seen more than ``PART`` times are cut into parts by their next
+token.  There are as many buckets as it takes for about ``ADD`` tokens each.  What tasks
 are sent is bounded: ``HEAD`` keys, and a bitmap of at most ``BITS`` bits by which they leave out
 what isn't in the tree; a full bitmap costs more rows, never a wrong score.
 
@@ -48,8 +49,10 @@ HEAD = 1 << 20
 BITS = 1 << 28
 #: Occurrences of a context from which its next tokens are counted in parts.
 PART = 1 << 20
-#: Bytes hashed at a time, bytes of texts scored at a time and counted at a time, and next tokens added up at a time.
-PIECE, BLOCK, GATHER, ADD = 1 << 20, 1 << 21, 1 << 23, 1 << 20
+#: Bytes hashed at a time, bytes of texts scored at a time and counted at a time, and tokens of a bucket.
+PIECE, BLOCK, GATHER, ADD = 1 << 17, 1 << 21, 1 << 22, 1 << 20
+#: Buckets at least, and at most (they are numbered by an int).
+BUCKETS = (64, 1 << 30)
 
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _ODD, _STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -62,9 +65,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTES = np.arange(256, dtype=np.uint64)
-_IS_SPACE = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))
-_VALUES = mix((_BYTES + np.where((_BYTES >= 65) & (_BYTES <= 90), 32, 0).astype(np.uint64) + np.uint64(1)) * np.uint64(_ODD))  # of bytes in lower case
 END, ROOT = mix(np.array([[1], [2]], dtype=np.uint64))  # arrays of one
 _powers: list[np.ndarray] = []
 
@@ -80,15 +80,17 @@ def _powers_of(n: int) -> list[np.ndarray]:
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The words' hashes and where they begin."""
     hashes, begins, at = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], 0
+    data = data.lower()
     while at < len(data):
         space = _SPACE.search(data, at + PIECE)
         end = space.start() if space else len(data)
         buf = np.frombuffer(data, dtype=np.uint8, count=end - at, offset=at)
         up, down = _powers_of(len(buf) + 1)
         sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum(_VALUES[buf] * up[: len(buf)], out=sums[1:])
+        np.multiply(buf, up[: len(buf)], out=sums[1:])
+        np.cumsum(sums[1:], out=sums[1:])
         blank = np.ones(len(buf) + 2, dtype=bool)
-        blank[1:-1] = _IS_SPACE[buf]
+        blank[1:-1] = (buf == 32) | (buf - np.uint8(9) < 5)
         edges = np.flatnonzero(blank[1:] != blank[:-1])
         lo, hi = edges[0::2], edges[1::2]
         hashes.append(mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64) * np.uint64(_ODD)))
@@ -100,13 +102,14 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All texts' tokens, one text after the other: hash, the text's number, the place in the text."""
     h, begin = word_hashes(b"\n".join(texts))
-    first = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-    of = np.searchsorted(first, begin, side="right") - 1
-    sizes = np.bincount(of, minlength=len(texts)) + 1
-    out = np.full(len(h) + len(texts), END, dtype=np.uint64)
-    out[np.arange(len(h)) + of] = h
-    begin = np.cumsum(sizes) - sizes
-    return out, np.repeat(np.arange(len(texts), dtype=np.int32), sizes), (np.arange(len(out)) - np.repeat(begin, sizes)).astype(np.int32)
+    sizes = np.diff(np.r_[np.searchsorted(begin, np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])), len(h)]) + 1
+    of = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    ends = np.cumsum(sizes)
+    out = np.full(len(of), END, dtype=np.uint64)
+    is_word = np.ones(len(of), dtype=bool)
+    is_word[ends - 1] = False
+    out[is_word] = h
+    return out, of, np.arange(len(of), dtype=np.int32) - np.repeat((ends - sizes).astype(np.int32), sizes)
 
 
 def _longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -167,11 +170,15 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _next_tokens(texts: DataFrame, depth: int, filter_, together, hot) -> DataFrame:
-    """For each context of ``depth`` words whose shorter ones pass the filter, the tokens after it as
-    far as one task sees them: ``ctx``, ``part``, ``pctx`` (its suffix), ``xs`` and ``ns`` (packed).
+PACKED = {"ctx": np.uint64, "pctx": np.uint64, "part": np.uint64, "kinds": np.uint32, "xs": np.uint64, "ns": np.uint8}
+
+
+def _next_tokens(texts: DataFrame, depth: int, filter_, together, hot, buckets: int) -> DataFrame:
+    """The contexts of ``depth`` words whose shorter ones pass the filter, and the tokens after them, as
+    far as one task sees them: ``bucket``, and packed ``ctx``, ``pctx`` (their suffixes), ``part``,
+    ``kinds`` (how many tokens belong to each), ``xs`` and ``ns`` (the tokens and their counts).
     together: pairs of words that are frequent."""
-    names = ["ctx", "part", "pctx", "xs", "ns"]
+    names = ["bucket", *PACKED]
 
     def contexts(h: np.ndarray, place: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         """The places to count at, their contexts and the contexts' suffixes."""
@@ -198,39 +205,48 @@ def _next_tokens(texts: DataFrame, depth: int, filter_, together, hot) -> DataFr
             if not len(at):
                 continue
             last, x = h[at - 1], h[at]
-            x_kinds, ids = np.unique(h, return_inverse=True)
-            del h, place
+            if depth == 1:
+                x_kinds, ids = np.unique(h, return_inverse=True)
+                xi, own = ids[at], ids[at - 1]
+                del ids
+            else:
+                x_kinds, xi = np.unique(x, return_inverse=True)
+            del h, place, at
             cut = np.zeros(len(x), dtype=np.uint64)
             if len(hot_words):
                 i = np.minimum(np.searchsorted(hot_words, last), len(hot_words) - 1)
                 bits = np.where(hot_words[i] == last, hot_bits[i], 0).astype(np.uint64)
                 cut = np.where(bits > 0, x >> (np.uint64(64) - np.maximum(bits, np.uint64(1))), np.uint64(0))
             if depth == 1 and not cut.any():  # a group is a word
-                g = ids[at - 1]
-                there = np.unique(g)
+                there = np.unique(own)
                 number = np.zeros(len(x_kinds), dtype=np.int64)
                 number[there] = np.arange(len(there))
-                g, first = number[g], np.zeros(len(there), dtype=np.int64)
+                g, first = number[own], np.zeros(len(there), dtype=np.int64)
                 first[g] = np.arange(len(g))
             else:
                 _, first, g = np.unique(_longer(ctx, cut), return_index=True, return_inverse=True)  # parts of contexts
-            xi = ids[at]
             ctx, before, cut = ctx[first], before[first], cut[first]
-            pairs, n = np.unique(g.astype(np.uint64) << np.uint64(32) | xi.astype(np.uint64), return_counts=True)
-            del last, x, g, xi, ids, at
+            bucket = (_longer(ctx, cut) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            rank = np.empty(len(order), dtype=np.uint64)
+            rank[order] = np.arange(len(order))
+            ctx, before, cut, bucket = ctx[order], before[order], cut[order], bucket[order]
+            pairs, n = np.unique(rank[g] << np.uint64(32) | xi.astype(np.uint64), return_counts=True)
+            del last, x, g, xi
             copies = -(-n // 255)  # a count is a byte
             many = np.repeat(np.arange(len(pairs)), copies)
             rest = n[many] - 255 * (np.arange(len(many)) - np.repeat(np.cumsum(copies) - copies, copies))
             pairs, n = pairs[many], np.minimum(rest, 255).astype(np.uint8)
-            of, xs = (pairs >> np.uint64(32)).astype(np.int64), x_kinds[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-            ends = np.r_[0, np.cumsum(np.bincount(of, minlength=len(first)))].astype(np.int64)
-            for lo in range(0, len(first), 1 << 16):  # so that no packed column is too large
-                hi = min(lo + (1 << 16), len(first))
-                some, cuts = slice(lo, hi), ends[lo : hi + 1]
-                packed = lambda data, size: pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((cuts - cuts[0]) * size), pa.py_buffer(data[cuts[0] : cuts[-1]].tobytes())]).cast(pa.binary())  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([_signed(ctx[some]), pa.array(cut[some].astype(np.int32)), _signed(before[some]), packed(xs, 8), packed(n, 1)], names=names)
+            kinds = np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=len(ctx)).astype(np.uint32)
+            xs = x_kinds[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+            del pairs, many, rest, copies
+            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            groups = np.r_[starts, len(ctx)]
+            items = np.r_[0, np.cumsum(kinds, dtype=np.int64)][groups]
+            packed = lambda data, cuts: pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((cuts * data.itemsize).astype(np.int32)), pa.py_buffer(data)])  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), packed(ctx, groups), packed(before, groups), packed(cut, groups), packed(kinds, groups), packed(xs, items), packed(n, items)], names=names)
 
-    return texts.select("text").mapInArrow(run, "ctx long, part int, pctx long, xs binary, ns binary")
+    return texts.select("text").mapInArrow(run, "bucket int, " + ", ".join(f"{c} binary" for c in PACKED))
 
 
 def _merged(lists: DataFrame, head) -> DataFrame:
@@ -240,52 +256,31 @@ def _merged(lists: DataFrame, head) -> DataFrame:
     token's own count where it is one of the head's, else null."""
     names = ["ctx", "pctx", "once", "twice", "kinds", "sum", "x", "n", "key", "xn"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, size = [], 0
-        for b in batches:
-            kept.append(b)
-            size += pa.compute.sum(pa.compute.binary_length(b.column(4))).as_py() or 0
-            if size >= ADD:
-                x = pa.Table.from_batches(kept).combine_chunks()
-                ctx, part = (x.column(c).to_numpy() for c in ("ctx", "part"))
-                whole = np.flatnonzero((ctx != ctx[-1]) | (part != part[-1]))  # the last group may go on
-                cut = int(whole[-1]) + 1 if len(whole) else 0
-                yield from added(x.slice(0, cut))
-                kept = x.slice(cut).to_batches()
-                size = sum(pa.compute.sum(pa.compute.binary_length(k.column(4))).as_py() for k in kept)
-        if kept:
-            yield from added(pa.Table.from_batches(kept))
-
-    def added(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        if not t.num_rows:
-            return
-        ctx, part, pctx = (t.column(c).to_numpy() for c in ("ctx", "part", "pctx"))
-        new = np.r_[True, (ctx[1:] != ctx[:-1]) | (part[1:] != part[:-1])]
-        first, g = np.flatnonzero(new), np.cumsum(new) - 1
-        blob = lambda c: b"".join(t.column(c).to_pylist())
-        x, n = np.frombuffer(blob("xs"), dtype=np.uint64), np.frombuffer(blob("ns"), dtype=np.uint8).astype(np.int64)
-        g = np.repeat(g, pa.compute.binary_length(t.column("ns")).to_numpy())
-        kinds, xi = np.unique(x, return_inverse=True)
+    def added(t: pa.Table) -> pa.Table:
+        ctx, pctx, part, kinds, x, n = (np.frombuffer(b"".join(t.column(c).to_pylist()), dtype=k) for c, k in PACKED.items())
+        _, first, group = np.unique(_longer(ctx, part), return_index=True, return_inverse=True)
+        ctx, pctx, g, n = ctx[first], pctx[first], np.repeat(group, kinds), n.astype(np.int32)
+        x_kinds, xi = np.unique(x, return_inverse=True)
         pair = g.astype(np.uint64) << np.uint64(32) | xi.astype(np.uint64)
+        del x, xi, g
         order = np.argsort(pair)
         pair, n = pair[order], n[order]
         starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-        n = np.add.reduceat(n, starts)
-        g, x = (pair[starts] >> np.uint64(32)).astype(np.int64), kinds[(pair[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        n, pair = np.add.reduceat(n, starts, dtype=np.int64), pair[starts]
+        g, x = (pair >> np.uint64(32)).astype(np.int64), x_kinds[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        del pair, order
         count = lambda mask, w=None: pa.array(np.rint(np.bincount(g[mask], weights=None if w is None else w[mask], minlength=len(first))).astype(np.int64))
         many = n >= 2
-        none = lambda k, kind=pa.int64(): pa.nulls(k, kind)
-        yield pa.RecordBatch.from_arrays([pa.array(ctx[first]), pa.array(pctx[first]), count(n == 1), count(n == 2), count(many), count(many, n), *(none(len(first)) for _ in range(4))], names=names)
+        none = lambda k: pa.nulls(k, pa.int64())
+        sizes = pa.table([_signed(ctx), _signed(pctx), count(n == 1), count(n == 2), count(many), count(many, n), *(none(len(first)) for _ in range(4))], names=names)
         g, x, n = g[many], x[many], n[many]
         words, counts = head.value
         at = np.minimum(np.searchsorted(words, x), max(0, len(words) - 1))
         known = words[at] == x if len(words) else np.zeros(len(x), dtype=bool)
         own = pa.array(counts[at] if len(words) else np.zeros(len(x), dtype=np.int64), mask=~known)
-        c = ctx[first][g]
-        yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(pctx[first][g]), *(none(len(g)) for _ in range(4)), _signed(x), pa.array(n), _signed(gram(c.view(np.uint64), x)), own], names=names)
+        return pa.concat_tables([sizes, pa.table([_signed(ctx[g]), _signed(pctx[g]), *(none(len(g)) for _ in range(4)), _signed(x), pa.array(n), _signed(gram(ctx[g], x)), own], names=names)])
 
-    dealt = lists.repartition("ctx", "part").sortWithinPartitions("ctx", "part")
-    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return lists.groupBy("bucket").applyInArrow(added, ", ".join(f"{c} long" for c in names))
 
 
 def _head(keys: DataFrame, head: int) -> int:
@@ -318,12 +313,13 @@ def grow(texts: DataFrame, words: DataFrame, total: int, min_count: int = MIN_CO
     frequent = send(_sorted(words.filter(F.col("n") >= least).toArrow()))
     hot = words.filter((F.col("n") >= least) & (F.col("n") > PART)).withColumn("bits", F.ceil(F.log2(F.col("n") / PART)).cast("int")).select("key", "bits")
     hot = send(_sorted(hot.toArrow()))
+    buckets = min(BUCKETS[1], max(BUCKETS[0], total // ADD))
     rare = words.filter(F.col("n") < least).select(F.col("key").alias("x"), F.col("n").alias("xn"))
     passing = together = send(bitmap_of(words.filter(F.col("n") >= min_count).select("key")))
     tree: list[DataFrame] = []
     contexts, parents, depth = None, None, 1
     while True:
-        merged = written(_merged(_next_tokens(texts, depth, passing, together, hot), frequent), "next-tokens")
+        merged = written(_merged(_next_tokens(texts, depth, passing, together, hot, buckets), frequent), "next-tokens")
         sizes = merged.filter("x is null").groupBy("ctx").agg(*(F.sum(c).alias(c) for c in ("once", "twice", "kinds", "sum"))).filter(F.col("once") + F.col("sum") >= min_count)
         sizes = written(sizes.withColumn("share", F.col("once") + F.col("kinds")), "contexts")
         pairs = merged.filter("x is not null").select("ctx", "pctx", "x", "n", "key", "xn")
