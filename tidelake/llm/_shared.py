@@ -61,6 +61,15 @@ def forget(*tables: DataFrame) -> None:
         fs.delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps, which it does once the driver's memory
+    is collected: a long chain of steps would keep them all."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once for each Spark context, so that Python workers can
     import it wherever they run."""

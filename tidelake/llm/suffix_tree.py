@@ -40,11 +40,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm._shared import forget, ship, written
+from tidelake.llm._shared import forget, release, ship, written
 
 MIN_COUNT, GAIN = 32, 8.0
 #: Keys that every task holds, at most.
-HEAD = 1 << 20
+HEAD = 1 << 21
 #: Bits of the filter that every task holds, at most.
 BITS = 1 << 28
 #: Occurrences of a context from which its next tokens are counted in parts.
@@ -350,6 +350,7 @@ def grow(texts: DataFrame, words: DataFrame, total: int, min_count: int = MIN_CO
         contexts = kept.select(F.col("ctx").alias("key")) if contexts is None else contexts.unionByName(kept.select(F.col("ctx").alias("key")))
         passing.unpersist()
         passing = send(bitmap_of(contexts))
+        release(spark)
         depth += 1
 
 
@@ -366,9 +367,10 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
     words = written(count_tokens(training), "token-counts")
     known = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = known["n"] or 0, known["v"]
-    keys = words.select("key", "n", F.log10(F.col("n") + 1).alias("base"), F.lit(0.0).alias("delta"), F.lit(1).alias("known"))
-    for level in grow(training, words, n + v + 1, min_count, gain, head):
-        keys = keys.unionByName(level.select("key", "n", F.lit(0.0).alias("base"), "delta", F.lit(0).alias("known")))
+    keys = words.select("key", "n", F.log10(F.col("n") + 1).alias("value"), F.lit(True).alias("is_word"))
+    levels = grow(training, words, n + v + 1, min_count, gain, head)
+    for level in levels:
+        keys = keys.unionByName(level.select("key", "n", F.col("delta").alias("value"), F.lit(False).alias("is_word")))
     keys = written(keys, "suffix-tree")
     least = _head(keys, head)
     sent = spark.sparkContext.broadcast(_sorted(keys.filter(F.col("n") >= least).drop("n").toArrow()))
@@ -376,47 +378,60 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
     names = ["rid", "key", "doc_id", "held_out", "n_tokens", "n_known", "base", "delta"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (sent_keys, base, delta, is_word), bitmap = sent.value, there.value
+        (sent_keys, value, is_word), bitmap = sent.value, there.value
         for rows, texts in _gathered(batches, 1, BLOCK):
             h, of, place = tokens(texts)
-            key, doc = [h], [of]
-            at, ctx, d = np.arange(len(h)), np.full(len(h), ROOT), 1
+            sums, rest = np.zeros((3, len(texts))), [(np.zeros(0, dtype=np.int32), h[:0])]
+
+            def add(kinds: np.ndarray, which: np.ndarray, of: np.ndarray) -> None:
+                """Sums up keys: different ones, which of them, and of which text."""
+                in_tree = _holds(bitmap, kinds)
+                i = np.minimum(np.searchsorted(sent_keys, kinds), max(0, len(sent_keys) - 1))
+                mine = in_tree & (sent_keys[i] == kinds) if len(sent_keys) else np.zeros(len(kinds), dtype=bool)
+                worth, word = (np.where(mine, value[i], 0.0), np.where(mine, is_word[i], False)) if len(sent_keys) else (np.zeros(len(kinds)), mine)
+                for k, w in enumerate((word, np.where(word, worth, 0.0), np.where(word, 0.0, worth))):
+                    if w.any():
+                        sums[k] += np.bincount(of, weights=w[which], minlength=len(texts))  # noqa: B023
+                others = np.flatnonzero((in_tree & ~mine)[which])
+                rest.append((of[others], kinds[which[others]]))  # noqa: B023
+
+            kinds, ids = np.unique(h, return_inverse=True)
+            add(kinds, ids, of)
+            first = _longer(ROOT, kinds)
+            at = np.flatnonzero(place >= 1)
+            at = at[_holds(bitmap, first)[ids[at - 1]]]
+            add(first, ids[at - 1], of[at])
+            ctx, d = first[ids[at - 1]], 1
             while len(at):
+                g = gram(ctx, h[at])
+                seen = _holds(bitmap, g)
+                add(*np.unique(g[seen], return_inverse=True), of[at[seen]])
+                d += 1
                 far = place[at] >= d
                 at, ctx = at[far], _longer(ctx[far], h[at[far] - d])
                 live = _holds(bitmap, ctx)
-                at, ctx, d = at[live], ctx[live], d + 1
-                key += [ctx, gram(ctx, h[at])]
-                doc += [of[at], of[at]]
-            key, doc = np.concatenate(key), np.concatenate(doc)
-            use = _holds(bitmap, key)
-            key, doc = key[use], doc[use]
-            kinds, of_kind = np.unique(key, return_inverse=True)
-            i = np.minimum(np.searchsorted(sent_keys, kinds), max(0, len(sent_keys) - 1))
-            mine = (sent_keys[i] == kinds if len(sent_keys) else np.zeros(len(kinds), dtype=bool))[of_kind]
-            i = i[of_kind]
-            i, to = i[mine], doc[mine]
-            total = lambda w: np.bincount(to, weights=w[i], minlength=len(texts)) if len(i) else np.zeros(len(texts))  # noqa: E731, B023
+                at, ctx = at[live], ctx[live]
+                add(*np.unique(ctx, return_inverse=True), of[at])
             t = pa.Table.from_batches(rows).combine_chunks()
             column = lambda c: pa.concat_arrays(t.column(c).chunks)  # noqa: E731, B023
-            m = len(texts)
-            yield pa.RecordBatch.from_arrays([column("rid"), pa.nulls(m, pa.int64()), column("doc_id"), column("held_out"), pa.array(np.bincount(of, minlength=m).astype(np.int64)), pa.array(np.rint(total(is_word)).astype(np.int64)), pa.array(total(base)), pa.array(total(delta))], names=names)
-            rid, rest = column("rid").to_numpy()[doc[~mine]], key[~mine]
-            k = len(rest)
-            yield pa.RecordBatch.from_arrays([pa.array(rid), _signed(rest), pa.nulls(k, t.schema.field("doc_id").type), pa.nulls(k, pa.bool_()), *(pa.nulls(k, x) for x in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
+            m, rid = len(texts), column("rid").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(rid), _signed(mix(rid.view(np.uint64))), column("doc_id"), column("held_out"), pa.array(np.bincount(of, minlength=m).astype(np.int64)), pa.array(np.rint(sums[0]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=names)
+            text, key = (np.concatenate(x) for x in zip(*rest, strict=True))
+            k = len(key)
+            yield pa.RecordBatch.from_arrays([pa.array(rid[text]), _signed(key), pa.nulls(k, t.schema.field("doc_id").type), pa.nulls(k, pa.bool_()), *(pa.nulls(k, x) for x in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
 
     keyed = src.select(F.monotonically_increasing_id().alias("rid"), "text", "doc_id", (~F.col("trains")).alias("held_out"))
     out = keyed.mapInArrow(run, f"rid long, key long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, delta double")
-    out = written(out, "score-rows")
-    rare = keys.filter(F.col("n") < least).select("key", "base", "delta", "known")
-    more = out.filter("key is not null").select("rid", "key").join(rare, "key").groupBy("rid").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("delta").alias("more_delta"))
-    total = out.filter("key is null").drop("key").join(more, "rid", "left")
-    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    base = plus("base", "more_base") - F.col("n_tokens") * math.log10(n + v + 1)
-    return total.select(
-        "doc_id", "held_out", "n_tokens", plus("n_known", "more_known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"),
-        (base + plus("delta", "more_delta")).alias("score"),
+    rare = keys.filter(F.col("n") < least).select(F.col("key").alias("rare"), "value", "is_word")
+    met = out.join(rare, (F.col("key") == F.col("rare")) & F.col("n_tokens").isNull(), "left")
+    plus = lambda a, on, b: F.sum(F.coalesce(F.col(a), F.when(on, b), F.lit(0)))
+    word, no_word = F.col("is_word"), ~F.col("is_word")
+    total = met.groupBy("rid").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), plus("n_known", word, F.lit(1)).cast("long").alias("n_known"),
+        plus("base", word, F.col("value")).alias("base"), plus("delta", no_word, F.col("value")).alias("delta"),
     )
+    base = F.col("base") - F.col("n_tokens") * math.log10(n + v + 1)
+    return total.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("delta")).alias("score"))
 
 
 def fold(id_col: str = "doc_id", folds: int = 7) -> Column:
