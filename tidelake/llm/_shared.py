@@ -11,6 +11,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -72,8 +75,11 @@ def release(spark: SparkSession) -> None:
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once for each Spark context, so that Python workers can
-    import it wherever they run."""
+    import it wherever they run.  Where the session leaves the size of batches at Spark's default it
+    is lowered, so that a worker holds few texts at a time however long they are."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH, "64m") in ("64m", str(64 << 20), f"{64 << 20}b"):
+        spark.conf.set(_BATCH, "8m")
     if getattr(sc, "_tidelake_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]

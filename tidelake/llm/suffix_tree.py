@@ -51,6 +51,9 @@ BITS = 1 << 28
 PART = 1 << 20
 #: Bytes hashed at a time, bytes of texts scored at a time and counted at a time, and tokens of a bucket.
 PIECE, BLOCK, GATHER, ADD = 1 << 17, 1 << 21, 1 << 22, 1 << 20
+#: Depths that are counted in one pass over the texts, by the first of them: far fewer contexts are deep.
+SPAN = {1: 1, 2: 1}
+SPAN_DEEP = 4
 #: Buckets at least, and at most (they are numbered by an int).
 BUCKETS = (64, 1 << 30)
 
@@ -122,6 +125,12 @@ def gram(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix(context + token * np.uint64(_STEP))
 
 
+def _kinds(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers, and for each number which of them it is."""
+    coded = _signed(x).dictionary_encode()
+    return coded.dictionary.to_numpy().view(np.uint64), coded.indices.to_numpy()
+
+
 def _holds(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = keys & np.uint64(8 * len(bitmap) - 1)
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
@@ -173,44 +182,46 @@ def count_tokens(texts: DataFrame) -> DataFrame:
 PACKED = {"ctx": np.uint64, "pctx": np.uint64, "part": np.uint64, "kinds": np.uint32, "xs": np.uint64, "ns": np.uint8}
 
 
-def _next_tokens(texts: DataFrame, depth: int, filter_, together, hot, buckets: int) -> DataFrame:
-    """The contexts of ``depth`` words whose shorter ones pass the filter, and the tokens after them, as
-    far as one task sees them: ``bucket``, and packed ``ctx``, ``pctx`` (their suffixes), ``part``,
-    ``kinds`` (how many tokens belong to each), ``xs`` and ``ns`` (the tokens and their counts).
-    together: pairs of words that are frequent."""
+def _next_tokens(texts: DataFrame, depth: int, span: int, filter_, together, hot, buckets: int) -> DataFrame:
+    """The contexts of ``depth`` words, and of up to span - 1 more, whose suffixes of less than ``depth``
+    words pass the filter, and the tokens after them, as far as one task sees them: ``bucket``, and
+    packed ``ctx``, ``pctx`` (their suffixes), ``part``, ``kinds`` (how many tokens belong to each),
+    ``xs`` and ``ns`` (the tokens and their counts).  together: pairs of words that are frequent."""
     names = ["bucket", *PACKED]
 
-    def contexts(h: np.ndarray, place: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    def contexts(h: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
         """The places to count at, their contexts and the contexts' suffixes."""
-        bitmap = filter_.value
-        at = at[place[at] >= depth]
-        if depth == 1:
-            at = at[_holds(bitmap, h[at - 1])]
-        ctx = before = np.full(len(at), ROOT)
-        for d in range(1, depth + 1):
-            if d > 1:
-                live = _holds(together.value, gram(_longer(ROOT, h[at - d]), h[at - d + 1]))
-                at, ctx = at[live], ctx[live]
-            before, ctx = ctx, _longer(ctx, h[at - d])
-            if d < depth:
-                live = _holds(bitmap, ctx)
+        at, found = np.arange(len(h), dtype=np.int32), []
+        ctx = np.full(len(at), ROOT)
+        for d in range(1, depth + span):
+            live = place[at] >= d
+            if depth == 1:
+                live[live] = _holds(filter_.value, h[at[live] - 1])
+            elif d > 1:
+                live[live] = _holds(together.value, gram(_longer(ROOT, h[at[live] - d]), h[at[live] - d + 1]))
+            at, before = at[live], ctx[live]
+            ctx = _longer(before, h[at - d])
+            if d >= depth:
+                found.append((at, ctx, before))
+            else:
+                live = _holds(filter_.value, ctx)
                 at, ctx = at[live], ctx[live]
-        return at, ctx, before
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_words, hot_bits = hot.value
         for _, part in _gathered(batches, 0, GATHER):
             h, _, place = tokens(part)
-            at, ctx, before = contexts(h, place, np.arange(len(h)))
+            at, ctx, before = contexts(h, place)
             if not len(at):
                 continue
             last, x = h[at - 1], h[at]
             if depth == 1:
-                x_kinds, ids = np.unique(h, return_inverse=True)
+                x_kinds, ids = _kinds(h)
                 xi, own = ids[at], ids[at - 1]
                 del ids
             else:
-                x_kinds, xi = np.unique(x, return_inverse=True)
+                x_kinds, xi = _kinds(x)
             del h, place, at
             cut = np.zeros(len(x), dtype=np.uint64)
             if len(hot_words):
@@ -260,7 +271,7 @@ def _merged(lists: DataFrame, head) -> DataFrame:
         ctx, pctx, part, kinds, x, n = (np.frombuffer(b"".join(t.column(c).to_pylist()), dtype=k) for c, k in PACKED.items())
         _, first, group = np.unique(_longer(ctx, part), return_index=True, return_inverse=True)
         ctx, pctx, g, n = ctx[first], pctx[first], np.repeat(group, kinds), n.astype(np.int32)
-        x_kinds, xi = np.unique(x, return_inverse=True)
+        x_kinds, xi = _kinds(x)
         pair = g.astype(np.uint64) << np.uint64(32) | xi.astype(np.uint64)
         del x, xi, g
         order = np.argsort(pair)
@@ -309,7 +320,7 @@ def grow(texts: DataFrame, words: DataFrame, total: int, min_count: int = MIN_CO
     score).  texts: the training texts; words: ``key``, ``n``; total: tokens, kinds and one."""
     spark = texts.sparkSession
     send = spark.sparkContext.broadcast
-    least = _head(words, head)
+    least = _head(words, head // 2)
     frequent = send(_sorted(words.filter(F.col("n") >= least).toArrow()))
     hot = words.filter((F.col("n") >= least) & (F.col("n") > PART)).withColumn("bits", F.ceil(F.log2(F.col("n") / PART)).cast("int")).select("key", "bits")
     hot = send(_sorted(hot.toArrow()))
@@ -318,10 +329,15 @@ def grow(texts: DataFrame, words: DataFrame, total: int, min_count: int = MIN_CO
     passing = together = send(bitmap_of(words.filter(F.col("n") >= min_count).select("key")))
     tree: list[DataFrame] = []
     contexts, parents, depth = None, None, 1
+    merged, until = None, 1
     while True:
-        merged = written(_merged(_next_tokens(texts, depth, passing, together, hot, buckets), frequent), "next-tokens")
-        sizes = merged.filter("x is null").groupBy("ctx").agg(*(F.sum(c).alias(c) for c in ("once", "twice", "kinds", "sum"))).filter(F.col("once") + F.col("sum") >= min_count)
-        sizes = written(sizes.withColumn("share", F.col("once") + F.col("kinds")), "contexts")
+        if depth == until:
+            until = depth + SPAN.get(depth, SPAN_DEEP)
+            merged = written(_merged(_next_tokens(texts, depth, until - depth, passing, together, hot, buckets), frequent), "next-tokens")
+        sizes = merged.filter("x is null").groupBy("ctx").agg(F.max("pctx").alias("pctx"), *(F.sum(c).alias(c) for c in ("once", "twice", "kinds", "sum"))).filter(F.col("once") + F.col("sum") >= min_count)
+        if parents is not None:
+            sizes = sizes.join(kept.select(F.col("ctx").alias("pctx")), "pctx", "left_semi")
+        sizes = written(sizes.drop("pctx").withColumn("share", F.col("once") + F.col("kinds")), "contexts")
         pairs = merged.filter("x is not null").select("ctx", "pctx", "x", "n", "key", "xn")
         if depth == 1:
             together = send(bitmap_of(pairs.filter(F.col("n") >= min_count).select("key")))
@@ -333,7 +349,8 @@ def grow(texts: DataFrame, words: DataFrame, total: int, min_count: int = MIN_CO
         # each occurrence left out: of two one is left, which goes to the share
         left = F.when(F.col("n") > 2, F.col("n") * F.log((F.col("n") - 1 + F.col("share") * F.col("ps")) / (F.col("ps") * (F.col("sum") + F.col("share") - 1)))).otherwise(0.0)
         pairs = seen = written(pairs.join(sizes, "ctx"), "tree-pairs")
-        forget(merged)
+        if depth + 1 == until:
+            forget(merged)
         of_pairs = pairs.groupBy("ctx").agg(F.sum(left).alias("gained"))
         z, some = F.col("sum") + F.col("share"), F.lit(0.5)
         twice = 2 * F.col("twice") * F.log(F.col("share") / F.greatest(z - 2, some))
@@ -348,10 +365,11 @@ def grow(texts: DataFrame, words: DataFrame, total: int, min_count: int = MIN_CO
         tree += [kept.select(F.col("ctx").alias("key"), "n", "delta"), pairs.select("key", "n", "delta")]
         parents = pairs.select(F.col("ctx").alias("pctx"), "x", F.col("p").alias("ps"))
         contexts = kept.select(F.col("ctx").alias("key")) if contexts is None else contexts.unionByName(kept.select(F.col("ctx").alias("key")))
-        passing.unpersist()
-        passing = send(bitmap_of(contexts))
-        release(spark)
         depth += 1
+        if depth == until:
+            passing.unpersist()
+            passing = send(bitmap_of(contexts))
+            release(spark)
 
 
 def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, min_count: int = MIN_COUNT, gain: float = GAIN, bits: int = BITS) -> DataFrame:
@@ -395,7 +413,7 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
                 others = np.flatnonzero((in_tree & ~mine)[which])
                 rest.append((of[others], kinds[which[others]]))  # noqa: B023
 
-            kinds, ids = np.unique(h, return_inverse=True)
+            kinds, ids = _kinds(h)
             add(kinds, ids, of)
             first = _longer(ROOT, kinds)
             at = np.flatnonzero(place >= 1)
@@ -405,13 +423,13 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
             while len(at):
                 g = gram(ctx, h[at])
                 seen = _holds(bitmap, g)
-                add(*np.unique(g[seen], return_inverse=True), of[at[seen]])
+                add(*_kinds(g[seen]), of[at[seen]])
                 d += 1
                 far = place[at] >= d
                 at, ctx = at[far], _longer(ctx[far], h[at[far] - d])
                 live = _holds(bitmap, ctx)
                 at, ctx = at[live], ctx[live]
-                add(*np.unique(ctx, return_inverse=True), of[at])
+                add(*_kinds(ctx), of[at])
             t = pa.Table.from_batches(rows).combine_chunks()
             column = lambda c: pa.concat_arrays(t.column(c).chunks)  # noqa: E731, B023
             m, rid = len(texts), column("rid").to_numpy()
