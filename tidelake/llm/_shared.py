@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -73,6 +76,19 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow``, after which the worker gives free memory back to the system; workers
+    are kept for later tasks, also those of other operators."""
+
+    def run_and_trim(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # glibc's
+            libc.malloc_trim(0)
+
+    return run_and_trim
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once for each Spark context, so that Python workers can
     import it wherever they run.  Where the session leaves the size of batches at Spark's default it

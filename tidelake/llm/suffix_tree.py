@@ -40,13 +40,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm._shared import forget, release, ship, written
+from tidelake.llm._shared import forget, release, ship, trimmed, written
 
 MIN_COUNT, GAIN = 32, 8.0
 #: Keys that every task holds, at most.
 HEAD = 1 << 21
 #: Bits of the filter that every task holds, at most.
-BITS = 1 << 28
+BITS = 1 << 27
 #: Occurrences of a context from which its next tokens are counted in parts.
 PART = 1 << 20
 #: Bytes hashed at a time, bytes of texts scored at a time and counted at a time, and tokens of a bucket.
@@ -176,7 +176,7 @@ def count_tokens(texts: DataFrame) -> DataFrame:
             key, n = np.unique(tokens(part)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([_signed(key), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-    return texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(trimmed(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 PACKED = {"ctx": np.uint64, "pctx": np.uint64, "part": np.uint64, "kinds": np.uint32, "xs": np.uint64, "ns": np.uint8}
@@ -257,7 +257,7 @@ def _next_tokens(texts: DataFrame, depth: int, span: int, filter_, together, hot
             packed = lambda data, cuts: pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((cuts * data.itemsize).astype(np.int32)), pa.py_buffer(data)])  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), packed(ctx, groups), packed(before, groups), packed(cut, groups), packed(kinds, groups), packed(xs, items), packed(n, items)], names=names)
 
-    return texts.select("text").mapInArrow(run, "bucket int, " + ", ".join(f"{c} binary" for c in PACKED))
+    return texts.select("text").mapInArrow(trimmed(run), "bucket int, " + ", ".join(f"{c} binary" for c in PACKED))
 
 
 def _merged(lists: DataFrame, head) -> DataFrame:
@@ -315,6 +315,29 @@ def _sorted(table: pa.Table) -> tuple[np.ndarray, ...]:
     return (key[order], *(table.column(c).to_numpy()[order] for c in table.column_names if c != "key"))
 
 
+class Places:
+    """Where keys are in a sorted array of them.  They are hashes, so a key's first bits lead to it."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(1, len(keys).bit_length())
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        self.starts = np.r_[np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift), len(keys)].astype(np.int32)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it isn't there."""
+        out = np.full(len(keys), -1, dtype=np.int64)
+        first = (keys >> self.shift).astype(np.int64)
+        at, end = self.starts[first], self.starts[first + 1]
+        left = np.flatnonzero(at < end)
+        while len(left):
+            hit = self.keys[at[left]] == keys[left]
+            out[left[hit]] = at[left[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
+
+
 def grow(texts: DataFrame, words: DataFrame, total: int, min_count: int = MIN_COUNT, gain: float = GAIN, head: int = HEAD) -> list[DataFrame]:
     """The tree's keys of each level: ``key``, ``n`` (occurrences), ``delta`` (what it adds to a
     score).  texts: the training texts; words: ``key``, ``n``; total: tokens, kinds and one."""
@@ -358,6 +381,8 @@ def grow(texts: DataFrame, words: DataFrame, total: int, min_count: int = MIN_CO
         gained = F.coalesce("gained", F.lit(0.0)) + F.when(F.col("twice") > 0, twice).otherwise(0.0) + F.when(F.col("once") > 0, once).otherwise(0.0)
         kept = written(sizes.join(of_pairs, "ctx", "left").filter(gained >= gain).select("ctx", (F.col("once") + F.col("sum")).alias("n"), F.log10(F.col("share") / z).alias("delta")), "retained")
         if kept.isEmpty():
+            for b in (frequent, hot, passing, together):
+                b.unpersist()
             return tree
         p = (F.col("n") + F.col("share") * F.col("ps")) / z
         pairs = written(pairs.join(kept.select("ctx"), "ctx", "left_semi").select("ctx", "x", "n", "key", p.alias("p"), (F.log10(p / F.col("ps")) - F.log10(F.col("share") / z)).alias("delta")), "tree-level")
@@ -397,18 +422,18 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (sent_keys, value, is_word), bitmap = sent.value, there.value
+        places = Places(sent_keys)
         for rows, texts in _gathered(batches, 1, BLOCK):
             h, of, place = tokens(texts)
             sums, rest = np.zeros((3, len(texts))), [(np.zeros(0, dtype=np.int32), h[:0])]
 
             def add(kinds: np.ndarray, which: np.ndarray, of: np.ndarray) -> None:
                 """Sums up keys: different ones, which of them, and of which text."""
-                in_tree = _holds(bitmap, kinds)
-                i = np.minimum(np.searchsorted(sent_keys, kinds), max(0, len(sent_keys) - 1))
-                mine = in_tree & (sent_keys[i] == kinds) if len(sent_keys) else np.zeros(len(kinds), dtype=bool)
-                worth, word = (np.where(mine, value[i], 0.0), np.where(mine, is_word[i], False)) if len(sent_keys) else (np.zeros(len(kinds)), mine)
-                for k, w in enumerate((word, np.where(word, worth, 0.0), np.where(word, 0.0, worth))):
-                    if w.any():
+                in_tree, i = _holds(bitmap, kinds), places.of(kinds)
+                mine = in_tree & (i >= 0)
+                if mine.any():
+                    worth, word = np.where(mine, value[i], 0.0), mine & is_word[i]
+                    for k, w in enumerate((word, np.where(word, worth, 0.0), np.where(word, 0.0, worth))):
                         sums[k] += np.bincount(of, weights=w[which], minlength=len(texts))  # noqa: B023
                 others = np.flatnonzero((in_tree & ~mine)[which])
                 rest.append((of[others], kinds[which[others]]))  # noqa: B023
@@ -439,7 +464,7 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([pa.array(rid[text]), _signed(key), pa.nulls(k, t.schema.field("doc_id").type), pa.nulls(k, pa.bool_()), *(pa.nulls(k, x) for x in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
 
     keyed = src.select(F.monotonically_increasing_id().alias("rid"), "text", "doc_id", (~F.col("trains")).alias("held_out"))
-    out = keyed.mapInArrow(run, f"rid long, key long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, delta double")
+    out = keyed.mapInArrow(trimmed(run), f"rid long, key long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, delta double")
     rare = keys.filter(F.col("n") < least).select(F.col("key").alias("rare"), "value", "is_word")
     met = out.join(rare, (F.col("key") == F.col("rare")) & F.col("n_tokens").isNull(), "left")
     plus = lambda a, on, b: F.sum(F.coalesce(F.col(a), F.when(on, b), F.lit(0)))
