@@ -67,14 +67,14 @@ def test_mixing(docs, fraction, epochs):
         assert taken[k] <= b + 1e-6 and b - taken[k] <= max(sizes[k]) + 1e-6
     assert all(r.copies == 0 for r in got if r.source == "src1") and max(r.copies for r in got) <= epochs
     again = mixing.mix(docs.repartition(5), WEIGHTS, fraction, domain(), tokens(), epochs, buckets=8).collect()
-    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+    assert sorted(r[:-1] for r in map(tuple, again)) == sorted(r[:-1] for r in map(tuple, got))
 
 
 def test_mixing_prefix_order(docs):
     """Within a leaf what is taken comes first in the seeded order, whatever the buckets."""
     a = {r.doc_id: r.copies for r in mixing.mix(docs, {}, 0.5, F.lit("d"), tokens(), 1, buckets=1).collect()}
     assert 0 < sum(a.values()) < len(a)
-    rows = mixing.mix(docs.withColumn("lang", F.lit("x")).withColumn("source", F.lit("y")), {}, 0.5, F.lit("d"), tokens(), 1, buckets=1).withColumn("h", F.xxhash64(F.lit(11), F.lit(0).cast("long"), "doc_id")).orderBy("h").collect()
+    rows = mixing.mix(docs.withColumn("lang", F.lit("x")).withColumn("source", F.lit("y")), {}, 0.5, F.lit("d"), tokens(), 1, buckets=1).withColumn("h", F.xxhash64(F.lit(11), F.lit(0).cast("long"), "doc_id", "n_tokens", F.lit(None).cast("long"))).orderBy("h").collect()
     copies = [r.copies for r in rows]
     assert copies == sorted(copies, reverse=True)
 
@@ -192,3 +192,49 @@ def test_pipeline_of_nothing(spark, nothing, tmp_path):
 
 def test_queries_are_registered():
     assert {n.split("_")[0] for n in queries.QUERIES} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
+
+
+def taken_by_hand(rows, budget, epochs, order):
+    """rows of one leaf: (id, tokens); the multiset of (id, tokens, copies) by whole epochs and a prefix."""
+    total = sum(t for _, t in rows)
+    whole = min(int(budget // total), epochs) if total else (epochs if budget > 0 else 0)
+    left, out, open_ = int(budget - whole * total), collections.Counter(), True
+    for i, t in sorted(rows, key=order(whole)):
+        open_ = open_ and t <= left
+        left -= t if open_ else 0
+        out[i, t, whole + open_] += 1
+    return out
+
+
+def test_mixing_takes_rows_each_for_itself(spark):
+    """Ids that occur in several leaves, repeat in one, or are missing."""
+    rows = [(i % 23 if i % 5 else None, 3 + i * 7 % 11, "en" if i % 2 else "de", f"src{i % 3}") for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, t long, lang string, source string").repartition(3)
+    got = mixing.mix(df, {"lang": {"en": 2.0}}, 0.55, F.lit("d"), F.col("t"), 1, buckets=4).collect()
+    sizes = collections.Counter()
+    for _, t, lang, source in rows:
+        sizes["d", lang, source] += t
+    want = mixing.budgets(spark.createDataFrame([(*k, t) for k, t in sizes.items()], "domain string, lang string, source string, tokens long"), {"lang": {"en": 2.0}}, sum(sizes.values()) * 0.55, 1).collect()
+    for leaf in want:
+        mine = [r for r in got if (r.lang, r.source) == (leaf.lang, leaf.source)]
+        taken = sum(r.n_tokens for r in mine if r.copies)
+        rest = [r.n_tokens for r in mine if not r.copies]
+        assert taken <= leaf.budget and (not rest or taken + max(rest) > leaf.budget)  # no row that fits for sure is left
+        if any(r.doc_id is None for r in mine) and not rest:
+            assert all(r.copies for r in mine)
+    ids = [r for r in rows if r[0] is not None]
+    df = spark.createDataFrame(ids, df.schema)
+    got = mixing.mix(df, {}, 0.5, F.lit("d"), F.col("t"), 1, buckets=1).collect()
+    hashes = {(r.doc_id, r.t): r.h for r in df.distinct().select("doc_id", "t", F.xxhash64(F.lit(11), F.lit(0).cast("long"), "doc_id", "t", F.lit(None).cast("long")).alias("h")).collect()}
+    for k in {(r.lang, r.source) for r in got}:
+        leaf = [(i, t) for i, t, lang, source in ids if (lang, source) == k]
+        budget = mixing.budgets(df.groupBy(F.lit("d").alias("domain"), "lang", "source").agg(F.sum("t").alias("tokens")), {}, sum(t for _, t, _, _ in ids) * 0.5, 1).filter((F.col("lang") == k[0]) & (F.col("source") == k[1])).first().budget
+        assert collections.Counter((r.doc_id, r.n_tokens, r.copies) for r in got if (r.lang, r.source) == k) == taken_by_hand(leaf, budget, 1, lambda whole: lambda r: (hashes[r], r[0]))
+
+
+def test_mixed_documents_without_ids(spark):
+    """Rows without an id, and rows that repeat, are taken as often as their tokens allow."""
+    df = spark.createDataFrame([(None, "a b c", "en", "s")] * 20 + [(1, "a b c", "en", "s")] * 20, "doc_id long, text string, lang string, source string")
+    assert mixing.mixed_documents(df, {}, 0.5, F.lit("d"), F.regexp_count("text", F.lit(r"\S+"))).count() == 20
+    by_key = lambda docs, carry: docs.select(*(c.alias(n) for n, c in carry.items()), F.lit(3).alias("n_tokens"))
+    assert mixing.mixed_documents(df, {}, 1.5, F.lit("d"), by_key, 2).count() == 60

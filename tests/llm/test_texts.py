@@ -64,6 +64,17 @@ def test_cache_is_used_and_appended(spark, docs, tmp_path):
     assert min(r.n_tokens for r in token_counts.count_tokens(few, WORD, str(tmp_path / "spoiled")).collect()) > 1_000_000
 
 
+def test_each_digest_is_encoded_once(spark, tmp_path):
+    """Copies, also with one id or none: one row a digest, and no new file where nothing is missing."""
+    rows = [(i % 3 if i % 2 else None, f"text number {i % 2}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    first = token_counts.count_tokens(df, WORD, str(tmp_path)).collect()
+    cache = spark.read.parquet(str(tmp_path))
+    assert len(first) == 40 and cache.count() == cache.select("digest").distinct().count() == 2
+    assert sorted(map(str, token_counts.count_tokens(df, WORD, str(tmp_path)).collect())) == sorted(map(str, first))
+    assert spark.read.parquet(str(tmp_path)).count() == 2
+
+
 @pytest.mark.parametrize("block", [1, 7, 64, 8192])
 def test_exact_names_small_blocks(docs, block):
     check_exact(docs.filter("doc_id % 5 = 0"), block)

@@ -37,6 +37,11 @@ def _file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file_system(spark, path)
+    return fs.exists(at)
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     """A new path under this application's part of the shared folder, which goes when it ends."""
     folder = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"

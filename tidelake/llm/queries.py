@@ -88,10 +88,12 @@ MIX = {"lang": {"en": 0.4, "de": 0.25, "fr": 0.2, "es": 0.15}, "source": {"src0"
 @_query
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every document in a mix of 80 % of the tokens, two epochs at most; domains by the
-    source's number; see ``mixing``."""
+    source's number; tokens as operator 1 counts them; see ``mixing``."""
     number = F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int"), F.lit(0))
     domain = F.concat(F.lit("domain"), (number % 4).cast("string"))
-    return mixing.mix(table(spark, sf_dir, "documents"), MIX, 0.8, domain, F.regexp_count(F.col("text"), F.lit(r"\S+")))
+    columns = {c: F.col(c) for c in ("doc_id", "lang", "source")} | {"domain": domain}
+    counted = token_counts.with_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), columns)
+    return mixing.mix(counted, MIX, 0.8, F.col("domain"), F.col("n_tokens")).drop("row_key")
 
 
 @_query
