@@ -104,6 +104,48 @@ def test_language_edges(edge, nothing, docs):
     assert a == b
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Ids that repeat or are missing bring no more texts than others; whole texts are taken."""
+    rows = [(None, f"null {'abcdefgh'[i % 8]} word{'x' * (i % 50)} {'y' * (i % 77)}", "en") for i in range(3000)] + [(7, "same", "en")] * 500 + [(i, "z" * 5000 + " tail", "de") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    seen = []
+    monkeypatch.setattr(language_id, "letters", lambda t: seen.append(t) or t)
+    made = language_id.dictionaries(df, texts=20)
+    assert sum("null" in t or t == "same" for t in seen) == 20 and len(made["de"]) == 3 * 5005 + 2
+
+
+def brute_language(text, made):
+    """The language by one compression with each whole dictionary a block, without the second measure."""
+    import re
+
+    import zstandard as zstd
+
+    plain = re.sub(r"[\W\d_]+", " ", (text or "").lower()).strip().encode()
+    if not plain:
+        return "und", None
+    params = zstd.ZstdCompressionParameters.from_level(language_id.LEVEL, write_content_size=False, write_dict_id=False)
+    sizes = {}
+    for lang, d in made.items():
+        c = zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(d, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=params)
+        sizes[lang] = sum(len(c.compress(plain[i : i + language_id.BLOCK])) for i in range(0, len(plain), language_id.BLOCK))
+    best = min(sorted(sizes), key=sizes.get)
+    second = min(v for k, v in sizes.items() if k != best)
+    return best, (second - sizes[best]) / second
+
+
+def test_languages_by_brute_force(docs):
+    made = language_id.dictionaries(docs)
+    clear = 0
+    got = {r.doc_id: r for r in language_id.identify(docs, made).collect()}
+    for r in docs.collect():
+        lang, margin = brute_language(r.text, made)
+        if margin is None or margin >= 2 * language_id.MIN_MARGIN:
+            clear += 1
+            assert got[r.doc_id].lang_pred == lang
+            assert margin is None or got[r.doc_id].score == pytest.approx(margin, abs=0.03)  # frames differ by a few bytes
+    assert clear > 100
+
+
 def test_quality(spark):
     rng = np.random.default_rng(2)
     rows, labels = [], []

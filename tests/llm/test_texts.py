@@ -107,6 +107,22 @@ def test_names_survive_equal_hashes(docs, monkeypatch):
     check_exact(docs.filter("doc_id < 12 or doc_id between 150 and 160").drop("n_chars"), 64)
 
 
+def test_names_are_ranks(docs):
+    """Names don't depend on how the rows are dealt; only blocks that share a hash are found by content."""
+    name = lambda df: {r.doc_id: (r.level, r.name) for r in exact_dedup.name_texts(df, block_bytes=64).collect()}
+    few = docs.filter("doc_id < 40")
+    assert name(few) == name(few.repartition(7, "text"))
+
+
+def test_few_equal_hashes(docs, monkeypatch):
+    """Some hashes are shared, most aren't."""
+    from pyspark.sql import functions as F
+
+    own = F.xxhash64
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: own(*c) % 50)
+    check_exact(docs.filter("doc_id < 30 or doc_id between 150 and 160"), 64)
+
+
 def brute_fingerprint(text, k):
     words = (text or "").encode().lower().split()
     if not words:

@@ -7,10 +7,13 @@ distinct contents, never for hashes, so two texts have the same (level, name) if
 are equal byte for byte.
 
 What moves: each text's bytes once (for the distinct blocks), after that rows of a few integers.
-A block finds its name by its 64-bit hash where that hash belongs to one distinct block only; where
-distinct blocks share a hash the contents are compared, so names stay free of collisions.
+Numbers are ranks: rows are dealt to tasks by ranges, sorted there, and each task's ranks begin where
+the one before ended; they don't depend on how many tasks there are.  Blocks are ranked by their
+64-bit hash where that hash belongs to one distinct block of the corpus only, and found by it; the
+distinct blocks that share a hash, and only those, are moved once more, ranked behind the others and
+found by content.  So names stay free of collisions whatever the hashes are.
 
-Null texts count as empty.  Rows with the same id are different rows; a null id is smaller than any
+Null texts count as empty; very long ones are more blocks.  Rows with the same id are different rows; a null id is smaller than any
 other.  Other columns of the input are ignored, whatever their names.  An empty table gives none.
 """
 
@@ -34,29 +37,36 @@ def _blocks(text: Column, block_bytes: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("pos"), data.substr(i * block_bytes + 1, F.lit(block_bytes)).alias("block")))
 
 
-def _numbered(distinct: DataFrame, *by: str) -> DataFrame:
-    """Names: within its partition each distinct row's place in sorted order, partitions apart."""
-    return distinct.sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
+def _numbered(distinct: DataFrame, *by: str, first: int = 0) -> DataFrame:
+    """Adds ``name``: the rank of each row in the order of the columns, from ``first`` on."""
+    sorted_ = distinct.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id())
+    sorted_ = written(sorted_, "sorted").withColumn("part", F.shiftright("at", 33))
+    sizes = sorted_.groupBy("part").count()  # a row for each task
+    before = sizes.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count") + first).alias("before"))
+    return sorted_.join(F.broadcast(before), "part").select(*distinct.columns, (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("name"))
 
 
 def name_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each input row: ``rid`` (its key here), ``doc_id``, ``text_sha256``, and the
     text's identity ``level``, ``name``."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    cut = src.select(F.explode(_blocks(F.col("text"), block_bytes)).alias("b")).select(F.col("b.block").alias("block"))
-    distinct = cut.distinct()  # partial sums first: a block that many texts share is moved once a task
-    names = written(_numbered(distinct, "block").select(F.xxhash64("block").alias("h"), "name"), "block-names")
-    doubtful = names.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    cut = src.select(F.explode(_blocks(F.col("text"), block_bytes)).alias("b")).select(F.xxhash64("b.block").alias("h"), F.col("b.block").alias("block"))
+    # partial sums first: a block that many texts share is moved once a task
+    hashes = written(cut.distinct().groupBy("h").agg(F.count("*").alias("n")), "block-hashes")
+    names = written(_numbered(hashes.filter("n = 1").select("h"), "h"), "block-names")
 
     rows = src.withColumn("rid", F.monotonically_increasing_id()).select(
         "rid", "doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), F.posexplode(_blocks(F.col("text"), block_bytes)).alias("pos", "b")
     )
     rows = rows.select("rid", "doc_id", F.when(F.col("pos") == 0, F.col("text_sha256")).alias("text_sha256"), "pos", F.xxhash64("b.block").alias("h"), F.col("b.block").alias("block"))
+    doubtful = hashes.filter("n > 1").select("h")
     if doubtful.isEmpty():
         named = rows.drop("block").join(names, "h").drop("h")
-    else:  # distinct blocks share a hash: their names are found by content
-        full = written(_numbered(distinct, "block"), "block-names")
-        named = rows.drop("h").join(full, "block").drop("block")
+    else:  # a block whose hash isn't its own comes with its content, the others without
+        known = written(rows.join(doubtful.withColumn("shared", F.lit(True)), "h", "left").withColumn("block", F.when(F.col("shared"), F.col("block"))).drop("shared"), "block-rows")
+        full = written(_numbered(known.filter("block is not null").select("h", "block").distinct(), "h", "block", first=names.count()), "block-names")
+        own = known.filter("block is null").drop("block").join(names, "h").drop("h")
+        named = own.unionByName(known.filter("block is not null").join(full, ["h", "block"]).drop("h", "block"))
     current = written(named, "level-0")
     done, level = [], 0
     sha = current.filter("pos = 0").select("rid", "doc_id", "text_sha256")

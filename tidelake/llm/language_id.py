@@ -8,8 +8,8 @@ are measured again with several smaller dictionaries of each language, whose siz
 the margin is narrow still, the text is rejected.
 
 The labelled sample is bounded and doesn't depend on the input's order: of each language the
-``SAMPLE_TEXTS`` texts whose ids have the smallest hashes, ``SAMPLE_CHARS`` characters of each.
-Prediction reads whole texts.
+``SAMPLE_TEXTS`` texts with the smallest hashes of id and text, whole.  As many rows at most leave
+the table, also where ids repeat or are missing.  Prediction reads whole texts.
 
 A text that is null or has no letter is ``und``, has score 0 and is rejected.  Of equal sizes the
 first language by name is taken, with score 0, and rejected.  Without any labelled text all are ``und``.  A single
@@ -28,10 +28,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelake.llm._shared import ship
+from tidelake.llm._shared import ship, trimmed
 
-#: Labelled texts of a language, and characters of each, that make its dictionary.
-SAMPLE_TEXTS, SAMPLE_CHARS = 96, 2048
+#: Labelled texts of a language that make its dictionary.
+SAMPLE_TEXTS = 96
 #: Bytes compressed at a time, so that a long text is judged by the dictionary and not by itself.
 BLOCK = 1024
 LEVEL = 4
@@ -44,20 +44,24 @@ _REST = re.compile(r"[\W\d_]+")
 _compressors: dict[str, list[list]] = {}
 
 
-def dictionaries(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
-    """Each language's dictionary.  Reads ids and languages of all rows, and the sample's texts."""
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), key.alias("key"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("key", "id"))
-    chosen = rows.withColumn("nth", nth).filter(F.col("nth") <= texts).select("id", "lang").distinct()
-    source = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.left(text_col, F.lit(chars)).alias("text"), key.alias("key"))
-    on = source["id"].eqNullSafe(chosen["id"]) & (source["lang"] == chosen["lang"])
-    sample = source.join(F.broadcast(chosen), on, "left_semi").filter(F.col("text").isNotNull()).collect()  # so many texts a language
+def dictionaries(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
+    """Each language's dictionary.  Texts are hashed where they are; each task keeps the rows with the
+    smallest hashes of a language, and so many texts a language come to the driver."""
+    text, lang = F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")
+    key = F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), text)
+    rows = labelled.filter(lang.isNotNull() & text.isNotNull()).select(lang.cast("string").alias("lang"), key.alias("key"), text.alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    keys = rows.select("lang", "key").withColumn("nth", nth).filter(F.col("nth") <= texts)  # without texts, and the first of them in each task
+    last = {r["lang"]: r["key"] for r in keys.groupBy("lang").agg(F.max("key").alias("key")).collect()}
+    if not last:
+        return {}
+    few = rows.filter(F.col("key") <= F.element_at(F.create_map(*(F.lit(x) for kv in last.items() for x in kv)), F.col("lang")))
+    sample = few.dropDuplicates(["lang", "key"]).collect()  # copies of one row once: so many texts a language
     made: dict[str, bytes] = {}
-    for lang in sorted({r.lang for r in sample}):
-        parts = sorted(((r.key, r.text) for r in sample if r.lang == lang), reverse=True)[-texts:]
-        made[lang] = " ".join(letters(t) for _, t in parts).encode("utf-8", "replace")
-    return {lang: d + b" " * (8 - len(d)) for lang, d in made.items() if d}
+    for lang_ in sorted(last):
+        parts = sorted(((r.key, r.text) for r in sample if r.lang == lang_), reverse=True)
+        made[lang_] = " ".join(letters(t) for _, t in parts).encode("utf-8", "replace")
+    return {name: d + b" " * (8 - len(d)) for name, d in made.items() if d}
 
 
 def letters(text: str) -> str:
@@ -129,7 +133,7 @@ def identify(docs: DataFrame, made: dict[str, bytes], id_col: str = "doc_id", te
             new = [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64()), pa.array([x == "und" or s < min_margin for x, s in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=[*b.schema.names[:-1], *names])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(trimmed(run), schema)
 
 
 def fold(id_col: str = "doc_id", folds: int = 3) -> Column:
