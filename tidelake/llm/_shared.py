@@ -10,10 +10,14 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
+#: Bits of a filter that every task holds, at most.
+FILTER_BITS = 1 << 27
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -72,6 +76,23 @@ def forget(*tables: DataFrame) -> None:
         fs.delete(at, True)
 
 
+def holds(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the unsigned keys' bits are set."""
+    at = keys & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def bitmap_of(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bit is set for each of the column ``key``'s values; at most so many bits."""
+    bits = min(bits, max(1 << 15, 1 << (16 * keys.count()).bit_length()))
+    place = keys.select(F.col("key").bitwiseAND(F.lit(bits - 1)).alias("p"))
+    rows = place.groupBy(F.shiftright("p", 15).alias("at")).agg(F.expr("bitmap_construct_agg(p & 32767)").alias("bitmap")).collect()  # 4 kB each
+    whole = np.zeros((bits >> 15, 4096), dtype=np.uint8)
+    for r in rows:
+        whole[r["at"]] = np.frombuffer(r["bitmap"], dtype=np.uint8)
+    return whole.ravel()
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps, which it does once the driver's memory
     is collected: a long chain of steps would keep them all."""

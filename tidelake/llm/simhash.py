@@ -46,13 +46,16 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _PLACES = (np.arange(8) * 256).astype(np.int64)
 
 
-def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
-    """The 64-bit fingerprint of a UTF-8 text, as an unsigned integer."""
+def fingerprint(text: bytes | None, words: int = 3, seed: int = 42, distinct: bool = False) -> int:
+    """The 64-bit fingerprint of a UTF-8 text, as an unsigned integer; distinct: with shingles of
+    one word, words that repeat count once."""
     import xxhash
 
     hashed, tokens = xxhash.xxh64_intdigest, (text or b"").lower().split()
     if not tokens:
         return 0
+    if distinct and words == 1:
+        tokens = list(dict.fromkeys(tokens))
     if len(tokens) <= words:
         return hashed(b" ".join(tokens), seed)
     counts, total = np.zeros((8, 256), dtype=np.int64), len(tokens) - words + 1
@@ -173,20 +176,23 @@ def _smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def links(fps: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
+def links(fps: DataFrame, radius: int = 2, tile: int = TILE, labelled: bool = False) -> DataFrame:
     """``a``, ``b``: links between different fingerprints of column ``fp`` that hold every component
-    together.  fps: distinct fingerprints."""
+    together.  fps: distinct fingerprints; where labelled, distinct ``fp`` and ``label`` (long), and
+    the result has all pairs within the radius whose labels differ, with ``la``, ``lb``."""
     ship(fps.sparkSession)
+    if not labelled:
+        fps = fps.withColumn("label", F.lit(0).cast("long"))
     tables = masks(radius, blocks_to_agree(fps.count(), radius))
     signed = [m - (1 << 64) if m >> 63 else m for m in tables]
     other = [[b for b in range(64) if not m >> b & 1] for m in tables]
-    filed = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("t", "key"))
+    filed = fps.select("fp", "label", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("t", "key"))
     large = filed.groupBy("t", "key").count().filter(F.col("count") > tile)
     n = F.ceil(F.coalesce(F.col("count"), F.lit(1)) / tile).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit(1)), n).cast("int")
+    own = F.pmod(F.xxhash64("fp", "label", F.lit(1)), n).cast("int")
     group = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    filed = filed.join(large, ["t", "key"], "left").select("fp", "t", "key", n.alias("n"), own.alias("own"))
-    filed = filed.select("fp", "t", "key", F.explode(group).alias("g")).select("t", "key", "g.i", "g.j", "fp")
+    filed = filed.join(large, ["t", "key"], "left").select("fp", "label", "t", "key", n.alias("n"), own.alias("own"))
+    filed = filed.select("fp", "label", "t", "key", F.explode(group).alias("g")).select("t", "key", "g.i", "g.j", "fp", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -216,16 +222,22 @@ def links(fps: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
         if not x.num_rows:
             return
         ids, fp, t = numbers(x), np.ascontiguousarray(x.column("fp").to_numpy()), x.column("t").to_numpy()
+        label = x.column("label").to_numpy()
         for k in np.unique(t):
             at = np.flatnonzero(t == k)
             i, j = near_pairs(fp[at].view(np.uint64), ids[at], radius, other[k])
-            if len(i):
+            if labelled:
+                i, j = at[i], at[j]
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
+                yield pa.RecordBatch.from_arrays([pa.array(y) for y in (fp[i], fp[j], label[i], label[j])], names=["a", "b", "la", "lb"])
+            elif len(i):
                 low = _smallest(len(at), i, j)
                 out = np.flatnonzero(low != np.arange(len(at)))
                 yield pa.RecordBatch.from_arrays([pa.array(fp[at][out]), pa.array(fp[at][low[out]])], names=["a", "b"])
 
     dealt = filed.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "fp")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long" + (", la long, lb long" if labelled else ""))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, radius: int = 2, tile: int = TILE) -> DataFrame:

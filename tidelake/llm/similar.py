@@ -1,18 +1,23 @@
-"""Near-duplicates by exact Jaccard similarity of shingle sets (the pipeline's near stage).
+"""Near-duplicates by SimHash candidates that exact Jaccard similarity confirms (the pipeline's near
+stage).
 
-Two documents link where the sets of their shingles have a Jaccard similarity of ``SHARE`` or more.
-Candidates are whole, not sampled: with all shingles in one fixed order, two sets so similar share
-one of the first n - ceil(SHARE * n) + 1 shingles of each, so documents meet under the shingles of
-their prefixes.  Pairs whose sketches differ in more bits than similar sets have shingles apart are
-left, since each bit is the parity of the shingles that fall on it.  The order puts shingles that are seen often last; it decides how large the groups
-get, never what is found.  Each candidate is verified on the full sets before components are made:
-first each document's pair with its smallest partner, then the pairs whose ends aren't linked yet.
+Two documents link where the sets of their shingles of ``words`` words have a Jaccard similarity of
+``SHARE`` or more and their fingerprints differ in at most ``RADIUS`` bits.  The fingerprints are
+those of ``simhash`` over a text's distinct words, not over its shingles: an edited word changes one
+word of many but as many shingles as it has places, so texts of similarity 0.8 are much nearer by
+their words.  (README has the share of similar pairs within each radius.)
+
+First the links that hold each group of fingerprints together are confirmed, and those make
+components.  Then the fingerprints are compared once more, and only pairs of different components
+are looked at, all of them.  So a group of very many near copies costs one link a copy.  A pair's
+sketches (parities of the shingles that fall on each bit) rule out most pairs that aren't similar;
+the others are confirmed on the full sets, which are made for such documents only.
 
 Shingles are compared by their 64-bit hashes, and documents of one set are one node, the 64-bit hash
-of the set.  Sets are made anew from the texts in each pass and only those of candidates are stored.
-Texts are lower-cased and cut at white space as in ``simhash``; a text of fewer words than a shingle
-is one shingle, and null and empty texts are equal.  Rows with the same id are different rows, and stay or go together.  A null
-id is never the smallest of a component with other ids.  Other columns are ignored.
+of the set.  Texts are lower-cased and cut at white space as in ``simhash``; a text of fewer words
+than a shingle is one shingle, and null and empty texts are equal.  Very long texts are whole.  Rows
+with the same id are different rows, and stay or go together.  A null id is never the smallest of a
+component with other ids.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,21 +30,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.llm._components import components
-from tidelake.llm._shared import ship, written
+from tidelake.llm._shared import bitmap_of, holds, ship, trimmed, written
+from tidelake.llm.simhash import fingerprint
+from tidelake.llm.simhash import links as simhash_links
 
 #: The similarity from which on documents link, as a fraction.
 SHARE = (4, 5)
+#: Bits in which fingerprints of candidates differ, at most.
+RADIUS = 8
 #: Shingles hashed at a time, and shingles of documents gathered before they are passed on.
 SHINGLES = 1 << 17
-GATHER = 1 << 20
-#: Shingles counted so often go to the end of the order, the most frequent of them at most.
-OFTEN, HEAD = 16, 65_536
-#: Rows of groups, or pairs, gathered before they are passed on.
-ROWS = 1 << 16
+GATHER = 1 << 19
 #: Words of 64 bits in a set's sketch.
 SKETCH = 16
-#: Bits of the filter for sets that are verified, at most.
-BITS = 1 << 27
 
 
 def shingle_set(text: bytes | None, words: int = 5, seed: int = 42) -> np.ndarray:
@@ -56,13 +59,9 @@ def shingle_set(text: bytes | None, words: int = 5, seed: int = 42) -> np.ndarra
     return np.unique(np.concatenate(parts))
 
 
-def prefix_length(n: int) -> int:
-    """How many shingles of a set of n must be met so that no similar set is missed."""
-    return n + 1 - -(-n * SHARE[0] // SHARE[1])
-
-
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    id_ = F.col(f"`{id_col}`")
+    return docs.select(id_.alias("doc_id"), F.xxhash64(F.coalesce(id_.cast("string"), F.lit(""))).alias("key"), F.col(f"`{text_col}`").cast("binary").alias("text"))
 
 
 def node_of(sets: list[np.ndarray]) -> np.ndarray:
@@ -91,104 +90,48 @@ def _cut(texts: pa.Array, words: int, seed: int) -> Iterator[tuple[int, list[np.
 
 
 def _nodes(texts: DataFrame, words: int, seed: int) -> DataFrame:
-    """``doc_id``, ``node``, ``n`` (the set's size), ``sketch`` for each text, and where ``seen`` isn't null a shingle (in ``node``) that
-    a task saw so often."""
+    """``doc_id``, ``key`` (a hash of it), ``node``, ``n`` (the set's size), ``sketch`` and ``fp`` for each text."""
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "node", "seen", "n", "sketch"]
-        words_type = pa.list_(pa.int64())
-        kept, size = [], 0
-        id_type = None
-
-        def counted() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(kept), return_counts=True)
-            h, n = h[n > 1].view(np.int64), n[n > 1].astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.nulls(len(h), id_type), pa.array(h), pa.array(n), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), words_type)], names=names)
-
         for b in batches:
-            id_type = b.column(0).type
-            for at, sets in _cut(b.column(1), words, seed):
-                sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH), pa.array(np.concatenate([sketch(s) for s in sets])))
+            fps = np.fromiter((fingerprint(t.as_py(), 1, seed, distinct=True) for t in b.column(2)), dtype=np.uint64, count=b.num_rows)
+            for at, sets in _cut(b.column(2), words, seed):
+                k = len(sets)
+                sketches = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * SKETCH), pa.array(np.concatenate([sketch(s) for s in sets])))
                 sizes = pa.array(np.array([len(s) for s in sets], dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), pa.array(node_of(sets)), pa.nulls(len(sets), pa.int64()), sizes, sketches], names=names)
-                kept += sets
-                size += sum(map(len, sets))
-                if size >= 2 * GATHER:
-                    yield counted()
-                    kept, size = [], 0
-        if kept:
-            yield counted()
-
-    return written(texts.mapInArrow(run, f"doc_id {kind}, node long, seen long, n long, sketch array<long>"), "similar-nodes")
-
-
-def _often(nodes: DataFrame) -> np.ndarray:
-    """Shingles seen in many sets, from the least to the most frequent, as far as tasks see them."""
-    sums = nodes.filter("seen is not null").groupBy("node").agg(F.sum("seen").alias("n"))
-    most = sums.filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "node").limit(HEAD).collect()
-    return np.array([r["node"] for r in reversed(most)], dtype=np.int64)
-
-
-def candidates(texts: DataFrame, often: np.ndarray, words: int = 5, seed: int = 42) -> DataFrame:
-    """``a`` > ``b``: different sets that meet in their prefixes and are of sizes that can be similar.
-    texts: ``doc_id``, ``text``; often: the end of the shingles' order."""
-    by_hash, rank = np.sort(often), np.argsort(often)
-
-    def prefix(s: np.ndarray) -> np.ndarray:
-        place = np.full(len(s), -1, dtype=np.int64)
-        if len(often):
-            i = np.minimum(np.searchsorted(by_hash, s), len(often) - 1)
-            place = np.where(by_hash[i] == s, rank[i], -1)
-        return s[np.lexsort((s, place))[: prefix_length(len(s))]]
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, sets in _cut(b.column(1), words, seed):
-                firsts = [prefix(s.view(np.int64)) for s in sets]
-                sizes = [len(f) for f in firsts]
-                n = np.array([len(s) for s in sets], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), pa.array(np.repeat(n, sizes)), pa.array(np.repeat(node_of(sets), sizes))], names=["h", "n", "node"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, k), b.column(1).slice(at, k), pa.array(node_of(sets)), sizes, sketches, pa.array(fps[at : at + k].view(np.int64))], names=["doc_id", "key", "node", "n", "sketch", "fp"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-        size = 0
-        for b in batches:
-            kept.append(b)
-            size += b.num_rows
-            if size >= ROWS:
-                x = pa.Table.from_batches(kept)
-                h = x.column("h").to_numpy()
-                cut = int(np.searchsorted(h, h[-1]))  # the last group may go on
-                yield from met(x.slice(0, cut))
-                kept = x.slice(cut).combine_chunks().to_batches()
-                size = x.num_rows - cut
-        if kept:
-            yield from met(pa.Table.from_batches(kept))
-
-    def met(x: pa.Table) -> Iterator[pa.RecordBatch]:
-        h, n, node = (x.column(c).to_numpy() for c in ("h", "n", "node"))
-        n = n.astype(np.int64)
-        new = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])][: len(h)]  # equal sets once
-        h, n, node = h[new], n[new], node[new]
-        at, d, found, size = np.arange(len(h)), 1, [], 0
-        while len(at):
-            at = at[at + d < len(h)]
-            at = at[(h[at] == h[at + d]) & (n[at + d] * SHARE[0] <= n[at] * SHARE[1])]
-            found.append((node[at], node[at + d]))
-            size, d = size + len(at), d + 1
-            if size >= ROWS or (size and not len(at)):
-                a, b = (np.concatenate(c) for c in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
-                found, size = [], 0
-
-    filed = texts.mapInArrow(prefixes, "h long, n int, node long")
-    return filed.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(run, "a long, b long").distinct()
+    return written(texts.mapInArrow(trimmed(run), f"doc_id {kind}, key long, node long, n long, sketch array<long>, fp long"), "similar-nodes")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def first_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``a`` > ``b``: the pairs that hold together the nodes whose fingerprints are near or equal."""
+    per = written(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.max("node").alias("most")), "similar-fingerprints")
+    same = nodes.select("node", "fp").join(per.filter("least <> most").select("fp", "least"), "fp").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    end = lambda c: per.select(F.col("fp").alias(c), F.col("least").alias(f"node_{c}"))
+    near = simhash_links(per.select("fp"), radius).join(end("a"), "a").join(end("b"), "b")
+    return _ordered(same.unionByName(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))))
+
+
+def other_pairs(nodes: DataFrame, roots: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``a`` > ``b``: all pairs of nodes of different components whose fingerprints are near or equal.
+    roots: ``node``, ``root`` of nodes that have links."""
+    of = nodes.select("node", "fp").distinct().join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("label"))
+    of = written(of, "similar-labels")
+    near = simhash_links(of.select("fp", "label").distinct(), radius, labelled=True).distinct()
+    end = lambda c: of.select(F.col("fp").alias(c), F.col("label").alias(f"l{c}"), F.col("node").alias(f"node_{c}"))
+    both = near.join(end("a"), ["a", "la"]).join(end("b"), ["b", "lb"])
+    return _ordered(both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
 
 
 def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs that can be similar by their sketches; no similar pair is left out."""
-    known = nodes.filter("seen is null").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("k"))
+    known = nodes.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("k"))
     side = lambda end: known.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("k").alias(f"k{end}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     apart = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
@@ -196,31 +139,21 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.filter(apart * (SHARE[1] + SHARE[0]) <= most).select("a", "b")
 
 
-def _sets(texts: DataFrame, pairs: DataFrame, words: int, seed: int) -> DataFrame:
-    """``node``, ``hs``: the sets that pairs need, and some that they don't.  What tasks hold is a
-    bitmap of at most ``BITS`` bits; where it is too full, more sets move."""
+def _sets(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, seed: int) -> DataFrame:
+    """``node``, ``hs``: the sets that pairs need, and some that they don't.  Texts are told by a bitmap
+    of their ids, of bounded size; where it is too full, more sets move."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    bits = min(BITS, max(1 << 15, 1 << (16 * ends.count()).bit_length()))
-    place = ends.select(F.col("node").bitwiseAND(F.lit(bits - 1)).alias("p"))
-    rows = place.groupBy(F.shiftright("p", 15).alias("at")).agg(F.expr("bitmap_construct_agg(p & 32767)").alias("bitmap")).collect()
-    whole = np.zeros((bits >> 15, 4096), dtype=np.uint8)
-    for r in rows:
-        whole[r["at"]] = np.frombuffer(r["bitmap"], dtype=np.uint8)
-    sent = texts.sparkSession.sparkContext.broadcast(whole.ravel())
+    asked_for = texts.sparkSession.sparkContext.broadcast(bitmap_of(nodes.join(ends, "node", "left_semi").select("key").distinct()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = sent.value
         for b in batches:
-            for _, sets in _cut(b.column(1), words, seed):
-                node = node_of(sets)
-                p = node & (bits - 1)
-                use = np.flatnonzero(asked[p >> 3] >> (p & 7).astype(np.uint8) & 1)
-                if len(use):
-                    lengths = np.r_[0, np.cumsum([len(sets[i]) for i in use])].astype(np.int32)
-                    hs = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([sets[i] for i in use]).view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(node[use]), hs], names=["node", "hs"])
+            wanted = b.column(1).take(pa.array(np.flatnonzero(holds(asked_for.value, b.column(0).to_numpy().view(np.uint64)))))
+            for _, sets in _cut(wanted, words, seed):
+                lengths = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(node_of(sets)), pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "hs"])
 
-    return written(texts.mapInArrow(run, "node long, hs array<long>").groupBy("node").agg(F.first("hs").alias("hs")), "similar-sets")
+    made = texts.select("key", "text").mapInArrow(trimmed(run), "node long, hs array<long>").join(ends, "node", "left_semi")
+    return written(made.groupBy("node").agg(F.first("hs").alias("hs")), "similar-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -231,26 +164,20 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(F.col("shared") * SHARE[1] >= union * SHARE[0]).select("a", "b")
 
 
-def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a``, ``b``: verified pairs that hold every component together."""
-    first = written(pairs.groupBy("a").agg(F.min("b").alias("b")), "similar-first")
-    good = written(_verified(first, sets), "similar-links")
-    root = components(good)
-    of = lambda end: root.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-    rest = pairs.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = written(rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "similar-rest")
-    return good.unionByName(_verified(rest, sets))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, seed: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, seed: int = 42, radius: int = RADIUS) -> DataFrame:
     """One row for each input row: ``doc_id``, ``component_id``, the smallest id of its component."""
     ship(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
     nodes = _nodes(texts, words, seed)
-    pairs = written(candidates(texts, _often(nodes), words, seed), "similar-candidates")
-    pairs = written(possible(pairs, nodes), "similar-possible")
-    root = components(links(pairs, _sets(texts, pairs, words, seed)))
-    rows = nodes.filter("seen is null").join(root, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = written(possible(pairs, nodes), "similar-possible")
+        return written(_verified(pairs, _sets(texts, nodes, pairs, words, seed)), "similar-links")
+
+    good = confirmed(first_pairs(nodes, radius))
+    good = good.unionByName(confirmed(other_pairs(nodes, components(good), radius)))
+    root = components(good)
+    rows = written(nodes.select("doc_id", "node").join(root, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "similar-roots")
     return rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 

@@ -20,7 +20,7 @@ before a token, across the whole text, with no limit to d.
 Counting: each task adds up its own texts and passes on packed lists of contexts and next tokens, one
 for each bucket of contexts; contexts seen more than ``PART`` times are cut into parts by their next
 token.  There are as many buckets as it takes for about ``ADD`` tokens each.  What tasks
-are sent is bounded: ``HEAD`` keys, and a bitmap of at most ``BITS`` bits by which they leave out
+are sent is bounded: ``HEAD`` keys, and a bitmap of at most ``FILTER_BITS`` bits by which they leave out
 what isn't in the tree; a full bitmap costs more rows, never a wrong score.
 
 Words are compared by 64-bit hashes.  Null texts count as empty: one end.  A null id counts as the
@@ -40,13 +40,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm._shared import forget, release, ship, trimmed, written
+from tidelake.llm._shared import FILTER_BITS, bitmap_of, forget, holds, release, ship, trimmed, written
 
 MIN_COUNT, GAIN = 32, 8.0
 #: Keys that every task holds, at most.
 HEAD = 1 << 21
-#: Bits of the filter that every task holds, at most.
-BITS = 1 << 27
 #: Occurrences of a context from which its next tokens are counted in parts.
 PART = 1 << 20
 #: Bytes hashed at a time, bytes of texts scored at a time and counted at a time, and tokens of a bucket.
@@ -131,22 +129,6 @@ def _kinds(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return coded.dictionary.to_numpy().view(np.uint64), coded.indices.to_numpy()
 
 
-def _holds(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & np.uint64(8 * len(bitmap) - 1)
-    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-
-
-def bitmap_of(keys: DataFrame, bits: int = BITS) -> np.ndarray:
-    """A bit is set for each of the column ``key``'s values; at most so many bits."""
-    bits = min(bits, max(1 << 15, 1 << (16 * keys.count()).bit_length()))
-    place = keys.select(F.col("key").bitwiseAND(F.lit(bits - 1)).alias("p"))
-    rows = place.groupBy(F.shiftright("p", 15).alias("at")).agg(F.expr("bitmap_construct_agg(p & 32767)").alias("bitmap")).collect()  # 4 kB each
-    whole = np.zeros((bits >> 15, 4096), dtype=np.uint8)
-    for r in rows:
-        whole[r["at"]] = np.frombuffer(r["bitmap"], dtype=np.uint8)
-    return whole.ravel()
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -196,15 +178,15 @@ def _next_tokens(texts: DataFrame, depth: int, span: int, filter_, together, hot
         for d in range(1, depth + span):
             live = place[at] >= d
             if depth == 1:
-                live[live] = _holds(filter_.value, h[at[live] - 1])
+                live[live] = holds(filter_.value, h[at[live] - 1])
             elif d > 1:
-                live[live] = _holds(together.value, gram(_longer(ROOT, h[at[live] - d]), h[at[live] - d + 1]))
+                live[live] = holds(together.value, gram(_longer(ROOT, h[at[live] - d]), h[at[live] - d + 1]))
             at, before = at[live], ctx[live]
             ctx = _longer(before, h[at - d])
             if d >= depth:
                 found.append((at, ctx, before))
             else:
-                live = _holds(filter_.value, ctx)
+                live = holds(filter_.value, ctx)
                 at, ctx = at[live], ctx[live]
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
@@ -397,7 +379,7 @@ def grow(texts: DataFrame, words: DataFrame, total: int, min_count: int = MIN_CO
             release(spark)
 
 
-def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, min_count: int = MIN_COUNT, gain: float = GAIN, bits: int = BITS) -> DataFrame:
+def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, min_count: int = MIN_COUNT, gain: float = GAIN, bits: int = FILTER_BITS) -> DataFrame:
     """One row for each input row: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``,
     ``train_tokens``, ``base_score`` (add-one unigrams), ``score`` (the tree's log10 probability).
 
@@ -429,7 +411,7 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
 
             def add(kinds: np.ndarray, which: np.ndarray, of: np.ndarray) -> None:
                 """Sums up keys: different ones, which of them, and of which text."""
-                in_tree, i = _holds(bitmap, kinds), places.of(kinds)
+                in_tree, i = holds(bitmap, kinds), places.of(kinds)
                 mine = in_tree & (i >= 0)
                 if mine.any():
                     worth, word = np.where(mine, value[i], 0.0), mine & is_word[i]
@@ -442,17 +424,17 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
             add(kinds, ids, of)
             first = _longer(ROOT, kinds)
             at = np.flatnonzero(place >= 1)
-            at = at[_holds(bitmap, first)[ids[at - 1]]]
+            at = at[holds(bitmap, first)[ids[at - 1]]]
             add(first, ids[at - 1], of[at])
             ctx, d = first[ids[at - 1]], 1
             while len(at):
                 g = gram(ctx, h[at])
-                seen = _holds(bitmap, g)
+                seen = holds(bitmap, g)
                 add(*_kinds(g[seen]), of[at[seen]])
                 d += 1
                 far = place[at] >= d
                 at, ctx = at[far], _longer(ctx[far], h[at[far] - d])
-                live = _holds(bitmap, ctx)
+                live = holds(bitmap, ctx)
                 at, ctx = at[live], ctx[live]
                 add(*_kinds(ctx), of[at])
             t = pa.Table.from_batches(rows).combine_chunks()
