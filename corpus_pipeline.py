@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import exact_dedup, language_id, mixing, packing, similar
+from tidelake.llm import exact_dedup, language_id, mixing, packing, similar, token_counts
 from tidelake.llm._shared import written
 
 #: Target weights of languages, and the tokens to keep in shares of what there is.
@@ -31,14 +31,15 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates, that with the smallest id; links are pairs
-    with a Jaccard similarity of 0.8 or more over shingles of five words."""
+    with near fingerprints and a Jaccard similarity of 0.8 or more over shingles of five words."""
     return similar.representatives(docs, words=5)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the sources by target weights, each at most once."""
+    """Documents of the sources by target weights, each at most once, in tokens as operator 1 counts
+    them."""
     domain = F.when(F.col("source").rlike("^src[0-9]$"), "large").otherwise("small")
-    return mixing.mixed_documents(docs, WEIGHTS, FRACTION, domain, F.regexp_count(F.col("text"), F.lit(r"\S+")))
+    return mixing.mixed_documents(docs, WEIGHTS, FRACTION, domain, lambda rows, carry: token_counts.with_counts(rows, public_tokenizers.path("word_bpe_49k.json"), carry))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
