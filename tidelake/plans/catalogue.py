@@ -30,7 +30,7 @@ _M = f"""{_L}, m as (select cast((read_lsn - 1) // {BATCH} as bigint) as batch_i
   min("offset") as min_offset, max("offset") as max_offset, min(read_lsn) as min_lsn, max(read_lsn) as max_lsn, min(timestamp) as first_timestamp, count(*) as row_count from l group by all)"""
 _FILE = "'data/' || event_date || '/' || partition || '/' || batch_id || '.parquet'"
 _DONE = "batch_id % 5 <> 4 and batch_id % 6 <> 5"
-_COMMITTED_FILES = f"""{_M}, f as (select {_FILE} as file_path, * from m where {_DONE} and batch_id > 2)"""
+_COMMITTED_FILES = f"""{_M}, f as (select {_FILE} as file_path, * from m where {_DONE} and (batch_id > 2 or not exists (select 1 from m where batch_id = 2)))"""
 
 
 def query(oracle: str | None = None):
@@ -241,7 +241,7 @@ def reset_replay(spark, sf):
     return ledger.live_files(made_ledger(spark, sf)).select("file_path", "partition", "row_count")
 
 
-@query(f"""with {_M}, s as (select * from m where {_DONE}), f as (select * from s where batch_id > 2), o as (select * from m where batch_id % 5 = 4 and batch_id % 7 <> 3),
+@query(f"""with {_M}, s as (select * from m where {_DONE}), f as (select * from s where (batch_id > 2 or not exists (select 1 from m where batch_id = 2))), o as (select * from m where batch_id % 5 = 4 and batch_id % 7 <> 3),
 b as (select distinct batch_id from m), p as (select distinct batch_id, topic, partition from s)
 select cast((select count(*) from b) + (select count(*) from m where batch_id % 7 <> 3) + (select count(*) from b where batch_id % 5 <> 4) + (select count(*) from b where {_DONE}) + (select count(*) from s) + (select count(*) from p) + (select count(*) from b where batch_id = 2) as bigint) as entries,
 (select count(*) from b) as flushes_started, (select count(*) from b where {_DONE}) as flushes_completed, (select max(batch_id) + 1 from b where batch_id % 5 <> 4) as last_snapshot_id,
@@ -266,11 +266,11 @@ def idempotency_cover(spark, sf):
 
 
 @query(f"""with {_M}, c as (select topic, partition, max(max_offset) as last from m where {_DONE} group by 1, 2)
-select l.topic, l.partition, l."offset", l.key from l join c on l.topic = c.topic and l.partition = c.partition where l."offset" <= c.last and l.read_lsn > 3000""")
+select l.topic, l.partition, l."offset", l.key from l join c on l.topic = c.topic and l.partition = c.partition where l."offset" <= c.last""")
 def already_processed(spark, sf):
     log = event_log(spark, sf)
     last = recovery.last_offsets(made_ledger(spark, sf)).withColumnRenamed("last_offset", "last")
-    return lookups.already_processed(log.filter("read_lsn > 3000"), last).select("topic", "partition", "offset", "key")
+    return lookups.already_processed(log, last).select("topic", "partition", "offset", "key")
 
 
 # --- schemas -----------------------------------------------------------------------------------------
@@ -332,10 +332,28 @@ def evolved_field_ids(spark, sf):
     return maintenance.field_numbers(old, new)
 
 
-@query(f"with {_L} select key, read_lsn, null::varchar as team from l where read_lsn <= 500 union all by name select key, read_lsn, 'blue' as team from l where read_lsn between 501 and 900")
+@query(f"with {_L} select key, read_lsn, null::varchar as team from l where read_lsn % 2 = 1 union all by name select key, read_lsn, 'blue' as team from l where read_lsn % 2 = 0")
 def union_by_name_nulls(spark, sf):
     log = event_log(spark, sf, offsets=False).select("key", "read_lsn")
-    return log.filter("read_lsn <= 500").unionByName(log.filter("read_lsn between 501 and 900").withColumn("team", F.lit("blue")), allowMissingColumns=True)
+    return log.filter("read_lsn % 2 = 1").unionByName(log.filter("read_lsn % 2 = 0").withColumn("team", F.lit("blue")), allowMissingColumns=True)
+
+
+# --- windows of event time and the largest --------------------------------------------------------
+
+
+@query("""select epoch_us(time_bucket(interval 1 hour, ts)) // 1000 as window_start, event_type, count(*) as events, cast(count(distinct user_id) as bigint) as users
+from events group by all""")
+def event_windows(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").select("ts", "event_type", "user_id")
+    hourly = events.groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w"), "event_type")
+    return hourly.agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("users")).select(F.unix_millis("w.start").alias("window_start"), "event_type", "events", "users")
+
+
+@query("select user_id, count(*) as events, max(event_id) as last_event from events group by user_id order by events desc, user_id limit 10")
+def busiest_users(spark, sf):
+    """A top-k report: the limit is the feature; ties go to the smaller id."""
+    events = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id")
+    return events.groupBy("user_id").agg(F.count("*").alias("events"), F.max("event_id").alias("last_event")).orderBy(F.desc("events"), "user_id").limit(10)
 
 
 # --- maintenance -------------------------------------------------------------------------------------
