@@ -222,10 +222,24 @@ def test_a_large_group_costs_a_link_a_copy(spark):
         own[rng.randrange(300)] = f"x{i}"
         rows.append((i, " ".join(own)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    nodes = similar._nodes(similar._texts(df, "doc_id", "text"), 5, 42)
-    pairs = similar.first_pairs(nodes)
-    assert 390 <= pairs.count() <= 4000
     assert [r.doc_id for r in similar.representatives(df).collect()] == [0]
+    for changes in (1, 5):  # with five, copies are similar to the text, but few to each other
+        rows = [(0, " ".join(words))]
+        for i in range(1, 400):
+            own = list(words)
+            for _ in range(changes):
+                own[rng.randrange(300)] = f"x{rng.random()}"
+            rows.append((i, " ".join(own)))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        nodes = similar._nodes(similar._texts(df, "doc_id", "text"), 5, 42)
+        per, near = similar.near_fingerprints(nodes)
+        pairs = similar.first_pairs(nodes, per, near)
+        assert 390 <= pairs.count() <= 20 * 400
+        good = similar._verified(similar.possible(pairs, nodes), similar._sets(similar._texts(df, "doc_id", "text"), nodes, pairs, 5, 42))
+        rest = similar.other_pairs(nodes, per, near, _components.components(good))
+        assert rest.count() <= 20 * 400
+        left = [r.doc_id for r in similar.representatives(df).collect()]
+        assert 0 in left and len(left) <= 8  # the others lie beyond the radius
 
 
 @pytest.mark.parametrize("table", ["docs", "edge", "nothing"])

@@ -11,7 +11,8 @@ lanes, and the block is abandoned once every lane has passed the radius.
 
 Only distinct fingerprints are compared, so copies cost nothing.  Groups above ``TILE`` members are
 cut into tiles and every pair of tiles becomes a group of its own: whole, with bounded memory.  A
-group returns one link for each linked member, to the smallest member of its local component.
+group returns one link for each linked member, to the member of its local component that is nearest
+to the majority of their bits.
 
 Null and empty texts have fingerprint zero and link like others.  Rows with the same id are
 different rows; where whole documents are kept, all rows of an id stay or go together.  A null id
@@ -20,7 +21,7 @@ is never the smallest of a component with other ids.  Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.llm._components import components
-from tidelake.llm._shared import ship, written
+from tidelake.llm._shared import ship, trimmed, written
 
 #: Members of a group that are compared without cutting it into tiles.
 TILE = 1024
@@ -176,23 +177,43 @@ def _smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def links(fps: DataFrame, radius: int = 2, tile: int = TILE, labelled: bool = False) -> DataFrame:
+def _centres(fps: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """For each place the place of its component's member that is nearest to the component's majority
+    of bits; label: as from ``_smallest``.  Of near copies of one text that is most like the text."""
+    order = np.argsort(label, kind="stable")
+    starts = np.flatnonzero(np.r_[True, label[order][1:] != label[order][:-1]])
+    sizes = np.diff(np.r_[starts, len(order)])
+    bits = np.unpackbits(fps[order].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    major = np.add.reduceat(bits, starts, axis=0, dtype=np.int64) * 2 > sizes[:, None]
+    which = np.repeat(np.arange(len(starts)), sizes)
+    apart = (bits.astype(bool) ^ major[which]).sum(1)
+    best = np.lexsort((fps[order], apart, which))[starts]  # ties: the smallest
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = order[best][which]
+    return out
+
+
+def links(fps: DataFrame, radius: int = 2, tile: int = TILE, keep: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """``a``, ``b``: links between different fingerprints of column ``fp`` that hold every component
-    together.  fps: distinct fingerprints; where labelled, distinct ``fp`` and ``label`` (long), and
-    the result has all pairs within the radius whose labels differ, with ``la``, ``lb``."""
+    together.  fps: distinct fingerprints.
+
+    With ``keep`` fps has rows with columns ``fp``, ``node`` (long) and others, and the result has the
+    nodes of all pairs of rows within the radius, once, for which keep says so: it takes a table of
+    rows and the pairs' places in it, and returns a mask."""
     ship(fps.sparkSession)
-    if not labelled:
-        fps = fps.withColumn("label", F.lit(0).cast("long"))
+    if keep is None:
+        fps = fps.select("fp")
     tables = masks(radius, blocks_to_agree(fps.count(), radius))
     signed = [m - (1 << 64) if m >> 63 else m for m in tables]
     other = [[b for b in range(64) if not m >> b & 1] for m in tables]
-    filed = fps.select("fp", "label", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("t", "key"))
+    own_columns = fps.columns
+    filed = fps.select(*own_columns, F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("t", "key"))
     large = filed.groupBy("t", "key").count().filter(F.col("count") > tile)
     n = F.ceil(F.coalesce(F.col("count"), F.lit(1)) / tile).cast("int")
-    own = F.pmod(F.xxhash64("fp", "label", F.lit(1)), n).cast("int")
-    group = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    filed = filed.join(large, ["t", "key"], "left").select("fp", "label", "t", "key", n.alias("n"), own.alias("own"))
-    filed = filed.select("fp", "label", "t", "key", F.explode(group).alias("g")).select("t", "key", "g.i", "g.j", "fp", "label")
+    own = F.pmod(F.xxhash64("fp" if keep is None else "node", F.lit(1)), n).cast("int")
+    group = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    filed = filed.join(large, ["t", "key"], "left").select(*own_columns, "t", "key", n.alias("tiles"), own.alias("own"))
+    filed = filed.select(*own_columns, "t", "key", F.explode(group).alias("g")).select("t", "key", "g.i", "g.j", *own_columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -222,22 +243,24 @@ def links(fps: DataFrame, radius: int = 2, tile: int = TILE, labelled: bool = Fa
         if not x.num_rows:
             return
         ids, fp, t = numbers(x), np.ascontiguousarray(x.column("fp").to_numpy()), x.column("t").to_numpy()
-        label = x.column("label").to_numpy()
         for k in np.unique(t):
             at = np.flatnonzero(t == k)
             i, j = near_pairs(fp[at].view(np.uint64), ids[at], radius, other[k])
-            if labelled:
+            if keep is not None:
                 i, j = at[i], at[j]
-                apart = label[i] != label[j]
-                i, j = i[apart], j[apart]
-                yield pa.RecordBatch.from_arrays([pa.array(y) for y in (fp[i], fp[j], label[i], label[j])], names=["a", "b", "la", "lb"])
+                for earlier in signed[:k]:  # found there
+                    new = (fp[i] ^ fp[j]) & earlier != 0
+                    i, j = i[new], j[new]
+                use = keep(x, i, j)
+                node = x.column("node").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(node[i[use]]), pa.array(node[j[use]])], names=["a", "b"])
             elif len(i):
-                low = _smallest(len(at), i, j)
-                out = np.flatnonzero(low != np.arange(len(at)))
-                yield pa.RecordBatch.from_arrays([pa.array(fp[at][out]), pa.array(fp[at][low[out]])], names=["a", "b"])
+                centre = _centres(fp[at].view(np.uint64), _smallest(len(at), i, j))
+                out = np.flatnonzero(centre != np.arange(len(at)))
+                yield pa.RecordBatch.from_arrays([pa.array(fp[at][out]), pa.array(fp[at][centre[out]])], names=["a", "b"])
 
     dealt = filed.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "fp")
-    return dealt.mapInArrow(run, "a long, b long" + (", la long, lb long" if labelled else ""))
+    return dealt.mapInArrow(trimmed(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, radius: int = 2, tile: int = TILE) -> DataFrame:

@@ -8,10 +8,11 @@ word of many but as many shingles as it has places, so texts of similarity 0.8 a
 their words.  (README has the share of similar pairs within each radius.)
 
 First the links that hold each group of fingerprints together are confirmed, and those make
-components.  Then the fingerprints are compared once more, and only pairs of different components
-are looked at, all of them.  So a group of very many near copies costs one link a copy.  A pair's
-sketches (parities of the shingles that fall on each bit) rule out most pairs that aren't similar;
-the others are confirmed on the full sets, which are made for such documents only.
+components.  Then the fingerprints that have neighbours are compared once more, and only pairs of
+different components are looked at, all of them.  So a group of very many near copies costs one link
+a copy.  Sketches (parities of the shingles that fall on each bit) go along and rule out most pairs
+that aren't similar where they are met; the others are confirmed on the full sets, which are made for
+such documents only.
 
 Shingles are compared by their 64-bit hashes, and documents of one set are one node, the 64-bit hash
 of the set.  Texts are lower-cased and cut at white space as in ``simhash``; a text of fewer words
@@ -41,6 +42,8 @@ RADIUS = 8
 #: Shingles hashed at a time, and shingles of documents gathered before they are passed on.
 SHINGLES = 1 << 17
 GATHER = 1 << 19
+#: Pairs of sketches compared at a time.
+PAIRS = 1 << 16
 #: Words of 64 bits in a set's sketch.
 SKETCH = 16
 
@@ -109,24 +112,40 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def first_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``a`` > ``b``: the pairs that hold together the nodes whose fingerprints are near or equal."""
+def near_fingerprints(nodes: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints, ``fp``, ``least`` and ``most`` (of their nodes), and links ``a``, ``b`` that hold
+    together those that are near."""
     per = written(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.max("node").alias("most")), "similar-fingerprints")
+    return per, written(simhash_links(per, radius), "similar-near")
+
+
+def first_pairs(nodes: DataFrame, per: DataFrame, near: DataFrame) -> DataFrame:
+    """``a`` > ``b``: the pairs that hold together the nodes whose fingerprints are near or equal."""
     same = nodes.select("node", "fp").join(per.filter("least <> most").select("fp", "least"), "fp").select(F.col("node").alias("a"), F.col("least").alias("b"))
     end = lambda c: per.select(F.col("fp").alias(c), F.col("least").alias(f"node_{c}"))
-    near = simhash_links(per.select("fp"), radius).join(end("a"), "a").join(end("b"), "b")
-    return _ordered(same.unionByName(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))))
+    met = near.join(end("a"), "a").join(end("b"), "b")
+    return _ordered(same.unionByName(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))))
+
+
+def other_pairs(nodes: DataFrame, per: DataFrame, near: DataFrame, roots: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``a`` > ``b``: all pairs of nodes of different components whose fingerprints are near or equal and
+    whose sketches allow it.  roots: ``node``, ``root`` of nodes that have links."""
+    met = per.filter("least <> most").select("fp").unionByName(near.select(F.explode(F.array("a", "b")).alias("fp"))).distinct()
+    of = nodes.join(met, "fp", "left_semi").groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "sketch")))
+    of = written(of.join(roots, "node", "left").select("node", "fp", "n", "sketch", F.coalesce("root", "node").alias("label")), "similar-labels")
 
+    def keep(x: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        label, n = x.column("label").to_numpy(), x.column("n").to_numpy()
+        use = label[i] != label[j]
+        at = np.flatnonzero(use)
+        sketches = pa.concat_arrays(x.column("sketch").chunks).flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)
+        for lo in range(0, len(at), PAIRS):
+            a, b = i[at[lo : lo + PAIRS]], j[at[lo : lo + PAIRS]]
+            apart = np.bitwise_count(sketches[a] ^ sketches[b]).sum(1, dtype=np.int64)
+            use[at[lo : lo + PAIRS]] = apart * (SHARE[1] + SHARE[0]) <= (n[a] + n[b]) * (SHARE[1] - SHARE[0])
+        return use
 
-def other_pairs(nodes: DataFrame, roots: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``a`` > ``b``: all pairs of nodes of different components whose fingerprints are near or equal.
-    roots: ``node``, ``root`` of nodes that have links."""
-    of = nodes.select("node", "fp").distinct().join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("label"))
-    of = written(of, "similar-labels")
-    near = simhash_links(of.select("fp", "label").distinct(), radius, labelled=True).distinct()
-    end = lambda c: of.select(F.col("fp").alias(c), F.col("label").alias(f"l{c}"), F.col("node").alias(f"node_{c}"))
-    both = near.join(end("a"), ["a", "la"]).join(end("b"), ["b", "lb"])
-    return _ordered(both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    return _ordered(simhash_links(of, radius, keep=keep))
 
 
 def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -174,8 +193,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = written(possible(pairs, nodes), "similar-possible")
         return written(_verified(pairs, _sets(texts, nodes, pairs, words, seed)), "similar-links")
 
-    good = confirmed(first_pairs(nodes, radius))
-    good = good.unionByName(confirmed(other_pairs(nodes, components(good), radius)))
+    per, near = near_fingerprints(nodes, radius)
+    good = confirmed(first_pairs(nodes, per, near))
+    good = good.unionByName(confirmed(other_pairs(nodes, per, near, components(good), radius)))
     root = components(good)
     rows = written(nodes.select("doc_id", "node").join(root, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "similar-roots")
     return rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
