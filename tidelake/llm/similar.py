@@ -161,7 +161,7 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def _sets(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, seed: int) -> DataFrame:
     """``node``, ``hs``: the sets that pairs need, and some that they don't.  Texts are told by a bitmap
     of their ids, of bounded size; where it is too full, more sets move."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     asked_for = texts.sparkSession.sparkContext.broadcast(bitmap_of(nodes.join(ends, "node", "left_semi").select("key").distinct()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,12 +190,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = _nodes(texts, words, seed)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = written(possible(pairs, nodes), "similar-possible")
         return written(_verified(pairs, _sets(texts, nodes, pairs, words, seed)), "similar-links")
 
     per, near = near_fingerprints(nodes, radius)
-    good = confirmed(first_pairs(nodes, per, near))
-    good = good.unionByName(confirmed(other_pairs(nodes, per, near, components(good), radius)))
+    good = confirmed(written(possible(first_pairs(nodes, per, near), nodes), "similar-possible"))
+    pairs = written(other_pairs(nodes, per, near, components(good), radius), "similar-pairs")
+    one_each = written(_ordered(pairs.groupBy("a").agg(F.min("b").alias("b")).unionByName(pairs.groupBy("b").agg(F.max("a").alias("a")))), "similar-first")
+    good = good.unionByName(confirmed(one_each))  # a pair or two a node, then what these leave apart
+    of = written(components(good), "similar-parts")
+    end = lambda c: of.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    rest = pairs.join(one_each, ["a", "b"], "left_anti").join(end("a"), "a", "left").join(end("b"), "b", "left")
+    rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    good = good.unionByName(confirmed(written(rest, "similar-rest")))
     root = components(good)
     rows = written(nodes.select("doc_id", "node").join(root, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "similar-roots")
     return rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
