@@ -164,6 +164,68 @@ def test_quality(spark):
     assert host["h5"] < 0.5 < host["h0"] and min(host.values()) <= host["tiny"] <= max(host.values())
 
 
+def test_quality_posteriors(spark):
+    """The posteriors against sums over all other rows, one by one."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(["fine", "good", "spam", "junk"], 30, p=[0.4, 0.4, 0.1, 0.1] if i % 4 else [0.1, 0.1, 0.4, 0.4])), f"h{i % 3}", f"p{i % 2}") for i in range(120)]
+    labels = [(i, int(i % 4 > 0)) for i in range(0, 120, 2)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string, host string, path string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = sorted(quality.classify(docs, known, F.col("host"), F.col("path")).collect())
+    label = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 5}
+    assert [r.held_out for r in got] == [zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in got]
+    w = {r.doc_id: 5.0 if r.doc_id in label else 1.0 for r in got}
+    v = {r.doc_id: label.get(r.doc_id, r.p_text) for r in got}
+    sums = lambda of: (sum(w[r.doc_id] for r in of), sum(w[r.doc_id] * v[r.doc_id] for r in of))
+
+    def strength(groups):
+        """groups: rows of each group, and the mean around which they lie."""
+        between = within = total = 0.0
+        for of, mean in groups:
+            n, s = sums(of)
+            m, total = s / n, total + n
+            between, within = between + n * (m - mean) ** 2, within + sum(w[r.doc_id] * (v[r.doc_id] - m) ** 2 for r in of)
+        noise = within / max(1.0, total - len(groups))
+        extra = max(0.0, (between - len(groups) * noise) / total)
+        return min(10_000.0, max(1.0, noise / extra)) if extra > 0 else 10_000.0
+
+    n, s = sums(got)
+    hosts = {h: [r for r in got if r.host == h] for h in ("h0", "h1", "h2")}
+    paths = {(h, p): [r for r in of if r.path == p] for h, of in hosts.items() for p in ("p0", "p1")}
+    a = strength([(of, s / n) for of in hosts.values()])
+    shrunk = {h: (sums(of)[1] + a * s / n) / (sums(of)[0] + a) for h, of in hosts.items()}
+    b = strength([(of, shrunk[h]) for (h, _), of in paths.items()])
+    for r in got:
+        def others(of):
+            return sums([o for o in of if o.doc_id != r.doc_id])
+
+        (n0, s0), (n1, s1), (n2, s2) = others(got), others(hosts[r.host]), others(paths[r.host, r.path])
+        p_host = (s1 + a * s0 / n0) / (n1 + a)
+        p_path = (s2 + b * p_host) / (n2 + b)
+        odds = np.log(r.p_text / (1 - r.p_text)) + np.log(p_path / (1 - p_path)) - np.log(s0 / n0 / (1 - s0 / n0))
+        assert (r.p_host, r.p_path) == pytest.approx((p_host, p_path), rel=1e-6) and r.quality == pytest.approx(1 / (1 + np.exp(-odds)), rel=1e-5)
+
+
+def test_quality_grams():
+    """Blocks don't change the vector, order does; every byte of a long text counts."""
+    text = ("some words é " * 3000 + "x" * 5000 + " the end").encode()
+    whole, block = quality.grams(text), quality.BLOCK
+    try:
+        quality.BLOCK = 1000
+        assert np.allclose(quality.grams(text), whole, atol=1e-6)
+    finally:
+        quality.BLOCK = block
+    assert not np.allclose(quality.grams(b"a b c d"), quality.grams(b"d c b a")) and not quality.grams(b"").any()
+    assert not np.allclose(quality.grams(text + b" unlike"), whole, atol=1e-6)
+
+
+def test_quality_held_out(spark):
+    """Labels that were never seen are told from texts."""
+    sf_dir = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in queries.op8_quality(spark, sf_dir).collect() if r.held_out}
+    known = [(got[r.doc_id], r.quality) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r.doc_id in got and r.quality is not None]
+    assert len(known) >= 5 and np.mean([r.kept == bool(y) for r, y in known]) >= 0.9
+
+
 def test_quality_edges(edge, nothing, spark):
     labels = spark.createDataFrame([(2, 1), (3, 0), (3, None), (7, 1)], "doc_id long, quality int")
     assert quality.classify(edge, labels, F.col("source"), F.col("lang")).count() == edge.count()
