@@ -23,18 +23,18 @@ def messages(n, first=0):
 def test_ledger_compare_and_swap(spark, tmp_path):
     led = Ledger(spark, str(tmp_path))
     assert led.version() == -1 and led.entries().count() == 0
-    assert led.append([{"type": "FlushStart", "batch_id": "a", "row_count": 1}]) == 0
+    assert led.append([{"type": "FlushBegun", "batch_id": "a", "row_count": 1}]) == 0
     with pytest.raises(CommitConflict):
-        led.append([{"type": "FlushStart", "batch_id": "b"}], expected=-1)
+        led.append([{"type": "FlushBegun", "batch_id": "b"}], expected=-1)
     with pytest.raises(LedgerError):
         led.append([{"type": "Nothing"}])
     with pytest.raises(LedgerError):
-        led.append([{"type": "FlushStart", "colour": "red"}])
+        led.append([{"type": "FlushBegun", "colour": "red"}])
     won = []
 
     def race():
         try:
-            won.append(led.append([{"type": "Maintenance", "operation": "x"}], expected=0))
+            won.append(led.append([{"type": "Maintained", "operation": "x"}], expected=0))
         except CommitConflict:
             pass
 
@@ -42,13 +42,13 @@ def test_ledger_compare_and_swap(spark, tmp_path):
     [t.start() for t in threads], [t.join() for t in threads]
     assert won == [1]
     assert led.checkpoint() == 1 and led.entries().count() == 2
-    led.append([{"type": "Maintenance", "operation": "y"}])
+    led.append([{"type": "Maintained", "operation": "y"}])
     assert [r.seq for r in led.entries().orderBy("seq").select("seq").collect()] == [0, 1_000_000, 2_000_000]
 
 
 def test_malformed_ledger_line_raises(spark, tmp_path):
     led = Ledger(spark, str(tmp_path))
-    led.append([{"type": "Maintenance", "operation": "x"}])
+    led.append([{"type": "Maintained", "operation": "x"}])
     (tmp_path / "versions" / "000000000001.jsonl").write_text("{not json\n")
     with pytest.raises(Exception):
         led.entries().collect()
@@ -61,9 +61,9 @@ def test_coordinator_retries(spark, tmp_path):
 
     def entries(version):
         if not calls:
-            led.append([{"type": "Maintenance", "operation": "other writer"}])
+            led.append([{"type": "Maintained", "operation": "other writer"}])
         calls.append(version)
-        return [{"type": "Maintenance", "operation": "mine"}]
+        return [{"type": "Maintained", "operation": "mine"}]
 
     assert c.commit(entries) == 1 and calls == [0, 1] and len(waits) == 1 and c.success_rate() == 1.0
     assert c.commit(entries, done=lambda e: True) is None
@@ -162,7 +162,7 @@ def test_register_and_reset(spark, tmp_path):
 def test_gate(spark):
     gate = Gate(TableSchema(101, (Field(10, "driver", "string"), Field(11, "lap", "int"))))
     entries = gate.admit([Field(1, "driver", "string"), Field(2, "lap", "int"), Field(3, "team", "string")])
-    assert entries[0]["new_schema_id"] == 102 and gate.table.fields[-1] == Field(12, "team", "string")
+    assert entries[0]["schema_after"] == 102 and gate.table.fields[-1] == Field(12, "team", "string")
     assert gate.admit([Field(1, "driver", "string"), Field(2, "lap", "int")], older=True) == []
     with pytest.raises(SchemaError, match="changed type"):
         gate.admit([Field(1, "driver", "string"), Field(2, "lap", "string"), Field(3, "team", "string")])

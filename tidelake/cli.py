@@ -67,7 +67,7 @@ def run(args: argparse.Namespace) -> int:
     elif args.command == "maintenance":
         entries = ledger.entries()
         if args.task == "expire-snapshots":
-            snapshots = entries.filter("type = 'DataFileCommitted'").groupBy("snapshot_id").agg(F.max("timestamp").alias("timestamp"))
+            snapshots = entries.filter("type = 'FileCommitted'").groupBy("snapshot_id").agg(F.max("timestamp").alias("timestamp"))
             gone = [r.snapshot_id for r in maintenance.expired(snapshots, now, c.maintenance.snapshot_retention_days * day).collect()]
             if gone:
                 ledger.append([{"type": "SnapshotsExpired", "details": json.dumps(gone)}])

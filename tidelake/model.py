@@ -20,32 +20,47 @@ MESSAGE = T.StructType(
 RAW = T.StructType([*MESSAGE.fields[:-1], T.StructField("read_lsn", T.LongType(), False)])
 METADATA = ("key", "value", "topic", "partition", "offset", "timestamp", "read_lsn", "_schema_id", "_message_type")
 
-_LONGS = (
-    "record_count timestamp row_count memory_bytes min_offset max_offset file_size_bytes snapshot_id row_count_total kafka_offset iceberg_snapshot_id "
-    "duration_ms last_kafka_offset last_iceberg_snapshot entries_since_last response_time_ms error_code retry_count kafka_offset_min kafka_offset_max "
-    "committed_at min_lsn read_lsn offset old_schema_id new_schema_id"
-).split()
-_STRINGS = "batch_id file_path checksum manifest_list_path checkpoint_id operation details catalog_type error_message database table reason topic".split()
-_FIELD = T.StructType([T.StructField("name", T.StringType()), T.StructField("field_type", T.StringType()), T.StructField("required", T.BooleanType()), T.StructField("doc", T.StringType())])
-#: An entry of the ledger: its place, its type, and the fields of all types side by side.
+#: An entry of the ledger: where it stands, what it says, and what it says it about.
 LEDGER = T.StructType(
     [
         T.StructField("seq", T.LongType()),
         T.StructField("type", T.StringType()),
-        *(T.StructField(n, T.StringType()) for n in _STRINGS),
-        *(T.StructField(n, T.LongType()) for n in _LONGS),
+        T.StructField("timestamp", T.LongType()),  # ms since the epoch
+        # the table, and the flush or maintenance that made the entry
+        T.StructField("database", T.StringType()),
+        T.StructField("table", T.StringType()),
+        T.StructField("batch_id", T.StringType()),
+        T.StructField("operation", T.StringType()),
+        T.StructField("details", T.StringType()),
+        T.StructField("snapshot_id", T.LongType()),
+        # a file, and the rows in it
+        T.StructField("file_path", T.StringType()),
+        T.StructField("file_size_bytes", T.LongType()),
+        T.StructField("row_count", T.LongType()),
+        T.StructField("topic", T.StringType()),
         T.StructField("partition", T.IntegerType()),
-        T.StructField("is_healthy", T.BooleanType()),
-        T.StructField("is_retryable", T.BooleanType()),
-        T.StructField("keep_data", T.BooleanType()),
+        T.StructField("min_offset", T.LongType()),
+        T.StructField("max_offset", T.LongType()),
+        T.StructField("min_lsn", T.LongType()),
+        T.StructField("read_lsn", T.LongType()),
+        # a range of offsets that is committed whole
+        T.StructField("first_offset", T.LongType()),
+        T.StructField("last_offset", T.LongType()),
+        # several files or snapshots at once; until when files are pinned
         T.StructField("file_paths", T.ArrayType(T.StringType())),
-        T.StructField("fields_added", T.ArrayType(_FIELD)),
-        T.StructField("fields_removed", T.ArrayType(T.StringType())),
+        T.StructField("snapshot_ids", T.ArrayType(T.LongType())),
+        T.StructField("until", T.LongType()),
+        T.StructField("keep_data", T.BooleanType()),
+        # a change of the table's schema
+        T.StructField("schema_before", T.LongType()),
+        T.StructField("schema_after", T.LongType()),
+        T.StructField("fields_added", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("name", "type", "doc")]))),
     ]
 )
+#: What an entry may say.
 ENTRY_TYPES = (
-    "OffsetMarker", "BufferSnapshot", "FlushStart", "ParquetWritten", "IcebergSnapshot", "FlushComplete", "Checkpoint", "Maintenance",
-    "CatalogHealthCheck", "CatalogError", "IdempotencyRecord", "DataFileCommitted", "TableReset", "SchemaEvolution", "FilesReplaced", "SnapshotsExpired", "ScanLease",
+    "FlushBegun", "FileWritten", "SnapshotMade", "FlushDone", "FileCommitted", "RangeCommitted", "TableCleared", "SchemaChanged", "FilesReplaced", "FilesPinned", "FilesReleased",
+    "SnapshotsExpired", "Maintained",
 )
 #: A committed file of the table.
 DATA_FILE = "file_path string, topic string, partition int, event_date string, min_offset long, max_offset long, min_lsn long, read_lsn long, row_count long, file_size_bytes long, snapshot_id long"

@@ -126,14 +126,14 @@ class Ledger:
         return live_files(self.entries())
 
     def next_lsn(self) -> int:
-        return (self.entries().filter("type = 'DataFileCommitted'").agg(F.max("read_lsn")).first()[0] or 0) + 1
+        return (self.entries().filter("type = 'FileCommitted'").agg(F.max("read_lsn")).first()[0] or 0) + 1
 
 
 def live_files(entries: DataFrame) -> DataFrame:
     """Committed files after their table's last reset, without those that a later entry replaced."""
-    reset = entries.filter("type = 'TableReset'").groupBy("database", "table").agg(F.max("seq").alias("reset"))
+    reset = entries.filter("type = 'TableCleared'").groupBy("database", "table").agg(F.max("seq").alias("reset"))
     gone = entries.filter("type = 'FilesReplaced'").select(F.explode("file_paths").alias("file_path")).distinct()
-    files = entries.filter("type = 'DataFileCommitted'").join(reset, ["database", "table"], "left")
+    files = entries.filter("type = 'FileCommitted'").join(reset, ["database", "table"], "left")
     files = files.filter(F.col("reset").isNull() | (F.col("seq") > F.col("reset"))).drop("reset")
     return files.join(gone, "file_path", "left_anti")
 
@@ -147,8 +147,8 @@ class Coordinator:
 
     def covered(self, topic: str, partition: int, lo: int, hi: int) -> bool:
         """Whether a committed range holds these offsets."""
-        e = self.ledger.entries().filter((F.col("type") == "IdempotencyRecord") & (F.col("topic") == topic) & (F.col("partition") == partition))
-        return not e.filter((F.col("kafka_offset_min") <= lo) & (F.col("kafka_offset_max") >= hi)).isEmpty()
+        e = self.ledger.entries().filter((F.col("type") == "RangeCommitted") & (F.col("topic") == topic) & (F.col("partition") == partition))
+        return not e.filter((F.col("first_offset") <= lo) & (F.col("last_offset") >= hi)).isEmpty()
 
     def commit(self, entries: Callable[[int], list[dict]], done: Callable[[DataFrame], bool] | None = None) -> int | None:
         """Appends what ``entries`` makes of the version to come.  done: asked before each try whether
@@ -175,63 +175,78 @@ class Coordinator:
 
 
 class SqlCatalog:
-    """Tables, snapshots and files in SQLite, committed by compare-and-swap in one transaction."""
+    """Tables and their versions in SQLite.  A table's row holds where it is, its schema and its current
+    version; a version is a document that lists all its files, so a commit inserts one and moves the
+    table to it, in one transaction and only from the version that the writer saw."""
 
     def __init__(self, path: str, catalog: str = "default"):
         self.path, self.catalog = path, catalog
         with closing(self._open()) as c, c:
-            c.execute("create table if not exists namespaces(catalog_name text, namespace text, properties_json text, created_at_ms integer, primary key(catalog_name, namespace))")
-            c.execute("create table if not exists tables(catalog_name text, namespace text, table_name text, location text, current_snapshot_id integer, schema_id integer, schema_json text, primary key(catalog_name, namespace, table_name))")
-            c.execute("create table if not exists data_files(catalog_name text, namespace text, table_name text, snapshot_id integer, file_path text, file_size_bytes integer, record_count integer, partition_values_json text, file_format text, created_at_ms integer, removed integer default 0)")
+            c.execute("create table if not exists lake_space(catalog text, space text, settings text, primary key(catalog, space))")
+            c.execute("create table if not exists lake_table(place integer primary key, catalog text, space text, name text, root text, shape text, shape_no integer default 0, at integer, unique(catalog, space, name))")
+            c.execute("create table if not exists lake_version(place integer references lake_table, version integer, listing text, primary key(place, version))")
 
     def _open(self) -> sqlite3.Connection:
         return sqlite3.connect(self.path, timeout=30)
 
     def create_namespace(self, namespace: str, properties: dict | None = None) -> None:
         with closing(self._open()) as c, c:
-            c.execute("insert or ignore into namespaces values (?, ?, ?, ?)", (self.catalog, namespace, json.dumps(properties or {}), int(time.time() * 1000)))
+            c.execute("insert or ignore into lake_space values (?, ?, ?)", (self.catalog, namespace, json.dumps(properties or {})))
 
     def namespaces(self) -> list[str]:
         with closing(self._open()) as c:
-            return [r[0] for r in c.execute("select namespace from namespaces where catalog_name = ? order by 1", (self.catalog,))]
+            return [r[0] for r in c.execute("select space from lake_space where catalog = ? order by 1", (self.catalog,))]
 
     def create_table(self, namespace: str, table: str, location: str, schema_json: str) -> None:
         self.create_namespace(namespace)
         with closing(self._open()) as c, c:
-            c.execute("insert or ignore into tables values (?, ?, ?, ?, null, 0, ?)", (self.catalog, namespace, table, location, schema_json))
+            c.execute("insert or ignore into lake_table(catalog, space, name, root, shape) values (?, ?, ?, ?, ?)", (self.catalog, namespace, table, location, schema_json))
 
     def tables(self, namespace: str) -> list[str]:
         with closing(self._open()) as c:
-            return [r[0] for r in c.execute("select table_name from tables where catalog_name = ? and namespace = ? order by 1", (self.catalog, namespace))]
+            return [r[0] for r in c.execute("select name from lake_table where catalog = ? and space = ? order by 1", (self.catalog, namespace))]
+
+    def _row(self, c: sqlite3.Connection, namespace: str, table: str) -> tuple | None:
+        return c.execute("select place, root, at, shape_no, shape from lake_table where catalog = ? and space = ? and name = ?", (self.catalog, namespace, table)).fetchone()
+
+    def _listing(self, c: sqlite3.Connection, place: int, version: int | None) -> list[dict]:
+        r = c.execute("select listing from lake_version where place = ? and version = ?", (place, version)).fetchone()
+        return json.loads(r[0]) if r else []
 
     def load(self, namespace: str, table: str) -> dict | None:
         with closing(self._open()) as c:
-            r = c.execute("select location, current_snapshot_id, schema_id, schema_json from tables where catalog_name = ? and namespace = ? and table_name = ?", (self.catalog, namespace, table)).fetchone()
-        return dict(zip(("location", "snapshot_id", "schema_id", "schema_json"), r, strict=True)) if r else None
+            r = self._row(c, namespace, table)
+        return dict(zip(("location", "snapshot_id", "schema_id", "schema_json"), r[1:], strict=True)) if r else None
 
     def commit(self, namespace: str, table: str, expected: int | None, snapshot_id: int, added: list[dict], removed: list[str] = ()) -> None:
-        """Sets the snapshot if it is still ``expected``, and the files with it."""
-        key = (self.catalog, namespace, table)
+        """Makes the version ``snapshot_id`` of the current one and the files, if that is still ``expected``."""
         with closing(self._open()) as c, c:
             c.execute("begin immediate")
-            if c.execute("update tables set current_snapshot_id = ? where catalog_name = ? and namespace = ? and table_name = ? and current_snapshot_id is ?", (snapshot_id, *key, expected)).rowcount != 1:
+            r = self._row(c, namespace, table)
+            if r is None or r[2] != expected:
                 raise CommitConflict(f"{namespace}.{table} isn't at {expected}")
-            c.executemany("insert into data_files values (?, ?, ?, ?, ?, ?, ?, ?, ?, ?, 0)", [(*key, snapshot_id, f["file_path"], f["file_size_bytes"], f["record_count"], json.dumps(f.get("partition", {})), "parquet", int(time.time() * 1000)) for f in added])
-            c.executemany("update data_files set removed = 1 where catalog_name = ? and namespace = ? and table_name = ? and file_path = ?", [(*key, p) for p in removed])
+            gone = set(removed)
+            listing = [f for f in self._listing(c, r[0], expected) if f["file_path"] not in gone]
+            listing += [{"file_path": f["file_path"], "file_size_bytes": f["file_size_bytes"], "record_count": f["record_count"], "snapshot_id": snapshot_id} for f in added]
+            c.execute("insert into lake_version values (?, ?, ?)", (r[0], snapshot_id, json.dumps(listing)))
+            c.execute("update lake_table set at = ? where place = ?", (snapshot_id, r[0]))
 
     def update_schema(self, namespace: str, table: str, expected_id: int, schema_json: str) -> int:
         with closing(self._open()) as c, c:
-            if c.execute("update tables set schema_json = ?, schema_id = schema_id + 1 where catalog_name = ? and namespace = ? and table_name = ? and schema_id = ?", (schema_json, self.catalog, namespace, table, expected_id)).rowcount != 1:
+            c.execute("begin immediate")
+            r = self._row(c, namespace, table)
+            if r is None or r[3] != expected_id:
                 raise CommitConflict(f"{namespace}.{table}'s schema isn't {expected_id}")
+            c.execute("update lake_table set shape = ?, shape_no = ? where place = ?", (schema_json, expected_id + 1, r[0]))
         return expected_id + 1
 
     def files(self, namespace: str, table: str) -> list[dict]:
+        """The current version's files, oldest first."""
         with closing(self._open()) as c:
-            rows = c.execute("select file_path, file_size_bytes, record_count, snapshot_id from data_files where catalog_name = ? and namespace = ? and table_name = ? and removed = 0 order by created_at_ms, file_path", (self.catalog, namespace, table)).fetchall()
-        return [dict(zip(("file_path", "file_size_bytes", "record_count", "snapshot_id"), r, strict=True)) for r in rows]
+            r = self._row(c, namespace, table)
+            return self._listing(c, r[0], r[2]) if r else []
 
     def reset(self, namespace: str, table: str) -> None:
-        """Forgets the table's files and snapshot; the files stay."""
+        """Takes the table to no version at all; files and earlier versions stay."""
         with closing(self._open()) as c, c:
-            c.execute("update tables set current_snapshot_id = null where catalog_name = ? and namespace = ? and table_name = ?", (self.catalog, namespace, table))
-            c.execute("update data_files set removed = 1 where catalog_name = ? and namespace = ? and table_name = ?", (self.catalog, namespace, table))
+            c.execute("update lake_table set at = null where catalog = ? and space = ? and name = ?", (self.catalog, namespace, table))

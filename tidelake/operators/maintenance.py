@@ -55,10 +55,10 @@ def compact(ledger: Ledger, database: str, table: str, location: str, threshold:
         out = f"{location.rstrip('/')}/compacted/{uuid.uuid4().hex}"
         spark.read.option("mergeSchema", "true").parquet(*g.paths).coalesce(1).sortWithinPartitions("read_lsn").write.parquet(out)
         for path, size in list_files(spark, out).filter(F.col("path").endswith(".parquet")).select("path", "size").collect():
-            entries.append({"type": "DataFileCommitted", "database": database, "table": table, "topic": g.topic, "partition": g.partition, "min_offset": g.min_offset, "max_offset": g.max_offset, "min_lsn": g.min_lsn, "read_lsn": g.read_lsn, "row_count": g.row_count, "file_path": path, "file_size_bytes": size, "snapshot_id": snapshot})
+            entries.append({"type": "FileCommitted", "database": database, "table": table, "topic": g.topic, "partition": g.partition, "min_offset": g.min_offset, "max_offset": g.max_offset, "min_lsn": g.min_lsn, "read_lsn": g.read_lsn, "row_count": g.row_count, "file_path": path, "file_size_bytes": size, "snapshot_id": snapshot})
         gone += g.paths
     if gone:
-        entries += [{"type": "FilesReplaced", "database": database, "table": table, "file_paths": gone, "snapshot_id": snapshot}, {"type": "Maintenance", "operation": "compaction", "details": f"{len(gone)} files"}]
+        entries += [{"type": "FilesReplaced", "database": database, "table": table, "file_paths": gone, "snapshot_id": snapshot}, {"type": "Maintained", "operation": "compaction", "details": f"{len(gone)} files"}]
         live = set(gone)
 
         def make(version: int) -> list[dict]:

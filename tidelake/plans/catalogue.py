@@ -207,13 +207,13 @@ def made_ledger(spark: SparkSession, sf: str) -> DataFrame:
     own = {"database": F.lit("db"), "table": F.lit("events"), "topic": F.col("topic"), "partition": F.col("partition")}
     named = lambda *names: {n: F.col(n) for n in names}
     parts = [
-        entry(batch, "FlushStart", 1, **named("row_count")),
-        entry(files.filter("batch_id % 7 <> 3"), "ParquetWritten", 10, **named("file_path", "file_size_bytes", "row_count")),
-        entry(batch.filter("batch_id % 5 <> 4"), "IcebergSnapshot", 20, snapshot_id=b + 1, row_count_total=F.col("row_count")),
-        entry(batch.filter(done), "FlushComplete", 30, iceberg_snapshot_id=b + 1),
-        entry(files.filter(done), "DataFileCommitted", 40, **own, **named("file_path", "file_size_bytes", "row_count", "min_offset", "max_offset", "min_lsn"), read_lsn=F.col("max_lsn"), snapshot_id=b + 1),
-        entry(m.filter(done).groupBy("batch_id", "topic", "partition").agg(F.min("min_offset").alias("lo"), F.max("max_offset").alias("hi")), "IdempotencyRecord", 50, topic=F.col("topic"), partition=F.col("partition"), kafka_offset_min=F.col("lo"), kafka_offset_max=F.col("hi"), snapshot_id=b + 1),
-        entry(batch.filter("batch_id = 2"), "TableReset", 999, database=F.lit("db"), table=F.lit("events"), keep_data=F.lit(True)),
+        entry(batch, "FlushBegun", 1, **named("row_count")),
+        entry(files.filter("batch_id % 7 <> 3"), "FileWritten", 10, **named("file_path", "file_size_bytes", "row_count")),
+        entry(batch.filter("batch_id % 5 <> 4"), "SnapshotMade", 20, snapshot_id=b + 1, row_count=F.col("row_count")),
+        entry(batch.filter(done), "FlushDone", 30, snapshot_id=b + 1),
+        entry(files.filter(done), "FileCommitted", 40, **own, **named("file_path", "file_size_bytes", "row_count", "min_offset", "max_offset", "min_lsn"), read_lsn=F.col("max_lsn"), snapshot_id=b + 1),
+        entry(m.filter(done).groupBy("batch_id", "topic", "partition").agg(F.min("min_offset").alias("lo"), F.max("max_offset").alias("hi")), "RangeCommitted", 50, topic=F.col("topic"), partition=F.col("partition"), first_offset=F.col("lo"), last_offset=F.col("hi"), snapshot_id=b + 1),
+        entry(batch.filter("batch_id = 2"), "TableCleared", 999, database=F.lit("db"), table=F.lit("events"), keep_data=F.lit(True)),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -250,7 +250,7 @@ def recovery_summary(spark, sf):
     return recovery.summary(made_ledger(spark, sf))
 
 
-@query("with l as (select event_id + 1 as seq from events) select cast((seq - 1) // 512 as bigint) as checkpoint_id, max(seq) as last_seq, count(*) as entries_since_last from l group by 1")
+@query("with l as (select event_id + 1 as seq from events) select cast((seq - 1) // 512 as bigint) as checkpoint, max(seq) as last_seq, count(*) as entries_covered from l group by 1")
 def checkpoint_rollup(spark, sf):
     return recovery.checkpoint_groups(event_log(spark, sf, offsets=False).select(F.col("read_lsn").alias("seq")), 512)
 

@@ -57,9 +57,9 @@ def register_parquet(ledger: Ledger, database: str, table: str, sources: list[st
         lsn, out = ledger.next_lsn(), []
         for i, r in enumerate(rows):
             n = max(r.rows, 1)
-            out.append({"type": "DataFileCommitted", "database": database, "table": table, "topic": "__backfill__", "partition": 0, "min_offset": i, "max_offset": i, "min_lsn": lsn, "read_lsn": lsn + n - 1, "row_count": r.rows, "file_path": r.path, "file_size_bytes": r.size, "snapshot_id": snapshot})
+            out.append({"type": "FileCommitted", "database": database, "table": table, "topic": "__backfill__", "partition": 0, "min_offset": i, "max_offset": i, "min_lsn": lsn, "read_lsn": lsn + n - 1, "row_count": r.rows, "file_path": r.path, "file_size_bytes": r.size, "snapshot_id": snapshot})
             lsn += n
-        return [*out, {"type": "Maintenance", "operation": "backfill-register", "details": f"{len(rows)} files"}]
+        return [*out, {"type": "Maintained", "operation": "backfill-register", "details": f"{len(rows)} files"}]
 
     Coordinator(ledger).commit(entries)
     return len(rows)
@@ -67,7 +67,7 @@ def register_parquet(ledger: Ledger, database: str, table: str, sources: list[st
 
 def reset_table(ledger: Ledger, database: str, table: str) -> None:
     """Forgets a table's files; the files stay."""
-    Coordinator(ledger).commit(lambda v: [{"type": "TableReset", "database": database, "table": table, "keep_data": True}])
+    Coordinator(ledger).commit(lambda v: [{"type": "TableCleared", "database": database, "table": table, "keep_data": True}])
 
 
 __all__ = ["check_schemas", "expand", "inspect", "list_files", "register_parquet", "reset_table"]

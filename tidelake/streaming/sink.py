@@ -71,8 +71,8 @@ class Gate:
             time.sleep(wait)
         self._last = self.clock()
         old, self.table = self.table, evolve(self.table, list(d.added))
-        added = [{"name": f.name, "field_type": str(f.type), "required": False, "doc": f.doc} for f in self.table.fields[len(old.fields) :]]
-        return [{"type": "SchemaEvolution", "fields_added": added, "fields_removed": [], "old_schema_id": old.schema_id, "new_schema_id": self.table.schema_id, "reason": "additive"}]
+        added = [{"name": f.name, "type": str(f.type), "doc": f.doc} for f in self.table.fields[len(old.fields) :]]
+        return [{"type": "SchemaChanged", "fields_added": added, "schema_before": old.schema_id, "schema_after": self.table.schema_id}]
 
 
 @dataclass
@@ -114,7 +114,7 @@ class Sink:
         """Whether all the batch's ranges have been committed; a batch is committed whole or not."""
         spark = entries.sparkSession
         asked = spark.createDataFrame([(r.topic, r.partition, r.lo, r.hi) for r in ranges], "topic string, partition int, lo long, hi long")
-        done = entries.filter((F.col("type") == "IdempotencyRecord") & (F.col("table") == self.table)).select("topic", "partition", F.col("kafka_offset_min").alias("lo"), F.col("kafka_offset_max").alias("hi"))
+        done = entries.filter((F.col("type") == "RangeCommitted") & (F.col("table") == self.table)).select("topic", "partition", F.col("first_offset").alias("lo"), F.col("last_offset").alias("hi"))
         return covered_ranges(asked, done).count() == len(ranges)
 
     def _write(self, batch: DataFrame, batch_id: int, ranges: list) -> None:
@@ -139,10 +139,10 @@ class Sink:
             if shift:
                 raise RuntimeError("another writer took the sequence numbers; the batch is replayed")
             name = f"{run}-{batch_id}"
-            made = [{"type": "FlushStart", "batch_id": name, "row_count": sum(f.row_count for f in files)}]
-            made += [{"type": "DataFileCommitted", "database": self.database, "table": self.table, "snapshot_id": snapshot, "batch_id": name} | {k: f[k] for k in ("topic", "partition", "min_offset", "max_offset", "min_lsn", "read_lsn", "row_count", "file_path", "file_size_bytes")} for f in files]
-            made += [{"type": "IdempotencyRecord", "table": self.table, "topic": r.topic, "partition": r.partition, "kafka_offset_min": r.lo, "kafka_offset_max": r.hi, "snapshot_id": snapshot} for r in ranges]
-            return [*made, *({"database": self.database, "table": self.table} | c for c in changes), {"type": "FlushComplete", "batch_id": name, "iceberg_snapshot_id": snapshot}]
+            made = [{"type": "FlushBegun", "batch_id": name, "row_count": sum(f.row_count for f in files)}]
+            made += [{"type": "FileCommitted", "database": self.database, "table": self.table, "snapshot_id": snapshot, "batch_id": name} | {k: f[k] for k in ("topic", "partition", "min_offset", "max_offset", "min_lsn", "read_lsn", "row_count", "file_path", "file_size_bytes")} for f in files]
+            made += [{"type": "RangeCommitted", "table": self.table, "topic": r.topic, "partition": r.partition, "first_offset": r.lo, "last_offset": r.hi, "snapshot_id": snapshot} for r in ranges]
+            return [*made, *({"database": self.database, "table": self.table} | c for c in changes), {"type": "FlushDone", "batch_id": name, "snapshot_id": snapshot}]
 
         Coordinator(self.ledger).commit(entries, done=lambda e: self._covered(e, ranges))
 
