@@ -146,26 +146,26 @@ def test_bins_restart_their_sum(spark):
 def test_register_and_reset(spark, tmp_path):
     led = Ledger(spark, str(tmp_path / "ledger"))
     for i in range(2):
-        spark.createDataFrame([(f"D{j}", j) for j in range(3 + i)], "driver string, lap int").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
-    assert files.register_parquet(led, "db", "laps", [str(tmp_path / "in")]) == 2
+        spark.createDataFrame([(f"owner{j}", j) for j in range(3 + i)], "owner string, shelf int").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    assert files.register_parquet(led, "db", "parcels", [str(tmp_path / "in")]) == 2
     got = led.files().orderBy("min_lsn").select("min_lsn", "read_lsn", "row_count", "topic").collect()
     assert [tuple(r) for r in got] == [(1, 3, 3, "__backfill__"), (4, 7, 4, "__backfill__")]
     spark.createDataFrame([(1,)], "other int").write.parquet(str(tmp_path / "bad"))
     with pytest.raises(SchemaError):
-        files.register_parquet(led, "db", "laps", [str(tmp_path / "in"), str(tmp_path / "bad")])
-    files.reset_table(led, "db", "laps")
+        files.register_parquet(led, "db", "parcels", [str(tmp_path / "in"), str(tmp_path / "bad")])
+    files.reset_table(led, "db", "parcels")
     assert led.files().count() == 0
-    files.register_parquet(led, "db", "laps", [str(tmp_path / "in/0")])
+    files.register_parquet(led, "db", "parcels", [str(tmp_path / "in/0")])
     assert led.files().first().min_lsn == 8
 
 
 def test_gate(spark):
-    gate = Gate(TableSchema(101, (Field(10, "driver", "string"), Field(11, "lap", "int"))))
-    entries = gate.admit([Field(1, "driver", "string"), Field(2, "lap", "int"), Field(3, "team", "string")])
-    assert entries[0]["schema_after"] == 102 and gate.table.fields[-1] == Field(12, "team", "string")
-    assert gate.admit([Field(1, "driver", "string"), Field(2, "lap", "int")], older=True) == []
+    gate = Gate(TableSchema(4, (Field(1, "owner", "string"), Field(2, "shelf", "int"))))
+    entries = gate.admit([Field(1, "owner", "string"), Field(2, "shelf", "int"), Field(3, "hall", "string")])
+    assert entries[0]["schema_after"] == 5 and gate.table.fields[-1] == Field(3, "hall", "string")
+    assert gate.admit([Field(1, "owner", "string"), Field(2, "shelf", "int")], older=True) == []
     with pytest.raises(SchemaError, match="changed type"):
-        gate.admit([Field(1, "driver", "string"), Field(2, "lap", "string"), Field(3, "team", "string")])
+        gate.admit([Field(1, "owner", "string"), Field(2, "shelf", "string"), Field(3, "hall", "string")])
     assert gate.paused
     manual = Gate(TableSchema(1, ()), mode="manual")
     with pytest.raises(SchemaError, match="new fields"):

@@ -22,7 +22,8 @@ def parser() -> argparse.ArgumentParser:
     sub.add_parser("validate", help="check the configuration")
     m = sub.add_parser("maintenance").add_subparsers(dest="task", required=True)
     m.add_parser("compact")
-    m.add_parser("expire-snapshots")
+    m.add_parser("run", help="all that the configuration turns on, once")
+    m.add_parser("expire-snapshots").add_argument("--dry-run", action="store_true")
     orphans = m.add_parser("clean-orphans")
     orphans.add_argument("--dry-run", action="store_true")
     t = sub.add_parser("table").add_subparsers(dest="task", required=True)
@@ -38,13 +39,11 @@ def run(args: argparse.Namespace) -> int:
     if args.command == "validate":
         print("the configuration is fine")
         return 0
-    from pyspark.sql import functions as F
-
     from tidelake.operators import maintenance, recovery
     from tidelake.operators.ledger import Ledger
     from tidelake.session import session
     from tidelake.sources import files, log
-    from tidelake.streaming.sink import Sink
+    from tidelake.streaming import ingest
 
     spark = session(**{k.replace(".", "__"): v for k, v in (config.catalog_options(c.table) | config.filesystem_options(c.table)).items()})
     ledger = Ledger(spark, c.ledger.log_dir)
@@ -53,7 +52,7 @@ def run(args: argparse.Namespace) -> int:
         print(json.dumps(recovery.summary(ledger.entries()).first().asDict(), indent=1))
     elif args.command == "ingest":
         stream = log.stream_log(spark, args.log, c.kafka.topic, c.kafka.auto_offset_reset, c.kafka.batch_size) if args.log else log.stream_kafka(spark, c.kafka)
-        sink = Sink(ledger, c.table.warehouse_path, c.table.database_name, c.table.table_name, hourly=c.table.partition_strategy == "hourly", compression=c.table.compression)
+        sink = ingest.build(ledger, c)
         q = sink.start(stream, f"{c.ledger.log_dir}/stream", None if args.once else f"{c.buffer.flush_interval_seconds} seconds")
         try:
             q.awaitTermination()
@@ -65,18 +64,13 @@ def run(args: argparse.Namespace) -> int:
         n = maintenance.compact(ledger, c.table.database_name, c.table.table_name, c.table.warehouse_path, c.maintenance.compaction_threshold_mb << 20, c.maintenance.compaction_target_mb << 20)
         print(f"{n} files merged")
     elif args.command == "maintenance":
-        entries = ledger.entries()
         if args.task == "expire-snapshots":
-            snapshots = entries.filter("type = 'FileCommitted'").groupBy("snapshot_id").agg(F.max("timestamp").alias("timestamp"))
-            gone = [r.snapshot_id for r in maintenance.expired(snapshots, now, c.maintenance.snapshot_retention_days * day).collect()]
-            if gone:
-                ledger.append([{"type": "SnapshotsExpired", "details": json.dumps(gone)}])
-            print(f"{len(gone)} snapshots expired")
+            print(json.dumps(maintenance.expire(ledger, c.table.database_name, c.table.table_name, now, c.maintenance.snapshot_retention_days * day, args.dry_run)))
+        elif args.task == "run":
+            print(json.dumps(ingest.maintain(ledger, c, now)))
         else:
-            listed = files.list_files(spark, f"{c.table.warehouse_path}/data")
-            # all that any entry names and that wasn't replaced is referenced
-            found = maintenance.orphans(listed, ledger.files().select(F.col("file_path").alias("path")), now - c.maintenance.orphan_retention_days * day)
-            print(f"{found.count() if args.dry_run else maintenance.delete_files(spark, found)} orphans" + " found" * args.dry_run)
+            n = maintenance.clean_orphans(ledger, f"{c.table.warehouse_path}/data", now, c.maintenance.orphan_retention_days * day, args.dry_run)
+            print(f"{n} orphans" + " found" * args.dry_run)
     elif args.task == "register":
         print(f"{files.register_parquet(ledger, c.table.database_name, c.table.table_name, args.sources)} files registered")
     else:

@@ -125,8 +125,46 @@ class Ledger:
         """Files that are visible: committed after their table's last reset and not replaced."""
         return live_files(self.entries())
 
-    def next_lsn(self) -> int:
-        return (self.entries().filter("type = 'FileCommitted'").agg(F.max("read_lsn")).first()[0] or 0) + 1
+    def next_lsn(self, database: str, table: str) -> int:
+        mine = self.entries().filter((F.col("type") == "FileCommitted") & (F.col("database") == database) & (F.col("table") == table))
+        return (mine.agg(F.max("read_lsn")).first()[0] or 0) + 1
+
+
+def bare_path(path):
+    """A path as it compares: readers write local ones with one slash after the scheme or three."""
+    return F.regexp_replace(F.regexp_replace(path, "^file:/+", "/"), "^//+", "/")
+
+
+def pinned_files(entries: DataFrame, now_ms: int) -> DataFrame:
+    """``file_path`` of files that a scan holds: pinned until later, and not released."""
+    released = entries.filter("type = 'FilesReleased'").select("batch_id")
+    pins = entries.filter((F.col("type") == "FilesPinned") & (F.col("until") > now_ms)).join(released, "batch_id", "left_anti")
+    return pins.select(F.explode("file_paths").alias("file_path")).distinct()
+
+
+def replaced_files(entries: DataFrame) -> DataFrame:
+    """Committed files that a later entry replaced, with the time of that (``replaced_at``)."""
+    gone = entries.filter("type = 'FilesReplaced'").select(F.explode("file_paths").alias("file_path"), "timestamp").groupBy("file_path").agg(F.max("timestamp").alias("replaced_at"))
+    return entries.filter("type = 'FileCommitted'").join(gone, "file_path")
+
+
+def kept_files(entries: DataFrame) -> DataFrame:
+    """Files that their table forgot when it was cleared, if that was to keep the data."""
+    files = entries.filter("type = 'FileCommitted'").select("database", "table", "file_path", "seq")
+    cleared = entries.filter("type = 'TableCleared'").select("database", "table", F.col("seq").alias("cleared"), F.coalesce("keep_data", F.lit(False)).alias("kept"))
+    first = files.join(cleared, ["database", "table"]).filter("seq < cleared").groupBy("file_path").agg(F.min_by("kept", "cleared").alias("kept"))
+    return first.filter("kept").select("file_path")
+
+
+def protected_files(entries: DataFrame, now_ms: int, retention_ms: int) -> DataFrame:
+    """``path`` of what cleaning up has to leave alone: live files, files of a cleared table that were
+    to be kept, files that a scan pins, and files that were replaced within the retention."""
+    recent = replaced_files(entries).filter(F.col("replaced_at") >= now_ms - retention_ms)
+    parts = [live_files(entries), kept_files(entries), pinned_files(entries, now_ms), recent]
+    out = parts[0].select("file_path")
+    for p in parts[1:]:
+        out = out.unionByName(p.select("file_path"))
+    return out.select(F.col("file_path").alias("path")).distinct()
 
 
 def live_files(entries: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelake.operators.ledger import Coordinator, Ledger
+from tidelake.errors import StorageError
+from tidelake.operators.ledger import Coordinator, Ledger, bare_path, pinned_files, protected_files, replaced_files
 
 MIB = 1 << 20
 
@@ -77,6 +78,49 @@ def expired(snapshots: DataFrame, now_ms: int, retention_ms: int) -> DataFrame:
     return snapshots.join(F.broadcast(last)).filter((F.col("snapshot_id") != F.col("current")) & (F.col("timestamp") < now_ms - retention_ms)).drop("current")
 
 
+def expiration_impact(gone: DataFrame, files: DataFrame) -> DataFrame:
+    """gone: ``snapshot_id`` of expired snapshots; files: ``snapshot_id``, ``file_path``, ``size``, ``live``.
+    One row: ``snapshots``, their ``files`` and ``bytes`` that go, and ``kept_files`` that are live."""
+    mine = files.join(gone.select("snapshot_id").distinct(), "snapshot_id", "left_semi")
+    sums = mine.agg(F.count_if(~F.col("live")).alias("files"), F.coalesce(F.sum(F.when(~F.col("live"), F.col("size"))), F.lit(0)).cast("long").alias("bytes"), F.count_if(F.col("live")).alias("kept_files"))
+    return gone.agg(F.count_distinct("snapshot_id").alias("snapshots")).join(sums)  # a row each
+
+
+def expire(ledger: Ledger, database: str, table: str, now_ms: int, retention_ms: int, dry_run: bool = False) -> dict:
+    """Expires a table's snapshots past retention: deletes those of their files that were replaced before
+    the retention began and that no scan pins.  A snapshot is recorded as expired once.  Returns what
+    ``expiration_impact`` says."""
+    entries = ledger.entries()
+    mine = (F.col("database") == database) & (F.col("table") == table)
+    snapshots = entries.filter((F.col("type") == "FileCommitted") & mine).groupBy("snapshot_id").agg(F.max("timestamp").alias("timestamp"))
+    before = entries.filter((F.col("type") == "SnapshotsExpired") & mine).select(F.explode("snapshot_ids").alias("snapshot_id"))
+    old = expired(snapshots, now_ms, retention_ms)
+    dead = replaced_files(entries).filter(mine & (F.col("replaced_at") < now_ms - retention_ms)).join(pinned_files(entries, now_ms), "file_path", "left_anti").select("file_path").withColumn("dead", F.lit(True))
+    files = entries.filter((F.col("type") == "FileCommitted") & mine).join(dead, "file_path", "left")
+    files = files.select("snapshot_id", "file_path", F.col("file_size_bytes").alias("size"), F.col("dead").isNull().alias("live"))
+    new = old.join(before, "snapshot_id", "left_anti")
+    impact = expiration_impact(new, files.join(old.select("snapshot_id"), "snapshot_id", "left_semi")).first().asDict()
+    if not dry_run:
+        ids = sorted(r.snapshot_id for r in new.select("snapshot_id").collect())  # a number a commit
+        # files of snapshots that expired before may have been pinned then
+        delete_files(ledger.spark, files.filter("not live").join(old, "snapshot_id", "left_semi").select(F.col("file_path").alias("path")))
+        if ids:
+            Coordinator(ledger).commit(lambda v: [{"type": "SnapshotsExpired", "database": database, "table": table, "snapshot_ids": ids}, {"type": "Maintained", "operation": "expire", "details": f"{impact['files']} files"}])
+    return impact
+
+
+def clean_orphans(ledger: Ledger, folder: str, now_ms: int, retention_ms: int, dry_run: bool = False) -> int:
+    """Deletes old files below a folder that nothing protects; returns how many there were.  Refuses
+    where the retention is so short that a commit under way could lose files."""
+    listed = list_files(ledger.spark, folder)
+    found = orphans(listed, protected_files(ledger.entries(), now_ms, retention_ms), now_ms - retention_ms)
+    if dry_run:
+        return found.count()
+    if not retention_is_safe(listed, now_ms, retention_ms):
+        raise StorageError("the retention is under a day and files of the last hour are there")
+    return delete_files(ledger.spark, found)
+
+
 def snapshot_id_of(path):
     """The snapshot's number in the name of its manifest list."""
     return F.regexp_extract(path, r"snap-(\d+)", 1).try_cast("long")
@@ -93,7 +137,8 @@ def file_class(path):
 
 def orphans(listed: DataFrame, referenced: DataFrame, cutoff_ms: int) -> DataFrame:
     """listed: ``path``, ``size``, ``mtime``; referenced: ``path``.  Old files that nothing refers to."""
-    return listed.filter(F.col("mtime") < cutoff_ms).join(referenced.select("path").distinct(), "path", "left_anti").withColumn("class", file_class(F.col("path")))
+    named = referenced.select(bare_path(F.col("path")).alias("_bare")).distinct()
+    return listed.filter(F.col("mtime") < cutoff_ms).withColumn("_bare", bare_path(F.col("path"))).join(named, "_bare", "left_anti").drop("_bare").withColumn("class", file_class(F.col("path")))
 
 
 def orphan_summary(found: DataFrame) -> DataFrame:

@@ -380,11 +380,12 @@ def subject(strategy: str, topic: str, message: str | None) -> str:
     raise ConfigError(f"no strategy {strategy}")
 
 
-def decode_framed(rows: DataFrame, schemas: dict[int, str], message: str | None = None, value: str = "value") -> DataFrame:
-    """rows: framed messages and any other columns.  schemas: proto3 source by schema id.  The columns
+def decode_framed(rows: DataFrame, schemas: dict[int, str | list[str]], message: str | None = None, value: str = "value") -> DataFrame:
+    """rows: framed messages and any other columns.  schemas: proto3 source (or sources, with what they import) by schema id.  The columns
     of the highest id, then the other columns of rows, ``_schema_id`` and ``_message_type``; what a
     version lacks is null."""
-    newest = parse(schemas[max(schemas)])
+    pool_of = lambda source: parse(*([source] if isinstance(source, str) else source))
+    newest = pool_of(schemas[max(schemas)])
     name, shape = newest.message(message).name, columns(newest, message)
     rest = [f for f in rows.schema if f.name != value]
     out = T.StructType([*shape.fields, *rest, T.StructField("_schema_id", T.IntegerType()), T.StructField("_message_type", T.StringType())])
@@ -400,7 +401,7 @@ def decode_framed(rows: DataFrame, schemas: dict[int, str], message: str | None
                 if sid not in decoders:
                     if sid not in schemas:
                         raise DecodeError(f"no schema {sid}")
-                    pool = parse(schemas[sid])
+                    pool = pool_of(schemas[sid])
                     decoders[sid] = (Decoder(pool, message).decode, set(columns(pool, message).fieldNames()))
                 decode, own = decoders[sid]
                 row = decode(payload)

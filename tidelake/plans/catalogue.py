@@ -402,6 +402,15 @@ def expire_candidates(spark, sf):
     return maintenance.expired(_snapshots(spark, sf), _NOW, 86_400_000)
 
 
+@query(f"""with {_SNAPS}, c as (select arg_max(snapshot_id, timestamp) as c from s), g as (select snapshot_id from s, c where snapshot_id <> c and timestamp < {_NOW} - 86400000),
+f as (select batch_id + 1 as snapshot_id, row_count * 100 as size, batch_id % 3 <> 0 as live from m where batch_id + 1 in (select snapshot_id from g))
+select (select count(*) from g) as snapshots, count(*) filter (not live) as files, cast(coalesce(sum(size) filter (not live), 0) as bigint) as bytes, count(*) filter (live) as kept_files from f""")
+def expiration_impact(spark, sf):
+    """What goes with the expired snapshots, if every third flush's files have been replaced."""
+    files = flush_manifest(spark, sf).select((F.col("batch_id") + 1).alias("snapshot_id"), (F.col("row_count") * 100).alias("size"), (F.col("batch_id") % 3 != 0).alias("live"))
+    return maintenance.expiration_impact(maintenance.expired(_snapshots(spark, sf), _NOW, 86_400_000), files)
+
+
 _LISTED = """select {path} as path, {size} as size, {mtime} as mtime from {m}"""
 _KINDS = "case batch_id % 5 when 0 then 'data/f' || batch_id || '-' || partition || event_date || '.parquet' when 1 then 'metadata/snap-' || batch_id || partition || event_date || '-x.avro' when 2 then 'metadata/a-manifest-' || batch_id || partition || event_date || '.avro' when 3 then 'x/statistics/' || batch_id || partition || event_date else 'y/' || batch_id || partition || event_date end"
 

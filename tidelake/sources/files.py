@@ -54,7 +54,7 @@ def register_parquet(ledger: Ledger, database: str, table: str, sources: list[st
     snapshot = uuid.uuid4().int >> 65
 
     def entries(version: int) -> list[dict]:
-        lsn, out = ledger.next_lsn(), []
+        lsn, out = ledger.next_lsn(database, table), []
         for i, r in enumerate(rows):
             n = max(r.rows, 1)
             out.append({"type": "FileCommitted", "database": database, "table": table, "topic": "__backfill__", "partition": 0, "min_offset": i, "max_offset": i, "min_lsn": lsn, "read_lsn": lsn + n - 1, "row_count": r.rows, "file_path": r.path, "file_size_bytes": r.size, "snapshot_id": snapshot})

@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 
 from tidelake.errors import ReadStateError
 from tidelake.operators.health import Health, prometheus
-from tidelake.operators.ledger import Ledger
+from tidelake.operators.ledger import Coordinator, Ledger
 from tidelake.operators.lookups import check_not_ahead
 from tidelake.operators.snapshot import Snapshot
 
 
 class Tables:
-    """Scans of the ledger's tables.  A scan pins its files until it ends or its lease runs out."""
+    """Scans of the ledger's tables.  A scan pins its files in the ledger until it ends or its lease
+    runs out, so that maintenance anywhere leaves them alone."""
 
     def __init__(self, ledger: Ledger, log: DataFrame | None = None, most: int = 64, lease_s: float = 300, clock: Callable[[], float] = time.monotonic):
         self.ledger, self.log, self.most, self.lease_s, self.clock = ledger, log, most, lease_s, clock
@@ -62,13 +63,17 @@ class Tables:
             self._expire()
             if len(self._scans) >= self.most:
                 raise ReadStateError(f"{self.most} scans are open")
-            self._scans[scan] = (self.clock() + self.lease_s, frozenset(snapshot.paths()))
+            paths = sorted(snapshot.paths())
+            self._scans[scan] = (self.clock() + self.lease_s, frozenset(paths))
+        until = int((time.time() + self.lease_s) * 1000)
+        Coordinator(self.ledger).commit(lambda v: [{"type": "FilesPinned", "database": database, "table": table, "batch_id": scan, "file_paths": paths, "until": until}])
         return scan, rows
 
     def end(self, scan: str) -> None:
         with self._lock:
             if self._scans.pop(scan, None) is None:
                 raise ReadStateError(f"no scan {scan}")
+        Coordinator(self.ledger).commit(lambda v: [{"type": "FilesReleased", "batch_id": scan}])
 
     def _expire(self) -> None:
         self._scans = {k: v for k, v in self._scans.items() if v[0] > self.clock()}

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidelake.errors import SchemaError
+from tidelake.errors import CommitConflict, SchemaError
 from tidelake.functions.exprs import time_bucket
 from tidelake.operators.health import Health
 from tidelake.operators.ledger import Coordinator, Ledger
@@ -27,6 +27,10 @@ from tidelake.operators.schema import Field, TableSchema, diff_fields, evolve
 RANGE = 1 << 16
 
 
+class NumbersTaken(Exception):
+    """Another writer committed to the table while a batch was written."""
+
+
 def number_rows(batch: DataFrame, base: int) -> DataFrame:
     """Adds ``read_lsn``: base, base + 1, … by topic, partition and offset.
 
@@ -86,11 +90,17 @@ class Sink:
     decode: Callable[[DataFrame], DataFrame] | None = None
     gate: Gate | None = None
     fields_of: Callable[[DataFrame], list[Field]] | None = None
+    older: bool = False  # batches may lack fields of the table
     hourly: bool = False
     compression: str = "snappy"
     rows_per_file: int = 5_000_000
+    retries: int = 4
+    checkpoint_entries: int = 10_000
+    checkpoint_s: float = float("inf")
     health: Health = field(default_factory=Health)
     batches: int = 0
+    _since: int = 0
+    _last: float = field(default_factory=time.monotonic)
 
     def write_batch(self, batch: DataFrame, batch_id: int) -> None:
         """For ``foreachBatch``."""
@@ -121,23 +131,29 @@ class Sink:
         if self._covered(self.ledger.entries(), ranges):
             return
         rows = self.decode(batch) if self.decode else batch.drop("headers")
-        changes = self.gate.admit(self.fields_of(rows)) if self.gate is not None and self.fields_of else []
+        changes = self.gate.admit(self.fields_of(rows), self.older) if self.gate is not None and self.fields_of else []
+        for _ in range(self.retries):
+            try:
+                return self._commit(rows, changes, batch_id, ranges)
+            except NumbersTaken:
+                continue  # the files that were written are orphans; the rows get new numbers
+        raise CommitConflict("other writers took the sequence numbers each time")
+
+    def _commit(self, rows: DataFrame, changes: list[dict], batch_id: int, ranges: list) -> None:
         run = uuid.uuid4().hex
         out = f"{self.location.rstrip('/')}/data/{self.database}/{self.table}/{run}"
         bucket = "event_hour" if self.hourly else "event_date"
-        base = self.ledger.next_lsn()
+        base = self.ledger.next_lsn(self.database, self.table)
         numbered = number_rows(rows, base).withColumn(bucket, time_bucket(F.col("timestamp"), self.hourly)).withColumn("kafka_partition", F.col("partition"))
-        # one shuffle brings a partition's day together; AQE splits a large one into several files
-        dealt = numbered.repartition(bucket, "kafka_partition").sortWithinPartitions("read_lsn")
+        # one shuffle brings a partition's day together; AQE splits a large one over several tasks
+        dealt = numbered.hint("rebalance", bucket, "kafka_partition").sortWithinPartitions("read_lsn")
         dealt.write.option("compression", self.compression).option("parquet.block.row.count.limit", 131_072).option("maxRecordsPerFile", self.rows_per_file).partitionBy(bucket, "kafka_partition").parquet(out)
         files = self._files(out)
         snapshot = uuid.uuid4().int >> 65
 
         def entries(version: int) -> list[dict]:
-            # another writer may have taken sequence numbers meanwhile: its files come first
-            shift = self.ledger.next_lsn() - base
-            if shift:
-                raise RuntimeError("another writer took the sequence numbers; the batch is replayed")
+            if self.ledger.next_lsn(self.database, self.table) != base:
+                raise NumbersTaken
             name = f"{run}-{batch_id}"
             made = [{"type": "FlushBegun", "batch_id": name, "row_count": sum(f.row_count for f in files)}]
             made += [{"type": "FileCommitted", "database": self.database, "table": self.table, "snapshot_id": snapshot, "batch_id": name} | {k: f[k] for k in ("topic", "partition", "min_offset", "max_offset", "min_lsn", "read_lsn", "row_count", "file_path", "file_size_bytes")} for f in files]
@@ -145,6 +161,10 @@ class Sink:
             return [*made, *({"database": self.database, "table": self.table} | c for c in changes), {"type": "FlushDone", "batch_id": name, "snapshot_id": snapshot}]
 
         Coordinator(self.ledger).commit(entries, done=lambda e: self._covered(e, ranges))
+        self._since += len(files) + len(ranges) + len(changes) + 2
+        if self._since >= self.checkpoint_entries or time.monotonic() - self._last >= self.checkpoint_s:
+            self.ledger.checkpoint()
+            self._since, self._last = 0, time.monotonic()
 
     def _files(self, out: str) -> list:
         """What each file of a batch holds, from the files themselves."""
