@@ -245,9 +245,9 @@ def test_neighbours(spark):
     rows += [(1000, None, "x"), (1020, [0.0] * 40, "x"), (1040, [float("nan")] * 40, "x"), (1060, [float("inf")] * 40, "x"), (1080, [1.0, 2.0], "x"), (1081, [2.0, 1.0], "x"), (1100, [], "x"), (1120, [1.0, None], "x"), (None, [1.0] * 40, "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, query_id string").repartition(5)
     exact = vectors.astype(np.float64)
-    for group in (65_536, 200):
+    for group in (ann.GROUP_BYTES, 200 * 8 * 40):
         got = collections.defaultdict(list)
-        for r in ann.nearest(df, F.col("vec_id") % 20 == 0, group=group).orderBy("query_id", "rank").collect():
+        for r in ann.nearest(df, F.col("vec_id") % 20 == 0, group_bytes=group).orderBy("query_id", "rank").collect():
             got[r.query_id].append((r.vec_id, r.score))
         assert set(got) == {*range(0, 900, 20), 1080} and got[1080] == [(1081, 4.0)]
         hits = 0
@@ -261,6 +261,12 @@ def test_neighbours(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_repeated_ids(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.5, 1.0]), (2, [3.0, 1.0])], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") == 0, k=4).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == [(0, 2, 3.0), (0, 2, 3.0), (0, 1, 2.0), (0, 1, 2.0)]
+
+
 def test_rotation_is_a_rotation():
     r = ann.rotation(33, 5)
     assert np.allclose(r @ r.T, np.eye(33)) and np.array_equal(r, ann.rotation(33, 5))

@@ -7,12 +7,15 @@ is a sum of bit counts over bit planes.  Divided by the code's scalar it estimat
 with an error bound from the scalar and from the query's rounding.  The best estimates are computed
 exactly first; then every vector whose upper bound reaches the k-th exact product is computed.
 
-The candidates are dealt into groups of at most ``GROUP`` rows, and all queries pass each group in
-blocks: a task holds one group and one block of queries.  Equal vectors of a group are one entry with
+The candidates are dealt into groups of about ``GROUP_BYTES``, and all queries pass each group in
+blocks: a task holds one group and one block of queries, and groups are dealt to tasks by range, one
+each.  The work is queries times rows: no coarse partitions leave candidates out.  Equal vectors of a group are one entry with
 its smallest ids, so a very common vector costs no more than a rare one; no neighbour is lost by it.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part.  Only vectors
-of one dimension are compared.  Other columns are ignored.  An empty table gives no rows.
+of one dimension are compared.  Rows that share an id are candidates each, but never of
+a query with their id; a query id that several rows have gets the k best of all their products, in
+which a candidate may come up for each of them.  Other columns are ignored.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 
 from tidelake.llm._shared import ship
 
-#: Candidates of a group, at most about; and below how many no further groups are made.
-GROUP, LEAST = 65_536, 4_096
+#: Bytes of a group's candidates in double precision, about; and below how many rows no further groups are made.
+GROUP_BYTES, LEAST = 32 << 20, 4_096
 #: Queries of a block.
 BLOCK = 64
 #: Bits of a rounded query component.
@@ -115,7 +118,7 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, seed: int = 7, group: int = GROUP) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, seed: int = 7, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the k nearest of each row for which ``queries``
     holds, among all rows but itself, by the largest inner product."""
     spark = vectors.sparkSession
@@ -123,8 +126,8 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     kind = vectors.schema[vector_col].dataType.elementType.simpleString()
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = rows.filter(usable(F.col("vector")) & F.col("vec_id").isNotNull()).withColumn("dim", F.size("vector"))
-    n = rows.count()
-    groups = max(1, -(-n // group), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // LEAST))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(8 * F.col("dim")), F.lit(0))).first()
+    groups = max(1, -(-size // group_bytes), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // LEAST))
     dealt = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("g"), "dim", F.lit(0).alias("kind"), "vec_id", "vector")
     asked = rows.filter("asks").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), "dim", F.lit(1).alias("kind"), "vec_id", "vector")
 
@@ -151,6 +154,6 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, [len(x) for x, _ in found])), pa.array(np.concatenate([x for x, _ in found])), pa.array(np.concatenate([s for _, s in found]))], names=["query_id", "vec_id", "score"])
 
     both = dealt.unionByName(asked).withColumn("vector", F.col("vector").cast(f"array<{kind}>"))
-    found = both.repartition(groups, "g").sortWithinPartitions("g", "dim", "kind", "vec_id").mapInArrow(run, "query_id long, vec_id long, score double")
+    found = both.repartitionByRange(groups, "g").sortWithinPartitions("g", "dim", "kind", "vec_id").mapInArrow(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
