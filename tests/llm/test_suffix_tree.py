@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import random
 import zlib
 
@@ -143,3 +144,40 @@ def test_probabilities_sum_to_one(docs):
 def test_long_words(edge):
     got = st.score_texts(edge, F.lit(True), min_count=2, gain=0.1).collect()
     assert len(got) == edge.count() and all(math.isfinite(r.score) for r in got)
+
+
+def test_rare_keys_move_in_portions_and_tables_go(spark, docs, monkeypatch):
+    """No portion of the texts moves more than one rare key for ``APART`` tokens or so, each row is in
+    one portion, and only the scores stay in the shared folder."""
+    of = lambda rows: sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in rows)
+    want = of(st.score_texts(docs, st.fold() != 2, min_count=3, gain=0.5).collect())
+    made, written = [], st.written
+    monkeypatch.setattr(st, "written", lambda df, name: made.append(written(df, name)) or made[-1])
+    got = st.score_texts(docs, st.fold() != 2, min_count=3, gain=0.5, head=5)
+    assert of(got.collect()) == want
+    left = [t for t in made if os.path.exists(t._tidelake_path.removeprefix("file://"))]
+    assert len(left) >= 4 and all("/scores-" in t._tidelake_path for t in left)
+    sizes = [t.count() for t in left]
+    assert sum(sizes) == len(want) and max(sizes) < 2 * len(want) / len(sizes)
+
+
+def test_rare_contexts_end_where_they_are_counted(docs, monkeypatch):
+    """Contexts seen less than ``min_count`` times aren't in the tables of next tokens, at any depth."""
+    seen, written = [], st.written
+
+    def noted(df, name):
+        out = written(df, name)
+        if name == "next-tokens":
+            seen.append(out.groupBy("ctx").agg(F.sum(F.col("once") + F.col("sum")).alias("n")).filter("n < 3").count())
+        return out
+
+    monkeypatch.setattr(st, "written", noted)
+    st.grow(*_counted(docs), min_count=3, gain=0.5)
+    assert len(seen) >= 2 and not any(seen)
+
+
+def _counted(docs):
+    texts = docs.select(F.col("text").cast("binary").alias("text"))
+    words = st.count_tokens(texts).cache()
+    n = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    return texts, words, n.n + n.v + 1

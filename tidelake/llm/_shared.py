@@ -76,6 +76,23 @@ def forget(*tables: DataFrame) -> None:
         fs.delete(at, True)
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> tuple[DataFrame, Callable[[], None]]:
+    """Like ``written``, filed by hashes of a column: a join by it with at least so many buckets as there
+    are shuffle partitions doesn't move the table, however often it is joined.  Also returns what
+    deletes it."""
+    spark, path = df.sparkSession, table_path(df.sparkSession, name)
+    called = "tidelake_" + path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(buckets, column).write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(called)
+    out = spark.table(called)
+    out._tidelake_path = path
+
+    def drop() -> None:
+        spark.sql(f"drop table if exists {called}")
+        forget(out)
+
+    return out, drop
+
+
 def holds(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether the unsigned keys' bits are set."""
     at = keys & np.uint64(8 * len(bitmap) - 1)

@@ -5,7 +5,8 @@ over the training tokens and one unknown token.  Its other states are contexts:
 before a token, across the whole text, with no limit to d.
 
 * The tree grows level by level.  A context of d words is looked at where its suffix of d - 1 words
-  was retained and its first two words were seen together ``MIN_COUNT`` times; it is retained if it was seen ``MIN_COUNT`` times and its next tokens diverge from
+  was retained and its first two words, and its first three as far as they were counted, were seen
+  together ``MIN_COUNT`` times; it is retained if it was seen ``MIN_COUNT`` times and its next tokens diverge from
   those after its suffix: their log-likelihood under the context's smoothed distribution, each
   occurrence left out in turn, is ``GAIN`` nats above that under the suffix's distribution.  Growth
   ends at the first level that retains nothing, so a longer or more regular corpus has a deeper tree.
@@ -15,13 +16,17 @@ before a token, across the whole text, with no limit to d.
 * So a text's score is a sum over keys: its tokens, its retained contexts, and its (context, token)
   pairs seen twice or more.  The most frequent keys, ``HEAD`` at most, are sent to all tasks; the
   text's rarer keys join the tree by key and are summed by text.  A key that isn't sent is too rare
-  to make a task uneven.
+  to make a task uneven.  How often rarer keys occur is known from the counts; the texts are scored in
+  as many portions as it takes to move one of them for ``APART`` tokens at a time, so what lies on disk
+  follows the tokens, however small the share of keys is that tasks hold.
 
 Counting: each task adds up its own texts and passes on packed lists of contexts and next tokens, one
-for each bucket of contexts; contexts seen more than ``PART`` times are cut into parts by their next
-token.  There are as many buckets as it takes for about ``ADD`` tokens each.  What tasks
-are sent is bounded: ``HEAD`` keys, and a bitmap of at most ``FILTER_BITS`` bits by which they leave out
-what isn't in the tree; a full bitmap costs more rows, never a wrong score.
+for each bucket of contexts; contexts whose last word, or last two words, were seen more than ``PART``
+times are cut into parts by their next token.  Others are whole in their bucket and dropped there if
+they were seen less than ``MIN_COUNT`` times.  There are as many buckets as it takes for about ``ADD`` tokens each.  What tasks
+are sent is bounded: ``HEAD`` keys, and bitmaps of at most ``FILTER_BITS`` bits by which they leave out
+what isn't in the tree; a full bitmap costs more rows, never a wrong score.  Contexts have a bitmap of
+their own, since a longer context is looked for wherever a shorter one seems to be there.
 
 Words are compared by 64-bit hashes.  Null texts count as empty: one end.  A null id counts as the
 empty text for its fold.  Repeated rows each get a row.  Very long texts are hashed in pieces.
@@ -31,6 +36,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -40,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm._shared import FILTER_BITS, bitmap_of, forget, holds, release, ship, trimmed, written
+from tidelake.llm._shared import FILTER_BITS, bitmap_of, bucketed, forget, holds, release, ship, trimmed, written
 
 MIN_COUNT, GAIN = 32, 8.0
 #: Keys that every task holds, at most.
@@ -49,6 +55,8 @@ HEAD = 1 << 21
 PART = 1 << 20
 #: Bytes hashed at a time, bytes of texts scored at a time and counted at a time, and tokens of a bucket.
 PIECE, BLOCK, GATHER, ADD = 1 << 17, 1 << 21, 1 << 22, 1 << 20
+#: Tokens for each key that is moved at a time while texts are scored, and keys of a bucket of the tree.
+APART, JOINED = 8, 1 << 18
 #: Depths that are counted in one pass over the texts, by the first of them: far fewer contexts are deep.
 SPAN = {1: 1, 2: 1}
 SPAN_DEEP = 4
@@ -161,14 +169,18 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(trimmed(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-PACKED = {"ctx": np.uint64, "pctx": np.uint64, "part": np.uint64, "kinds": np.uint32, "xs": np.uint64, "ns": np.uint8}
+PACKED = {"ctx": np.uint64, "pctx": np.uint64, "part": np.uint64, "kinds": np.uint32, "xs": np.uint8, "rest": np.uint64, "ns": np.uint8}
+#: A token in ``xs`` is three bytes: its place among the head's words, or that it stands in ``rest``.
+ELSEWHERE = (1 << 24) - 1
 
 
-def _next_tokens(texts: DataFrame, depth: int, span: int, filter_, together, hot, buckets: int) -> DataFrame:
+def _next_tokens(texts: DataFrame, depth: int, span: int, filter_, together, triples, hot, head, buckets: int) -> DataFrame:
     """The contexts of ``depth`` words, and of up to span - 1 more, whose suffixes of less than ``depth``
     words pass the filter, and the tokens after them, as far as one task sees them: ``bucket``, and
-    packed ``ctx``, ``pctx`` (their suffixes), ``part``, ``kinds`` (how many tokens belong to each),
-    ``xs`` and ``ns`` (the tokens and their counts).  together: pairs of words that are frequent."""
+    packed ``ctx``, ``pctx`` (their suffixes), ``part`` (0: all of a context), ``kinds`` (how many tokens
+    belong to each), ``xs``, ``rest`` and ``ns`` (the tokens and their counts).  together: pairs of words that are
+    frequent.  triples, from depth 3: the words after which pairs were counted by what follows, and the
+    frequent ones of these.  hot: words, from depth 2 pairs of words, and bits of their parts."""
     names = ["bucket", *PACKED]
 
     def contexts(h: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -181,6 +193,10 @@ def _next_tokens(texts: DataFrame, depth: int, span: int, filter_, together, hot
                 live[live] = holds(filter_.value, h[at[live] - 1])
             elif d > 1:
                 live[live] = holds(together.value, gram(_longer(ROOT, h[at[live] - d]), h[at[live] - d + 1]))
+            if d > 2 and triples is not None:
+                counted, frequent = triples[0].value, triples[1].value
+                second = _longer(ROOT, h[at[live] - d + 1])
+                live[live] = ~holds(counted, second) | holds(frequent, gram(_longer(second, h[at[live] - d]), h[at[live] - d + 2]))
             at, before = at[live], ctx[live]
             ctx = _longer(before, h[at - d])
             if d >= depth:
@@ -192,12 +208,15 @@ def _next_tokens(texts: DataFrame, depth: int, span: int, filter_, together, hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_words, hot_bits = hot.value
+        places = Places(head.value[0])
         for _, part in _gathered(batches, 0, GATHER):
             h, _, place = tokens(part)
             at, ctx, before = contexts(h, place)
             if not len(at):
                 continue
             last, x = h[at - 1], h[at]
+            if depth > 1 and len(hot_words):
+                last = gram(_longer(ROOT, h[at - 2]), last)
             if depth == 1:
                 x_kinds, ids = _kinds(h)
                 xi, own = ids[at], ids[at - 1]
@@ -209,7 +228,7 @@ def _next_tokens(texts: DataFrame, depth: int, span: int, filter_, together, hot
             if len(hot_words):
                 i = np.minimum(np.searchsorted(hot_words, last), len(hot_words) - 1)
                 bits = np.where(hot_words[i] == last, hot_bits[i], 0).astype(np.uint64)
-                cut = np.where(bits > 0, x >> (np.uint64(64) - np.maximum(bits, np.uint64(1))), np.uint64(0))
+                cut = np.where(bits > 0, (x >> (np.uint64(64) - np.maximum(bits, np.uint64(1)))) + np.uint64(1), np.uint64(0))
             if depth == 1 and not cut.any():  # a group is a word
                 there = np.unique(own)
                 number = np.zeros(len(x_kinds), dtype=np.int64)
@@ -231,43 +250,60 @@ def _next_tokens(texts: DataFrame, depth: int, span: int, filter_, together, hot
             rest = n[many] - 255 * (np.arange(len(many)) - np.repeat(np.cumsum(copies) - copies, copies))
             pairs, n = pairs[many], np.minimum(rest, 255).astype(np.uint8)
             kinds = np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=len(ctx)).astype(np.uint32)
-            xs = x_kinds[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-            del pairs, many, rest, copies
+            known = places.of(x_kinds)
+            known = np.where((known >= 0) & (known < ELSEWHERE), known, ELSEWHERE).astype("<u4")
+            xi = (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            xs = known[xi]
+            other = xs == ELSEWHERE
+            others = x_kinds[xi[other]]
+            xs = np.ascontiguousarray(xs.view(np.uint8).reshape(-1, 4)[:, :3]).ravel()
+            del pairs, many, rest, copies, xi, known
             starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             groups = np.r_[starts, len(ctx)]
             items = np.r_[0, np.cumsum(kinds, dtype=np.int64)][groups]
+            elsewhere = np.r_[0, np.cumsum(other)][items]
             packed = lambda data, cuts: pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((cuts * data.itemsize).astype(np.int32)), pa.py_buffer(data)])  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), packed(ctx, groups), packed(before, groups), packed(cut, groups), packed(kinds, groups), packed(xs, items), packed(n, items)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), packed(ctx, groups), packed(before, groups), packed(cut, groups), packed(kinds, groups), packed(xs, 3 * items), packed(others, elsewhere), packed(n, items)], names=names)
 
     return texts.select("text").mapInArrow(trimmed(run), "bucket int, " + ", ".join(f"{c} binary" for c in PACKED))
 
 
-def _merged(lists: DataFrame, head) -> DataFrame:
-    """Adds up the tasks' lists.  A row for each context's part, where ``x`` is null: ``once``, ``twice``
+def _merged(lists: DataFrame, head, min_count: int) -> DataFrame:
+    """Adds up the tasks' lists; whole contexts seen less than ``min_count`` times end here.  A row for
+    each context's part, where ``x`` is null: ``once``, ``twice``
     (numbers of tokens seen so often), ``kinds`` (tokens seen twice or more), ``sum`` (of their counts);
     and a row for each token seen twice or more: ``x``, ``n``, its key ``key``, and ``xn``, the
     token's own count where it is one of the head's, else null."""
     names = ["ctx", "pctx", "once", "twice", "kinds", "sum", "x", "n", "key", "xn"]
 
     def added(t: pa.Table) -> pa.Table:
-        ctx, pctx, part, kinds, x, n = (np.frombuffer(b"".join(t.column(c).to_pylist()), dtype=k) for c, k in PACKED.items())
+        ctx, pctx, part, kinds, xs, rest, n = (np.frombuffer(b"".join(t.column(c).to_pylist()), dtype=k) for c, k in PACKED.items())
+        words, counts = head.value
+        at = xs[0::3] | xs[1::3].astype(np.uint32) << np.uint32(8) | xs[2::3].astype(np.uint32) << np.uint32(16)
+        x = np.empty(len(at), dtype=np.uint64)
+        x[at == ELSEWHERE], x[at != ELSEWHERE] = rest, words[at[at != ELSEWHERE]]
         _, first, group = np.unique(_longer(ctx, part), return_index=True, return_inverse=True)
-        ctx, pctx, g, n = ctx[first], pctx[first], np.repeat(group, kinds), n.astype(np.int32)
+        ctx, pctx, part, g, n = ctx[first], pctx[first], part[first], np.repeat(group, kinds), n.astype(np.int32)
+        stays = (part > 0) | (np.bincount(g, weights=n, minlength=len(first)) >= min_count)
+        number = np.cumsum(stays) - 1
+        ctx, pctx = ctx[stays], pctx[stays]
+        there = stays[g]
+        g, n, x = number[g[there]], n[there], x[there]
         x_kinds, xi = _kinds(x)
+        del xs, rest, at
         pair = g.astype(np.uint64) << np.uint64(32) | xi.astype(np.uint64)
-        del x, xi, g
+        del x, xi, g, there
         order = np.argsort(pair)
         pair, n = pair[order], n[order]
-        starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-        n, pair = np.add.reduceat(n, starts, dtype=np.int64), pair[starts]
+        starts = np.flatnonzero(np.r_[len(pair) > 0, pair[1:] != pair[:-1]])
+        n, pair = np.add.reduceat(n, starts, dtype=np.int64) if len(starts) else n.astype(np.int64), pair[starts]
         g, x = (pair >> np.uint64(32)).astype(np.int64), x_kinds[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)]
         del pair, order
-        count = lambda mask, w=None: pa.array(np.rint(np.bincount(g[mask], weights=None if w is None else w[mask], minlength=len(first))).astype(np.int64))
+        count = lambda mask, w=None: pa.array(np.rint(np.bincount(g[mask], weights=None if w is None else w[mask], minlength=len(ctx))).astype(np.int64))
         many = n >= 2
         none = lambda k: pa.nulls(k, pa.int64())
-        sizes = pa.table([_signed(ctx), _signed(pctx), count(n == 1), count(n == 2), count(many), count(many, n), *(none(len(first)) for _ in range(4))], names=names)
+        sizes = pa.table([_signed(ctx), _signed(pctx), count(n == 1), count(n == 2), count(many), count(many, n), *(none(len(ctx)) for _ in range(4))], names=names)
         g, x, n = g[many], x[many], n[many]
-        words, counts = head.value
         at = np.minimum(np.searchsorted(words, x), max(0, len(words) - 1))
         known = words[at] == x if len(words) else np.zeros(len(x), dtype=bool)
         own = pa.array(counts[at] if len(words) else np.zeros(len(x), dtype=np.int64), mask=~known)
@@ -320,25 +356,27 @@ class Places:
         return out
 
 
-def grow(texts: DataFrame, words: DataFrame, total: int, min_count: int = MIN_COUNT, gain: float = GAIN, head: int = HEAD) -> list[DataFrame]:
-    """The tree's keys of each level: ``key``, ``n`` (occurrences), ``delta`` (what it adds to a
-    score).  texts: the training texts; words: ``key``, ``n``; total: tokens, kinds and one."""
+def grow(texts: DataFrame, words: DataFrame, total: int, min_count: int = MIN_COUNT, gain: float = GAIN, head: int = HEAD) -> list[tuple[DataFrame, DataFrame]]:
+    """The tree's levels: contexts by ``ctx``, and pairs by ``key``, with ``n`` (occurrences) and ``delta``
+    (what it adds to a score).  texts: the training texts; words: ``key``, ``n``; total: tokens, kinds and one."""
     spark = texts.sparkSession
     send = spark.sparkContext.broadcast
     least = _head(words, head // 2)
     frequent = send(_sorted(words.filter(F.col("n") >= least).toArrow()))
-    hot = words.filter((F.col("n") >= least) & (F.col("n") > PART)).withColumn("bits", F.ceil(F.log2(F.col("n") / PART)).cast("int")).select("key", "bits")
-    hot = send(_sorted(hot.toArrow()))
+    parts = lambda keys: send(_sorted(keys.filter(F.col("n") > PART).select("key", F.ceil(F.log2(F.col("n") / PART)).cast("int").alias("bits")).toArrow()))
+    hot = parts(words)
     buckets = min(BUCKETS[1], max(BUCKETS[0], total // ADD))
     rare = words.filter(F.col("n") < least).select(F.col("key").alias("x"), F.col("n").alias("xn"))
     passing = together = send(bitmap_of(words.filter(F.col("n") >= min_count).select("key")))
-    tree: list[DataFrame] = []
+    triples = None
+    tree: list[tuple[DataFrame, DataFrame]] = []
     contexts, parents, depth = None, None, 1
     merged, until = None, 1
     while True:
         if depth == until:
             until = depth + SPAN.get(depth, SPAN_DEEP)
-            merged = written(_merged(_next_tokens(texts, depth, until - depth, passing, together, hot, buckets), frequent), "next-tokens")
+            merged = written(_merged(_next_tokens(texts, depth, until - depth, passing, together, triples, hot, frequent, buckets), frequent, min_count), "next-tokens")
+            release(spark)
         sizes = merged.filter("x is null").groupBy("ctx").agg(F.max("pctx").alias("pctx"), *(F.sum(c).alias(c) for c in ("once", "twice", "kinds", "sum"))).filter(F.col("once") + F.col("sum") >= min_count)
         if parents is not None:
             sizes = sizes.join(kept.select(F.col("ctx").alias("pctx")), "pctx", "left_semi")
@@ -346,6 +384,10 @@ def grow(texts: DataFrame, words: DataFrame, total: int, min_count: int = MIN_CO
         pairs = merged.filter("x is not null").select("ctx", "pctx", "x", "n", "key", "xn")
         if depth == 1:
             together = send(bitmap_of(pairs.filter(F.col("n") >= min_count).select("key")))
+            hot.unpersist()
+            hot = parts(pairs)
+        elif depth == 2:
+            triples = passing, send(bitmap_of(pairs.filter(F.col("n") >= min_count).select("key")))
         if parents is None:
             found = pairs.filter("xn is not null").unionByName(pairs.filter("xn is null").drop("xn").join(rare, "x"))
             pairs = found.withColumn("ps", (F.col("xn") + 1) / F.lit(float(total))).drop("xn")
@@ -354,6 +396,7 @@ def grow(texts: DataFrame, words: DataFrame, total: int, min_count: int = MIN_CO
         # each occurrence left out: of two one is left, which goes to the share
         left = F.when(F.col("n") > 2, F.col("n") * F.log((F.col("n") - 1 + F.col("share") * F.col("ps")) / (F.col("ps") * (F.col("sum") + F.col("share") - 1)))).otherwise(0.0)
         pairs = seen = written(pairs.join(sizes, "ctx"), "tree-pairs")
+        release(spark)
         if depth + 1 == until:
             forget(merged)
         of_pairs = pairs.groupBy("ctx").agg(F.sum(left).alias("gained"))
@@ -363,18 +406,24 @@ def grow(texts: DataFrame, words: DataFrame, total: int, min_count: int = MIN_CO
         gained = F.coalesce("gained", F.lit(0.0)) + F.when(F.col("twice") > 0, twice).otherwise(0.0) + F.when(F.col("once") > 0, once).otherwise(0.0)
         kept = written(sizes.join(of_pairs, "ctx", "left").filter(gained >= gain).select("ctx", (F.col("once") + F.col("sum")).alias("n"), F.log10(F.col("share") / z).alias("delta")), "retained")
         if kept.isEmpty():
-            for b in (frequent, hot, passing, together):
+            for b in (frequent, hot, passing, together, *(triples or ())):
                 b.unpersist()
+            if depth + 1 != until:
+                forget(merged)
+            forget(seen, sizes, kept)
+            release(spark)
             return tree
         p = (F.col("n") + F.col("share") * F.col("ps")) / z
         pairs = written(pairs.join(kept.select("ctx"), "ctx", "left_semi").select("ctx", "x", "n", "key", p.alias("p"), (F.log10(p / F.col("ps")) - F.log10(F.col("share") / z)).alias("delta")), "tree-level")
         forget(seen, sizes)
-        tree += [kept.select(F.col("ctx").alias("key"), "n", "delta"), pairs.select("key", "n", "delta")]
+        release(spark)
+        tree.append((kept, pairs))
         parents = pairs.select(F.col("ctx").alias("pctx"), "x", F.col("p").alias("ps"))
         contexts = kept.select(F.col("ctx").alias("key")) if contexts is None else contexts.unionByName(kept.select(F.col("ctx").alias("key")))
         depth += 1
         if depth == until:
-            passing.unpersist()
+            if triples is None or passing is not triples[0]:
+                passing.unpersist()
             passing = send(bitmap_of(contexts))
             release(spark)
 
@@ -392,18 +441,30 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
     words = written(count_tokens(training), "token-counts")
     known = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = known["n"] or 0, known["v"]
-    keys = words.select("key", "n", F.log10(F.col("n") + 1).alias("value"), F.lit(True).alias("is_word"))
+    release(spark)
+    keys = words.select("key", "n", F.log10(F.col("n") + 1).alias("value"), F.lit("word").alias("kind"))
     levels = grow(training, words, n + v + 1, min_count, gain, head)
-    for level in levels:
-        keys = keys.unionByName(level.select("key", "n", F.col("delta").alias("value"), F.lit(False).alias("is_word")))
+    for contexts, pairs in levels:
+        keys = keys.unionByName(contexts.select(F.col("ctx").alias("key"), "n", F.col("delta").alias("value"), F.lit("context").alias("kind")))
+        keys = keys.unionByName(pairs.select("key", "n", F.col("delta").alias("value"), F.lit("pair").alias("kind")))
     keys = written(keys, "suffix-tree")
+    forget(words, *(t for level in levels for t in level))
     least = _head(keys, head)
-    sent = spark.sparkContext.broadcast(_sorted(keys.filter(F.col("n") >= least).drop("n").toArrow()))
+    is_word = (F.col("kind") == "word").alias("is_word")
+    sent = spark.sparkContext.broadcast(_sorted(keys.filter(F.col("n") >= least).select("key", "value", is_word).toArrow()))
     there = spark.sparkContext.broadcast(bitmap_of(keys.select("key"), bits))
+    states = spark.sparkContext.broadcast(bitmap_of(keys.filter("kind = 'context'").select("key"), bits))
+    rare = keys.filter(F.col("n") < least).select(F.col("key").alias("rare"), "value", is_word)
+    found = keys.filter(F.col("n") < least).agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).first()
+    portions = max(1, -(-APART * (found["n"] or 0) // max(n, 1)))
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rare, drop = bucketed(rare, "rare-keys", "rare", min(100_000, max(shuffles, -(-found["kinds"] // JOINED))))
+    forget(keys)
+    release(spark)
     names = ["rid", "key", "doc_id", "held_out", "n_tokens", "n_known", "base", "delta"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (sent_keys, value, is_word), bitmap = sent.value, there.value
+        (sent_keys, value, is_word), bitmap, contexts = sent.value, there.value, states.value
         places = Places(sent_keys)
         for rows, texts in _gathered(batches, 1, BLOCK):
             h, of, place = tokens(texts)
@@ -424,7 +485,7 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
             add(kinds, ids, of)
             first = _longer(ROOT, kinds)
             at = np.flatnonzero(place >= 1)
-            at = at[holds(bitmap, first)[ids[at - 1]]]
+            at = at[holds(contexts, first)[ids[at - 1]]]
             add(first, ids[at - 1], of[at])
             ctx, d = first[ids[at - 1]], 1
             while len(at):
@@ -434,7 +495,7 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
                 d += 1
                 far = place[at] >= d
                 at, ctx = at[far], _longer(ctx[far], h[at[far] - d])
-                live = holds(bitmap, ctx)
+                live = holds(contexts, ctx)
                 at, ctx = at[live], ctx[live]
                 add(*_kinds(ctx), of[at])
             t = pa.Table.from_batches(rows).combine_chunks()
@@ -445,16 +506,25 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
             k = len(key)
             yield pa.RecordBatch.from_arrays([pa.array(rid[text]), _signed(key), pa.nulls(k, t.schema.field("doc_id").type), pa.nulls(k, pa.bool_()), *(pa.nulls(k, x) for x in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
 
-    keyed = src.select(F.monotonically_increasing_id().alias("rid"), "text", "doc_id", (~F.col("trains")).alias("held_out"))
-    out = keyed.mapInArrow(trimmed(run), f"rid long, key long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, delta double")
-    rare = keys.filter(F.col("n") < least).select(F.col("key").alias("rare"), "value", "is_word")
-    met = out.join(rare, (F.col("key") == F.col("rare")) & F.col("n_tokens").isNull(), "left")
     plus = lambda a, on, b: F.sum(F.coalesce(F.col(a), F.when(on, b), F.lit(0)))
     word, no_word = F.col("is_word"), ~F.col("is_word")
-    total = met.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), plus("n_known", word, F.lit(1)).cast("long").alias("n_known"),
-        plus("base", word, F.col("value")).alias("base"), plus("delta", no_word, F.col("value")).alias("delta"),
-    )
+    portion = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(portions))  # by what a row holds: each portion reads the table anew
+    sums = []
+    for i in range(portions):
+        keyed = src.filter(portion == i).select(F.monotonically_increasing_id().alias("rid"), "text", "doc_id", (~F.col("trains")).alias("held_out"))
+        out = keyed.mapInArrow(trimmed(run), f"rid long, key long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, delta double")
+        met = out.join(rare.hint("shuffle_hash"), (F.col("key") == F.col("rare")) & F.col("n_tokens").isNull(), "left")
+        total = met.groupBy("rid").agg(
+            F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), plus("n_known", word, F.lit(1)).cast("long").alias("n_known"),
+            plus("base", word, F.col("value")).alias("base"), plus("delta", no_word, F.col("value")).alias("delta"),
+        )
+        sums.append(written(total.drop("rid"), "scores"))
+        del keyed, out, met, total
+        release(spark)
+    drop()
+    for b in (sent, there, states):
+        b.unpersist()
+    total = functools.reduce(DataFrame.unionByName, sums)
     base = F.col("base") - F.col("n_tokens") * math.log10(n + v + 1)
     return total.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("delta")).alias("score"))
 
