@@ -176,6 +176,44 @@ def test_rare_contexts_end_where_they_are_counted(docs, monkeypatch):
     assert len(seen) >= 2 and not any(seen)
 
 
+def test_lists_of_next_tokens_are_small(docs, monkeypatch):
+    """A list takes less than half of 16 bytes for a context and 4 for a token after it."""
+    size, least, lists, written = [], [], st._next_tokens, st.written
+
+    def noted(*args):
+        out = lists(*args)
+        size.append(out.agg(F.sum(sum(F.octet_length(c) for c, kind in out.dtypes if kind == "binary")).alias("n")).first().n)
+        return out
+
+    def counted(df, name):
+        out = written(df, name)
+        if name == "next-tokens":
+            n = out.agg(F.count("once").alias("contexts"), F.sum(F.col("once") + F.col("kinds")).alias("tokens")).first()
+            least.append(16 * n.contexts + 4 * n.tokens)
+        return out
+
+    monkeypatch.setattr(st, "_next_tokens", noted)
+    monkeypatch.setattr(st, "written", counted)
+    st.grow(*_counted(docs), min_count=1, gain=1e9)
+    assert least[0] > 1000 and 2 * size[0] < least[0]
+
+
+def test_full_bitmaps_and_portions_change_no_score(spark, monkeypatch):
+    """Pairs of kept contexts, met in portions, where bitmaps hold next to nothing apart."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(12)) + " w x y z" for _ in range(120)]
+    plain = Plain(texts, 3, 0.1)
+    assert max(map(len, plain.states)) >= 2
+    made, written, bitmap = [], st.written, st.bitmap_of
+    monkeypatch.setattr(st, "written", lambda df, name: made.append(name) or written(df, name))
+    monkeypatch.setattr(st, "bitmap_of", lambda keys, bits=0: np.full_like(bitmap(keys, 1 << 15), 255))
+    monkeypatch.setattr(st, "FEW", 0)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.score for r in st.score_texts(df, F.lit(True), min_count=3, gain=0.1, head=5).collect()}
+    assert got == pytest.approx({i: plain.score(t)[0] for i, t in enumerate(texts)})
+    assert made.count("tree-pairs") > made.count("contexts")
+
+
 def _counted(docs):
     texts = docs.select(F.col("text").cast("binary").alias("text"))
     words = st.count_tokens(texts).cache()

@@ -76,13 +76,18 @@ def forget(*tables: DataFrame) -> None:
         fs.delete(at, True)
 
 
-def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> tuple[DataFrame, Callable[[], None]]:
+def bucketed(df: DataFrame, name: str, column: str, buckets: int, portions: int = 1) -> tuple[DataFrame, Callable[[], None]]:
     """Like ``written``, filed by hashes of a column: a join by it with at least so many buckets as there
     are shuffle partitions doesn't move the table, however often it is joined.  Also returns what
-    deletes it."""
+    deletes it.  Rows are moved in so many portions, a share of the buckets each, one after the other."""
     spark, path = df.sparkSession, table_path(df.sparkSession, name)
     called = "tidelake_" + path.rsplit("/", 1)[1].replace("-", "_")
-    df.repartition(buckets, column).write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(called)
+    bucket = F.pmod(F.hash(column), F.lit(buckets))
+    for i in range(portions):
+        part = df if portions == 1 else df.filter(bucket % portions == i)
+        part.repartition(buckets, column).write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).mode("append" if i else "error").saveAsTable(called)
+        if i + 1 < portions:
+            release(spark)
     out = spark.table(called)
     out._tidelake_path = path
 

@@ -21,9 +21,10 @@ before a token, across the whole text, with no limit to d.
   follows the tokens, however small the share of keys is that tasks hold.
 
 Counting: each task adds up its own texts and passes on packed lists of contexts and next tokens, one
-for each bucket of contexts; contexts whose last word, or last two words, were seen more than ``PART``
+for each bucket of contexts, in which words are ranks by frequency; contexts whose last word, or last two words, were seen more than ``PART``
 times are cut into parts by their next token.  Others are whole in their bucket and dropped there if
-they were seen less than ``MIN_COUNT`` times.  There are as many buckets as it takes for about ``ADD`` tokens each.  What tasks
+they were seen less than ``MIN_COUNT`` times; their sums are known there, so their pairs aren't moved by
+context.  Pairs meet those of the suffix by key, in portions like the texts.  There are as many buckets as it takes for about ``ADD`` tokens each.  What tasks
 are sent is bounded: ``HEAD`` keys, and bitmaps of at most ``FILTER_BITS`` bits by which they leave out
 what isn't in the tree; a full bitmap costs more rows, never a wrong score.  Contexts have a bitmap of
 their own, since a longer context is looked for wherever a shorter one seems to be there.
@@ -39,6 +40,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,13 +51,15 @@ from pyspark.sql import functions as F
 from tidelake.llm._shared import FILTER_BITS, bitmap_of, bucketed, forget, holds, release, ship, trimmed, written
 
 MIN_COUNT, GAIN = 32, 8.0
+#: Contexts that are joined by sending them to all tasks, at most.
+FEW = 1 << 16
 #: Keys that every task holds, at most.
 HEAD = 1 << 21
 #: Occurrences of a context from which its next tokens are counted in parts.
 PART = 1 << 20
 #: Bytes hashed at a time, bytes of texts scored at a time and counted at a time, and tokens of a bucket.
 PIECE, BLOCK, GATHER, ADD = 1 << 17, 1 << 21, 1 << 22, 1 << 20
-#: Tokens for each key that is moved at a time while texts are scored, and keys of a bucket of the tree.
+#: Tokens for each key that is moved at a time while the tree is joined or texts are scored, and keys of a bucket of the tree.
 APART, JOINED = 8, 1 << 18
 #: Depths that are counted in one pass over the texts, by the first of them: far fewer contexts are deep.
 SPAN = {1: 1, 2: 1}
@@ -169,22 +173,62 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(trimmed(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-PACKED = {"ctx": np.uint64, "pctx": np.uint64, "part": np.uint64, "kinds": np.uint32, "xs": np.uint8, "rest": np.uint64, "ns": np.uint8}
-#: A token in ``xs`` is three bytes: its place among the head's words, or that it stands in ``rest``.
+#: A word in a list is three bytes: its rank among the head's words, or that it stands elsewhere in the list.
 ELSEWHERE = (1 << 24) - 1
+#: What a list holds, one after the other: of each of its contexts the suffix, the part, how many tokens belong to it and the
+#: first word; of each of its tokens the rank and the count; the contexts' and the tokens' words that stand elsewhere.
+#: Numbers of bytes are a list of all first bytes, then of all second ones and so on.
+_CONTEXTS, _TOKENS, _WORDS, _OTHERS = range(4)
+PACKED = {"pctx": (8, _CONTEXTS), "part": (8, _CONTEXTS)} | {f"kinds{i}": (1, _CONTEXTS) for i in range(4)} | {f"words{i}": (1, _CONTEXTS) for i in range(3)}
+PACKED |= {f"xs{i}": (1, _TOKENS) for i in range(3)} | {"ns": (1, _TOKENS), "words": (8, _WORDS), "others": (8, _OTHERS)}
+_SIZES = struct.Struct("<4I")
+
+
+def _planes(name: str, x: np.ndarray, n: int) -> dict[str, bytes]:
+    """The first n bytes of 32-bit numbers, one list for each."""
+    return {f"{name}{i}": np.ascontiguousarray(x.astype("<u4").view(np.uint8)[i::4]).tobytes() for i in range(n)}
+
+
+def _whole(columns: dict[str, bytes], name: str, n: int) -> np.ndarray:
+    """The numbers of ``_planes``."""
+    out = np.zeros((len(columns[f"{name}0"]), 4), dtype=np.uint8)
+    for i in range(n):
+        out[:, i] = np.frombuffer(columns[f"{name}{i}"], dtype=np.uint8)
+    return out.view("<u4").ravel()
+
+
+def _lists(columns: dict[str, bytes], cuts: list[np.ndarray]) -> list[bytes]:
+    """The columns cut into lists; cuts: where each list begins and ends, by what the column is of."""
+    codec, out = pa.Codec("zstd", compression_level=1), []
+    cuts = [c.tolist() for c in cuts]
+    for i in range(len(cuts[0]) - 1):
+        raw = b"".join([_SIZES.pack(*(c[i + 1] - c[i] for c in cuts)), *(columns[k][w * cuts[of][i] : w * cuts[of][i + 1]] for k, (w, of) in PACKED.items())])
+        out.append(len(raw).to_bytes(4, "little") + codec.compress(raw, asbytes=True))
+    return out
+
+
+def _unpacked(lists: list[bytes]) -> dict[str, bytes]:
+    """The lists' columns, one list after the other."""
+    codec, columns = pa.Codec("zstd"), {k: [] for k in PACKED}
+    for data in lists:
+        raw = codec.decompress(memoryview(data)[4:], int.from_bytes(data[:4], "little"), asbytes=True)
+        sizes, at = _SIZES.unpack_from(raw), _SIZES.size
+        for k, (w, of) in PACKED.items():
+            end = at + w * sizes[of]
+            columns[k].append(raw[at:end])
+            at = end
+    return {k: b"".join(v) for k, v in columns.items()}
 
 
 def _next_tokens(texts: DataFrame, depth: int, span: int, filter_, together, triples, hot, head, buckets: int) -> DataFrame:
     """The contexts of ``depth`` words, and of up to span - 1 more, whose suffixes of less than ``depth``
     words pass the filter, and the tokens after them, as far as one task sees them: ``bucket``, and
-    packed ``ctx``, ``pctx`` (their suffixes), ``part`` (0: all of a context), ``kinds`` (how many tokens
-    belong to each), ``xs``, ``rest`` and ``ns`` (the tokens and their counts).  together: pairs of words that are
+    ``data``, a list by ``PACKED`` in which a part is 0 where it is all of a context.  together: pairs of words that are
     frequent.  triples, from depth 3: the words after which pairs were counted by what follows, and the
     frequent ones of these.  hot: words, from depth 2 pairs of words, and bits of their parts."""
-    names = ["bucket", *PACKED]
 
     def contexts(h: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The places to count at, their contexts and the contexts' suffixes."""
+        """The places to count at, their contexts, the contexts' suffixes and their first words."""
         at, found = np.arange(len(h), dtype=np.int32), []
         ctx = np.full(len(at), ROOT)
         for d in range(1, depth + span):
@@ -200,7 +244,7 @@ def _next_tokens(texts: DataFrame, depth: int, span: int, filter_, together, tri
             at, before = at[live], ctx[live]
             ctx = _longer(before, h[at - d])
             if d >= depth:
-                found.append((at, ctx, before))
+                found.append((at, ctx, before, h[at - d]))
             else:
                 live = holds(filter_.value, ctx)
                 at, ctx = at[live], ctx[live]
@@ -208,10 +252,12 @@ def _next_tokens(texts: DataFrame, depth: int, span: int, filter_, together, tri
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_words, hot_bits = hot.value
-        places = Places(head.value[0])
+        places, ranks = Places(head.value[0]), np.empty(len(head.value[0]) + 1, dtype="<u4")
+        ranks[head.value[2]] = np.minimum(np.arange(len(head.value[2])), ELSEWHERE)
+        ranks[-1] = ELSEWHERE  # of a word that isn't there
         for _, part in _gathered(batches, 0, GATHER):
             h, _, place = tokens(part)
-            at, ctx, before = contexts(h, place)
+            at, ctx, before, word = contexts(h, place)
             if not len(at):
                 continue
             last, x = h[at - 1], h[at]
@@ -237,60 +283,67 @@ def _next_tokens(texts: DataFrame, depth: int, span: int, filter_, together, tri
                 first[g] = np.arange(len(g))
             else:
                 _, first, g = np.unique(_longer(ctx, cut), return_index=True, return_inverse=True)  # parts of contexts
-            ctx, before, cut = ctx[first], before[first], cut[first]
+            ctx, before, word, cut = ctx[first], before[first], word[first], cut[first]
             bucket = (_longer(ctx, cut) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
+            order = np.argsort(bucket, kind="stable") if depth == 1 else np.lexsort((before, bucket))
             rank = np.empty(len(order), dtype=np.uint64)
             rank[order] = np.arange(len(order))
-            ctx, before, cut, bucket = ctx[order], before[order], cut[order], bucket[order]
+            before, word, cut, bucket = before[order], word[order], cut[order], bucket[order]
             pairs, n = np.unique(rank[g] << np.uint64(32) | xi.astype(np.uint64), return_counts=True)
             del last, x, g, xi
             copies = -(-n // 255)  # a count is a byte
             many = np.repeat(np.arange(len(pairs)), copies)
             rest = n[many] - 255 * (np.arange(len(many)) - np.repeat(np.cumsum(copies) - copies, copies))
             pairs, n = pairs[many], np.minimum(rest, 255).astype(np.uint8)
-            kinds = np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=len(ctx)).astype(np.uint32)
-            known = places.of(x_kinds)
-            known = np.where((known >= 0) & (known < ELSEWHERE), known, ELSEWHERE).astype("<u4")
+            kinds = np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=len(before)).astype(np.uint32)
             xi = (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            xs = known[xi]
-            other = xs == ELSEWHERE
+            xs, firsts = ranks[places.of(x_kinds)][xi], ranks[places.of(word)]
+            other, far = xs == ELSEWHERE, firsts == ELSEWHERE
             others = x_kinds[xi[other]]
-            xs = np.ascontiguousarray(xs.view(np.uint8).reshape(-1, 4)[:, :3]).ravel()
-            del pairs, many, rest, copies, xi, known
+            del pairs, many, rest, copies, xi
             starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            groups = np.r_[starts, len(ctx)]
+            groups = np.r_[starts, len(before)]
             items = np.r_[0, np.cumsum(kinds, dtype=np.int64)][groups]
-            elsewhere = np.r_[0, np.cumsum(other)][items]
-            packed = lambda data, cuts: pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((cuts * data.itemsize).astype(np.int32)), pa.py_buffer(data)])  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), packed(ctx, groups), packed(before, groups), packed(cut, groups), packed(kinds, groups), packed(xs, 3 * items), packed(others, elsewhere), packed(n, items)], names=names)
+            columns = {"pctx": before.tobytes(), "part": cut.tobytes(), "ns": n.tobytes(), "words": word[far].tobytes(), "others": others.tobytes()}
+            columns |= _planes("kinds", kinds, 4) | _planes("words", firsts, 3) | _planes("xs", xs, 3)
+            data = _lists(columns, [groups, items, np.r_[0, np.cumsum(far)][groups], np.r_[0, np.cumsum(other)][items]])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(data, type=pa.binary())], names=["bucket", "data"])
 
-    return texts.select("text").mapInArrow(trimmed(run), "bucket int, " + ", ".join(f"{c} binary" for c in PACKED))
+    return texts.select("text").mapInArrow(trimmed(run), "bucket int, data binary")
 
 
 def _merged(lists: DataFrame, head, min_count: int) -> DataFrame:
     """Adds up the tasks' lists; whole contexts seen less than ``min_count`` times end here.  A row for
-    each context's part, where ``x`` is null: ``once``, ``twice``
+    each context's part, where ``key`` is null: ``pctx``, ``once``, ``twice``
     (numbers of tokens seen so often), ``kinds`` (tokens seen twice or more), ``sum`` (of their counts);
-    and a row for each token seen twice or more: ``x``, ``n``, its key ``key``, and ``xn``, the
-    token's own count where it is one of the head's, else null."""
-    names = ["ctx", "pctx", "once", "twice", "kinds", "sum", "x", "n", "key", "xn"]
+    and a row for each token seen twice or more: ``n``, its key ``key``, ``pkey``, the key of the token
+    after the context's suffix, or, where that is the root, ``x``, the token, and ``xn``, its own
+    count where it is one of the head's, else null.  All rows of a whole context have its ``share`` and
+    ``z``, the sum and the share; the others null."""
+    names = ["ctx", "pctx", "once", "twice", "kinds", "sum", "x", "n", "key", "xn", "pkey", "share", "z"]
 
     def added(t: pa.Table) -> pa.Table:
-        ctx, pctx, part, kinds, xs, rest, n = (np.frombuffer(b"".join(t.column(c).to_pylist()), dtype=k) for c, k in PACKED.items())
-        words, counts = head.value
-        at = xs[0::3] | xs[1::3].astype(np.uint32) << np.uint32(8) | xs[2::3].astype(np.uint32) << np.uint32(16)
-        x = np.empty(len(at), dtype=np.uint64)
-        x[at == ELSEWHERE], x[at != ELSEWHERE] = rest, words[at[at != ELSEWHERE]]
+        columns = _unpacked(t.column("data").to_pylist())
+        words, counts, by_rank = head.value
+
+        def hashes(ranks: np.ndarray, others: bytes) -> np.ndarray:
+            there = ranks != ELSEWHERE
+            out = np.empty(len(ranks), dtype=np.uint64)
+            out[there], out[~there] = words[by_rank[ranks[there]]], np.frombuffer(others, dtype=np.uint64)
+            return out
+
+        pctx, part, n = (np.frombuffer(columns[c], dtype=k) for c, k in (("pctx", np.uint64), ("part", np.uint64), ("ns", np.uint8)))
+        kinds, x = _whole(columns, "kinds", 4), hashes(_whole(columns, "xs", 3), columns["others"])
+        ctx = _longer(pctx, hashes(_whole(columns, "words", 3), columns["words"]))
+        del columns
         _, first, group = np.unique(_longer(ctx, part), return_index=True, return_inverse=True)
         ctx, pctx, part, g, n = ctx[first], pctx[first], part[first], np.repeat(group, kinds), n.astype(np.int32)
         stays = (part > 0) | (np.bincount(g, weights=n, minlength=len(first)) >= min_count)
         number = np.cumsum(stays) - 1
-        ctx, pctx = ctx[stays], pctx[stays]
+        ctx, pctx, part = ctx[stays], pctx[stays], part[stays]
         there = stays[g]
         g, n, x = number[g[there]], n[there], x[there]
         x_kinds, xi = _kinds(x)
-        del xs, rest, at
         pair = g.astype(np.uint64) << np.uint64(32) | xi.astype(np.uint64)
         del x, xi, g, there
         order = np.argsort(pair)
@@ -299,15 +352,19 @@ def _merged(lists: DataFrame, head, min_count: int) -> DataFrame:
         n, pair = np.add.reduceat(n, starts, dtype=np.int64) if len(starts) else n.astype(np.int64), pair[starts]
         g, x = (pair >> np.uint64(32)).astype(np.int64), x_kinds[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)]
         del pair, order
-        count = lambda mask, w=None: pa.array(np.rint(np.bincount(g[mask], weights=None if w is None else w[mask], minlength=len(ctx))).astype(np.int64))
+        count = lambda mask, w=None: np.rint(np.bincount(g[mask], weights=None if w is None else w[mask], minlength=len(ctx))).astype(np.int64)
         many = n >= 2
         none = lambda k: pa.nulls(k, pa.int64())
-        sizes = pa.table([_signed(ctx), _signed(pctx), count(n == 1), count(n == 2), count(many), count(many, n), *(none(len(ctx)) for _ in range(4))], names=names)
+        once, of_many, total = count(n == 1), count(many), count(many, n)
+        share, z, cut = once + of_many, once + of_many + total, part > 0
+        sizes = pa.table([_signed(ctx), _signed(pctx), *(pa.array(c) for c in (once, count(n == 2), of_many, total)), *(none(len(ctx)) for _ in range(5)), pa.array(share, mask=cut), pa.array(z, mask=cut)], names=names)
         g, x, n = g[many], x[many], n[many]
         at = np.minimum(np.searchsorted(words, x), max(0, len(words) - 1))
         known = words[at] == x if len(words) else np.zeros(len(x), dtype=bool)
-        own = pa.array(counts[at] if len(words) else np.zeros(len(x), dtype=np.int64), mask=~known)
-        return pa.concat_tables([sizes, pa.table([_signed(ctx[g]), _signed(pctx[g]), *(none(len(g)) for _ in range(4)), _signed(x), pa.array(n), _signed(gram(ctx[g], x)), own], names=names)])
+        first = pctx[g] == ROOT
+        own = pa.array(counts[at] if len(words) else np.zeros(len(x), dtype=np.int64), mask=~(known & first))
+        pairs = [pa.array(x.view(np.int64), mask=~first), pa.array(n), _signed(gram(ctx[g], x)), own, pa.array(gram(pctx[g], x).view(np.int64), mask=first), pa.array(share[g], mask=cut[g]), pa.array(z[g], mask=cut[g])]
+        return pa.concat_tables([sizes, pa.table([_signed(ctx[g]), *(none(len(g)) for _ in range(5)), *pairs], names=names)])
 
     return lists.groupBy("bucket").applyInArrow(added, ", ".join(f"{c} long" for c in names))
 
@@ -356,13 +413,41 @@ class Places:
         return out
 
 
+def portions_of(rows: int, tokens: int) -> int:
+    """In how many portions rows are moved, so that it is one for ``APART`` tokens at a time."""
+    return max(1, -(-APART * rows // max(tokens, 1)))
+
+
+def _of_kept(pairs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The pairs whose context stays.  Bitmaps of the contexts that stay and of those that don't tell of
+    most pairs; only the pairs of contexts that both seem to hold are joined."""
+    spark = pairs.sparkSession
+    kept, dropped = (judged.filter(c).select(F.col("ctx").alias("key")) for c in ("stays", "not stays"))
+    staying = kept.withColumnRenamed("key", "ctx")
+    if judged.count() <= FEW:
+        return pairs.join(F.broadcast(staying), "ctx", "left_semi")
+    filters = spark.sparkContext.broadcast((bitmap_of(kept), bitmap_of(dropped)))
+
+    def told(sure: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yes, no = filters.value
+            for b in batches:
+                ctx = b.column(b.schema.get_field_index("ctx")).to_numpy().view(np.uint64)
+                yield b.filter(pa.array(holds(yes, ctx) & (holds(no, ctx) != sure)))
+
+        return pairs.mapInArrow(trimmed(run), pairs.schema)
+
+    return told(True).unionByName(told(False).join(staying, "ctx", "left_semi"))
+
+
 def grow(texts: DataFrame, words: DataFrame, total: int, min_count: int = MIN_COUNT, gain: float = GAIN, head: int = HEAD) -> list[tuple[DataFrame, DataFrame]]:
     """The tree's levels: contexts by ``ctx``, and pairs by ``key``, with ``n`` (occurrences) and ``delta``
     (what it adds to a score).  texts: the training texts; words: ``key``, ``n``; total: tokens, kinds and one."""
     spark = texts.sparkSession
     send = spark.sparkContext.broadcast
     least = _head(words, head // 2)
-    frequent = send(_sorted(words.filter(F.col("n") >= least).toArrow()))
+    known, counts = _sorted(words.filter(F.col("n") >= least).toArrow())
+    frequent = send((known, counts, np.argsort(-counts, kind="stable").astype(np.int32)))
     parts = lambda keys: send(_sorted(keys.filter(F.col("n") > PART).select("key", F.ceil(F.log2(F.col("n") / PART)).cast("int").alias("bits")).toArrow()))
     hot = parts(words)
     buckets = min(BUCKETS[1], max(BUCKETS[0], total // ADD))
@@ -377,48 +462,66 @@ def grow(texts: DataFrame, words: DataFrame, total: int, min_count: int = MIN_CO
             until = depth + SPAN.get(depth, SPAN_DEEP)
             merged = written(_merged(_next_tokens(texts, depth, until - depth, passing, together, triples, hot, frequent, buckets), frequent, min_count), "next-tokens")
             release(spark)
-        sizes = merged.filter("x is null").groupBy("ctx").agg(F.max("pctx").alias("pctx"), *(F.sum(c).alias(c) for c in ("once", "twice", "kinds", "sum"))).filter(F.col("once") + F.col("sum") >= min_count)
+            cut = len(hot.value[0]) > 0
+        rows, z = merged.filter("key is null"), F.col("sum") + F.col("share")
+        sizes = rows.filter("share is not null").select("ctx", "pctx", "once", "twice", "kinds", "sum")
+        if cut:
+            of_parts = rows.filter("share is null").groupBy("ctx").agg(F.max("pctx").alias("pctx"), *(F.sum(c).alias(c) for c in ("once", "twice", "kinds", "sum")))
+            sizes = sizes.unionByName(of_parts.filter(F.col("once") + F.col("sum") >= min_count))
         if parents is not None:
             sizes = sizes.join(kept.select(F.col("ctx").alias("pctx")), "pctx", "left_semi")
         sizes = written(sizes.drop("pctx").withColumn("share", F.col("once") + F.col("kinds")), "contexts")
-        pairs = merged.filter("x is not null").select("ctx", "pctx", "x", "n", "key", "xn")
+        pairs = merged.filter("key is not null").select("ctx", "pkey", "x", "n", "key", "xn", "share", "z")
         if depth == 1:
             together = send(bitmap_of(pairs.filter(F.col("n") >= min_count).select("key")))
             hot.unpersist()
             hot = parts(pairs)
         elif depth == 2:
             triples = passing, send(bitmap_of(pairs.filter(F.col("n") >= min_count).select("key")))
+        if cut:
+            of_parts = pairs.filter("share is null").drop("share", "z").join(sizes.select("ctx", "share", z.alias("z")), "ctx")
+            pairs = pairs.filter("share is not null").unionByName(of_parts)
         if parents is None:
             found = pairs.filter("xn is not null").unionByName(pairs.filter("xn is null").drop("xn").join(rare, "x"))
-            pairs = found.withColumn("ps", (F.col("xn") + 1) / F.lit(float(total))).drop("xn")
-        else:
-            pairs = pairs.drop("xn").join(parents, ["pctx", "x"])
+            pairs = found.withColumn("ps", (F.col("xn") + 1) / F.lit(float(total)))
         # each occurrence left out: of two one is left, which goes to the share
-        left = F.when(F.col("n") > 2, F.col("n") * F.log((F.col("n") - 1 + F.col("share") * F.col("ps")) / (F.col("ps") * (F.col("sum") + F.col("share") - 1)))).otherwise(0.0)
-        pairs = seen = written(pairs.join(sizes, "ctx"), "tree-pairs")
-        release(spark)
+        left = F.when(F.col("n") > 2, F.col("n") * F.log((F.col("n") - 1 + F.col("share") * F.col("ps")) / (F.col("ps") * (F.col("z") - 1)))).otherwise(0.0)
+        columns = "ctx", "n", "key", "share", "z", "ps"
+        if parents is None:
+            seen = [written(pairs.select(*columns), "tree-pairs")]
+            release(spark)
+        else:
+            seen, count = [], portions_of(pairs.count() + parents.count(), total)
+            of = F.pmod("pkey", F.lit(count))
+            for i in range(count):
+                seen.append(written(pairs.filter(of == i).join(parents.filter(of == i), "pkey").select(*columns), "tree-pairs"))
+                release(spark)
+        pairs = functools.reduce(DataFrame.unionByName, seen)
         if depth + 1 == until:
             forget(merged)
         of_pairs = pairs.groupBy("ctx").agg(F.sum(left).alias("gained"))
-        z, some = F.col("sum") + F.col("share"), F.lit(0.5)
+        some = F.lit(0.5)
         twice = 2 * F.col("twice") * F.log(F.col("share") / F.greatest(z - 2, some))
         once = F.col("once") * F.log(F.greatest(F.col("share") - 1, some) / F.greatest(z - 1, some))
         gained = F.coalesce("gained", F.lit(0.0)) + F.when(F.col("twice") > 0, twice).otherwise(0.0) + F.when(F.col("once") > 0, once).otherwise(0.0)
-        kept = written(sizes.join(of_pairs, "ctx", "left").filter(gained >= gain).select("ctx", (F.col("once") + F.col("sum")).alias("n"), F.log10(F.col("share") / z).alias("delta")), "retained")
+        judged = written(sizes.join(of_pairs, "ctx", "left").select("ctx", (F.col("once") + F.col("sum")).alias("n"), F.log10(F.col("share") / z).alias("delta"), (gained >= gain).alias("stays")), "retained")
+        kept = judged.filter("stays").drop("stays")
+        kept._tidelake_path = judged._tidelake_path
         if kept.isEmpty():
             for b in (frequent, hot, passing, together, *(triples or ())):
                 b.unpersist()
             if depth + 1 != until:
                 forget(merged)
-            forget(seen, sizes, kept)
+            forget(*seen, sizes, kept)
             release(spark)
             return tree
+        z = F.col("z")
         p = (F.col("n") + F.col("share") * F.col("ps")) / z
-        pairs = written(pairs.join(kept.select("ctx"), "ctx", "left_semi").select("ctx", "x", "n", "key", p.alias("p"), (F.log10(p / F.col("ps")) - F.log10(F.col("share") / z)).alias("delta")), "tree-level")
-        forget(seen, sizes)
+        pairs = written(_of_kept(pairs, judged).select("key", "n", p.alias("p"), (F.log10(p / F.col("ps")) - F.log10(F.col("share") / z)).alias("delta")), "tree-level")
+        forget(*seen, sizes)
         release(spark)
         tree.append((kept, pairs))
-        parents = pairs.select(F.col("ctx").alias("pctx"), "x", F.col("p").alias("ps"))
+        parents = pairs.select(F.col("key").alias("pkey"), F.col("p").alias("ps"))
         contexts = kept.select(F.col("ctx").alias("key")) if contexts is None else contexts.unionByName(kept.select(F.col("ctx").alias("key")))
         depth += 1
         if depth == until:
@@ -456,9 +559,9 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
     states = spark.sparkContext.broadcast(bitmap_of(keys.filter("kind = 'context'").select("key"), bits))
     rare = keys.filter(F.col("n") < least).select(F.col("key").alias("rare"), "value", is_word)
     found = keys.filter(F.col("n") < least).agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).first()
-    portions = max(1, -(-APART * (found["n"] or 0) // max(n, 1)))
+    portions = portions_of(found["n"] or 0, n)
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rare, drop = bucketed(rare, "rare-keys", "rare", min(100_000, max(shuffles, -(-found["kinds"] // JOINED))))
+    rare, drop = bucketed(rare, "rare-keys", "rare", min(100_000, max(shuffles, -(-found["kinds"] // JOINED))), portions_of(found["kinds"], n))
     forget(keys)
     release(spark)
     names = ["rid", "key", "doc_id", "held_out", "n_tokens", "n_known", "base", "delta"]
